@@ -45,6 +45,10 @@ FACT_SQL: dict[str, str] = {
                '::K' || c_custkey, 'include', 'C' || (c_custkey % 40)
         FROM customer WHERE c_custkey % 89 = 2
         UNION ALL
+        SELECT 'app/k' || CAST(floor(c_custkey / 50.0) AS BIGINT) || '.rb', c_custkey * 10 + 5,
+               '::K' || c_custkey, 'include', 'Ext' || (c_custkey % 2)
+        FROM customer WHERE c_custkey % 83 = 4
+        UNION ALL
         SELECT 'app/k' || CAST(floor(c_custkey / 50.0) AS BIGINT) || '.rb', c_custkey * 10 + 3,
                '::K' || c_custkey, 'prepend', '::M' || ((c_nationkey + 7) % 25)
         FROM customer WHERE c_custkey % 5 = 0
@@ -159,17 +163,84 @@ FACT_SQL: dict[str, str] = {
         SELECT 'd' || (doc_id + 1000000000000), text FROM documents WHERE doc_id % 10 = 1""",
 }
 
+# Tables only the SQL check uses: the ancestor chains of the derived types,
+# spelled out for this data by recursion along the superclass numbers.
+CHECK_SQL: dict[str, str] = {
+    "o_sup": """
+        SELECT c_custkey AS root, 0 AS d, c_custkey AS k FROM customer
+        UNION ALL
+        SELECT root, d + 1, CAST(floor(k / 3.0) AS BIGINT) FROM o_sup WHERE k > 0 AND k % 97 <> 50""",
+    "o_walk_i": """
+        SELECT root, d, 1 AS a, 0 AS b, '::M' || ((c_nationkey + 7) % 25) AS name, 'prepend' AS origin
+        FROM o_sup JOIN customer ON k = c_custkey WHERE k % 5 = 0
+        UNION ALL SELECT root, d, 1, 1, '::M' || ((c_nationkey + 7) % 25 - 10), 'include'
+        FROM o_sup JOIN customer ON k = c_custkey WHERE k % 5 = 0 AND (c_nationkey + 7) % 25 >= 20
+        UNION ALL SELECT root, d, 2, 0, '::K' || k, CASE WHEN d = 0 THEN 'self' ELSE 'superclass' END FROM o_sup
+        UNION ALL SELECT root, d, 3, 0, 'Ext' || (k % 2), 'include' FROM o_sup WHERE k % 83 = 4
+        UNION ALL SELECT root, d, 3, 1, NULL, 'include' FROM o_sup WHERE k % 89 = 2
+        UNION ALL SELECT root, d, 4, 0, '::M' || c_nationkey, 'include' FROM o_sup JOIN customer ON k = c_custkey
+        UNION ALL SELECT root, d, 4, 1, '::M' || (c_nationkey - 10), 'include'
+        FROM o_sup JOIN customer ON k = c_custkey WHERE c_nationkey >= 20
+        UNION ALL SELECT root, d, 9, 0, NULL, 'superclass' FROM o_sup WHERE k % 97 = 50
+        UNION ALL SELECT root, d, 9, i, n, 'default' FROM o_sup,
+          (VALUES (1, 'Object'), (2, 'Kernel'), (3, 'BasicObject')) v(i, n) WHERE k = 0""",
+    "o_seen_i": """
+        SELECT *, row_number() OVER (PARTITION BY root, name ORDER BY d, a, b) AS r FROM o_walk_i""",
+    "chain_i": """
+        SELECT '::K' || root AS owner, row_number() OVER (PARTITION BY root ORDER BY d, a, b) - 1 AS pos, name, origin,
+          'instance_method' AS decl_side FROM o_seen_i WHERE r = 1 OR name IS NULL
+        UNION ALL SELECT DISTINCT name, i, CASE i WHEN 0 THEN name WHEN 1 THEN 'Object' WHEN 2 THEN 'Kernel' ELSE 'BasicObject' END,
+          CASE i WHEN 0 THEN 'self' ELSE 'default' END, 'instance_method'
+        FROM types, (VALUES (0), (1), (2), (3)) v(i) WHERE name LIKE '::N%'
+        UNION ALL SELECT name, 0, name, 'self', 'instance_method' FROM types WHERE kind = 'module'
+        UNION ALL SELECT '::M' || n_nationkey, 1, '::M' || (n_nationkey - 10), 'include', 'instance_method'
+        FROM nation WHERE n_nationkey >= 20""",
+    "o_tail_s": """
+        SELECT * FROM (VALUES (0, 'Object', 'singleton_of', 'singleton_method', false),
+          (1, 'BasicObject', 'singleton_of', 'singleton_method', false), (2, 'Class', 'class_object', 'instance_method', false),
+          (3, 'Module', 'class_object', 'instance_method', true), (4, 'Object', 'class_object', 'instance_method', true),
+          (5, 'Kernel', 'class_object', 'instance_method', true), (6, 'BasicObject', 'class_object', 'instance_method', true))
+          v(i, name, origin, decl_side, for_module)""",
+    "o_walk_s": """
+        SELECT root, d, 1 AS a, 0 AS b, '::K' || k AS name, CASE WHEN d = 0 THEN 'self' ELSE 'superclass' END AS origin FROM o_sup
+        UNION ALL SELECT root, d, 2, 0, '::M' || ((c_nationkey + 3) % 25), 'extend'
+        FROM o_sup JOIN customer ON k = c_custkey WHERE k % 4 = 0
+        UNION ALL SELECT root, d, 2, 1, '::M' || ((c_nationkey + 3) % 25 - 10), 'include'
+        FROM o_sup JOIN customer ON k = c_custkey WHERE k % 4 = 0 AND (c_nationkey + 3) % 25 >= 20
+        UNION ALL SELECT root, d, 3, 0, '::M' || c_nationkey || '::ClassMethods', 'extend'
+        FROM o_sup JOIN customer ON k = c_custkey WHERE c_nationkey % 8 = 0
+        UNION ALL SELECT root, d, 4, 0, '::M' || ((c_nationkey + 7) % 25) || '::ClassMethods', 'extend'
+        FROM o_sup JOIN customer ON k = c_custkey WHERE k % 5 = 0 AND ((c_nationkey + 7) % 25) % 8 = 0
+        UNION ALL SELECT root, d, 9, 0, NULL, 'superclass' FROM o_sup WHERE k % 97 = 50
+        UNION ALL SELECT root, d, 20, i, name, origin FROM o_sup, o_tail_s WHERE k = 0""",
+    "o_mixed_s": """
+        SELECT *, row_number() OVER (PARTITION BY root, name, origin IN ('extend', 'include') ORDER BY d, a, b) AS v
+        FROM o_walk_s""",
+    "o_sided_s": """
+        SELECT *, CASE WHEN origin IN ('extend', 'class_object') THEN 'instance_method' ELSE 'singleton_method' END AS decl_side
+        FROM o_mixed_s WHERE v = 1 OR name IS NULL OR a = 20""",
+    "o_seen_s": """
+        SELECT *, row_number() OVER (PARTITION BY root, name, decl_side ORDER BY d, a, b) AS r FROM o_sided_s""",
+    "chain_s": """
+        SELECT '::K' || root AS owner, row_number() OVER (PARTITION BY root ORDER BY d, a, b) - 1 AS pos, name, origin, decl_side
+        FROM o_seen_s WHERE r = 1 OR name IS NULL
+        UNION ALL SELECT DISTINCT name, 0, name, 'self', 'singleton_method' FROM types WHERE name NOT LIKE '::K%'
+        UNION ALL SELECT DISTINCT t.name, i + 1, v.name, v.origin, v.decl_side FROM types t, o_tail_s v WHERE t.name LIKE '::N%'
+        UNION ALL SELECT t.name, i - 2, v.name, v.origin, v.decl_side FROM types t, o_tail_s v WHERE t.kind = 'module' AND v.for_module""",
+}
+
 
 def _words(sql: str) -> set[str]:
-    return set(re.findall(r"[a-z_]+", sql))
+    return set(re.findall(r"[a-z_0-9]+", sql))
 
 
-def needed(sql: str) -> list[str]:
+def needed(sql: str, tables: dict[str, str], skip: str = "") -> list[str]:
     """Derived tables a text refers to, dependencies first."""
     found: list[str] = []
-    for name, body in FACT_SQL.items():
-        if name in _words(sql):
-            for dep in needed(body):
+    words = _words(sql)
+    for name, body in tables.items():
+        if name in words and name != skip:
+            for dep in needed(body, tables, name):
                 if dep not in found:
                     found.append(dep)
             if name not in found:
@@ -177,17 +248,15 @@ def needed(sql: str) -> list[str]:
     return found
 
 
-def with_facts(sql: str) -> str:
-    """``sql`` with the derived tables it uses in front, for the SQL check."""
-    ctes = [f"{name} AS ({FACT_SQL[name]})" for name in needed(sql)]
+def with_facts(sql: str, check: bool = True) -> str:
+    """``sql`` with the derived tables it uses in front of it."""
+    tables = {**FACT_SQL, **CHECK_SQL} if check else FACT_SQL
+    ctes = [f"{name} AS ({tables[name]})" for name in needed(sql, tables)]
     if not ctes:
         return sql
-    body = sql.strip()
-    if body.upper().startswith("WITH RECURSIVE"):
-        return "WITH RECURSIVE " + ", ".join(ctes) + ", " + body[len("WITH RECURSIVE"):]
-    if body.upper().startswith("WITH"):
-        return "WITH " + ", ".join(ctes) + ", " + body[len("WITH"):]
-    return "WITH " + ", ".join(ctes) + " " + body
+    head = "WITH RECURSIVE " if check else "WITH "
+    body = re.sub(r"^WITH(\s+RECURSIVE)?\b", "", sql.strip(), flags=re.I) if re.match(r"(?i)\s*WITH\b", sql) else None
+    return head + ", ".join(ctes) + (", " + body if body is not None else " " + sql)
 
 
 class Facts:
@@ -204,7 +273,7 @@ class Facts:
 
     def sql(self, text: str) -> DataFrame:
         """Run a text over the base tables and any derived ones it names."""
-        full = with_facts(text)
+        full = with_facts(text, check=False)
         for base in BASE_TABLES:
             if base in _words(full):
                 table(self.spark, self.sf_dir, base).createOrReplaceTempView(base)
