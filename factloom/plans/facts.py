@@ -259,6 +259,16 @@ def with_facts(sql: str, check: bool = True) -> str:
     return head + ", ".join(ctes) + (", " + body if body is not None else " " + sql)
 
 
+# Derived tables that several queries share are built once per data directory
+# and read back from the checkpoint folder afterwards.
+_DERIVED: dict[tuple[str, str, str], object] = {}
+
+
+def forget_derived() -> None:
+    """Drop the shared tables, so that the next query pays for its own."""
+    _DERIVED.clear()
+
+
 class Facts:
     """Base and derived tables of one data directory as DataFrames."""
 
@@ -271,6 +281,12 @@ class Facts:
             return table(self.spark, self.sf_dir, name)
         return self.sql(FACT_SQL[name])
 
+    def derived(self, name: str, build):
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key not in _DERIVED:
+            _DERIVED[key] = build()
+        return _DERIVED[key]
+
     def sql(self, text: str) -> DataFrame:
         """Run a text over the base tables and any derived ones it names."""
         full = with_facts(text, check=False)

@@ -8,13 +8,25 @@ from factloom.operators import graph as G
 from factloom.operators import hierarchy as H
 from factloom.operators.resolve import type_index
 from factloom.plans.registry import query
+from factloom.session import durable
 
 
 def hierarchy(f):
     """The hierarchy of the derived types."""
-    facts = f["ancestor_facts"].withColumn("nesting", F.array(F.col("owner")))
-    types = f["types"]
-    return H.build(facts, types, type_index(types))
+
+    def build():
+        facts = f["ancestor_facts"].withColumn("nesting", F.array(F.col("owner")))
+        types = f["types"]
+        return H.build(facts, types, type_index(types))
+
+    return f.derived("hierarchy", build)
+
+
+def chain(f, singleton: bool = False):
+    """Every ancestor chain of one side, kept for the queries that follow."""
+    closure = f.derived("closure", lambda: H.superclass_closure(hierarchy(f).superclass))
+    name = "chain_s" if singleton else "chain_i"
+    return f.derived(name, lambda: durable(H.linearize(hierarchy(f), singleton=singleton, closure=closure)))
 
 
 _CHAIN = ["owner", "pos", "name", "origin", "decl_side"]
@@ -22,12 +34,12 @@ _CHAIN = ["owner", "pos", "name", "origin", "decl_side"]
 
 @query("d1_instance_ancestors", "SELECT owner, pos, name, origin, decl_side FROM chain_i")
 def instance_ancestors(f):
-    return H.linearize(hierarchy(f)).select(*_CHAIN)
+    return chain(f).select(*_CHAIN)
 
 
 @query("d2_singleton_ancestors", "SELECT owner, pos, name, origin, decl_side FROM chain_s")
 def singleton_ancestors(f):
-    return H.linearize(hierarchy(f), singleton=True).select(*_CHAIN)
+    return chain(f, singleton=True).select(*_CHAIN)
 
 
 @query(
@@ -43,7 +55,7 @@ def concern_closure(f):
 
 @query("d4_unidentified_links", "SELECT owner, bool_or(name IS NULL) AS has_unidentified FROM chain_i GROUP BY owner")
 def unidentified_links(f):
-    return H.unidentified_links(H.linearize(hierarchy(f)))
+    return H.unidentified_links(chain(f))
 
 
 @query(
@@ -51,7 +63,7 @@ def unidentified_links(f):
     "SELECT owner, count(*) AS n, count(DISTINCT name || decl_side) AS n_named, count(*) FILTER (name IS NULL) AS n_unnamed FROM chain_s GROUP BY owner",
 )
 def dedupe_chain(f):
-    chain = H.linearize(hierarchy(f), singleton=True)
+    chain = chain(f, singleton=True)
     return chain.groupBy("owner").agg(
         F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("name").isNotNull(), 1)).alias("n_named"),
         F.count(F.when(F.col("name").isNull(), 1)).alias("n_unnamed"),
@@ -60,7 +72,7 @@ def dedupe_chain(f):
 
 @query("d6_declaration_side", "SELECT origin, decl_side, count(*) AS n FROM chain_s GROUP BY 1, 2")
 def declaration_side(f):
-    return H.linearize(hierarchy(f), singleton=True).groupBy("origin", "decl_side").agg(F.count(F.lit(1)).alias("n"))
+    return chain(f, singleton=True).groupBy("origin", "decl_side").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
@@ -78,7 +90,7 @@ def latest_superclass(f):
     "SELECT name, decl_side, count(*) AS n, min(pos) AS nearest FROM chain_s WHERE name IS NOT NULL GROUP BY 1, 2",
 )
 def lookup_owners(f):
-    owners = H.lookup_owners(H.linearize(hierarchy(f), singleton=True))
+    owners = H.lookup_owners(chain(f, singleton=True))
     return owners.groupBy("name", "decl_side").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("nearest"))
 
 
