@@ -107,7 +107,7 @@ FACT_SQL: dict[str, str] = {
                     ELSE replace(p_name, ' ', '_') END AS name,
                CASE WHEN l_returnflag = 'A' AND l_linenumber = 2 THEN 'none' ELSE 'expression' END AS receiver_form,
                '::K' || (l_suppkey % {N_CUST}) AS receiver_type, 's' || l_orderkey AS scope_id,
-               CAST(l_quantity AS BIGINT) % 4 AS positional, l_linestatus = 'F' AS keywords,
+               CAST(l_quantity AS BIGINT) % 4 AS n_positional, l_linestatus = 'F' AS keywords,
                l_discount > 0.095 AS splat
         FROM lineitem JOIN part ON l_partkey = p_partkey""",
     # --- routes and models ----------------------------------------------------
@@ -118,6 +118,23 @@ FACT_SQL: dict[str, str] = {
         UNION ALL
         SELECT CAST(n_nationkey * 2 + 1 AS BIGINT), lower(n_name), 'GET', lower(r_name), 'show', 'slug'
         FROM nation JOIN region ON n_regionkey = r_regionkey""",
+    "model_members": " UNION ALL ".join(
+        f"SELECT 'K' || c_custkey AS model, {values} FROM customer WHERE c_custkey % 10 = 0"
+        for values in (
+            "'hot_gear' AS member, 'active_record_column' AS kind, 'String' AS type, TRUE AS nullable, "
+            "CAST(NULL AS VARCHAR(9)) AS class_name, CAST(NULL AS VARCHAR(9)) AS macro, CAST(NULL AS BOOLEAN) AS optional",
+            "'hot_gear_missing', 'active_record_column', 'Integer', FALSE, NULL, NULL, NULL",
+            "'cold_rod', 'active_record_association', NULL, NULL, 'User', 'belongs_to', FALSE",
+            "'cold_rod_missing', 'active_record_association', NULL, NULL, 'User', 'belongs_to', TRUE",
+            "'new_rod_missing', 'active_record_association', NULL, NULL, 'Post', 'has_one', TRUE",
+            "'old_rod_missing', 'active_record_association', NULL, NULL, 'Tag', 'has_many', TRUE",
+        )
+    ),
+    "models": "SELECT 'K' || c_custkey AS model, c_custkey % 20 = 0 AS partial FROM customer WHERE c_custkey % 10 = 0",
+    "signature_methods": """
+        SELECT DISTINCT 'instance_method' AS kind, '::Kernel' AS owner, replace(p_name, ' ', '_') || '_missing' AS name
+        FROM part WHERE p_name LIKE 'red%'
+        UNION ALL SELECT 'instance_method', '::M' || n_nationkey, 'blue_bolt_missing' FROM nation""",
     # --- traces ---------------------------------------------------------------
     "trace_events": """
         SELECT user_id AS fiber, event_id AS seq, ts,

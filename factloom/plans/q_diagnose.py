@@ -1 +1,394 @@
+"""References, renames and diagnostics."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from factloom.functions import names as N
+from factloom.operators import lookup as L
+from factloom.operators import references as R
+from factloom.operators import rules as I
+from factloom.operators.resolve import type_index
+from factloom.plans.facts import CHECK_SQL
+from factloom.plans.q_hierarchy import chain
+from factloom.plans.q_lookup import found, reasons, registry, signature_types, symbols
+from factloom.plans.registry import query
+from factloom.session import durable
+
+_ROUTE = "regexp_extract({0}, '^(.+)_(?:path|url)$', 1)"
+CHECK_SQL.update({
+    "o_near": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY receiver, name ORDER BY rank) AS k FROM o_found_i) WHERE k = 1",
+    "o_model": "SELECT model, member, min(kind) AS kind FROM (SELECT model, member, CASE kind WHEN 'active_record_column' THEN kind ELSE kind END AS kind FROM model_members) GROUP BY 1, 2",
+    "o_calls": f"""
+        SELECT c.*, coalesce(n.sym_kind, m.kind, CASE WHEN r.name IS NOT NULL THEN 'route_helper' END) AS sym_kind,
+          CASE WHEN n.name IS NOT NULL THEN n.sym_owner WHEN m.model IS NOT NULL THEN c.receiver_type END AS sym_owner,
+          coalesce(n.sym_name, m.member, r.name) AS sym_name,
+          CASE WHEN n.name IS NOT NULL THEN 'source' WHEN m.model IS NOT NULL THEN 'active_record' WHEN r.name IS NOT NULL THEN 'route_helper' END AS origin
+        FROM candidates c LEFT JOIN o_near n ON n.receiver = c.receiver_type AND n.name = c.name AND c.receiver_form = 'expression'
+        LEFT JOIN o_model m ON m.model = ltrim(c.receiver_type, ':') AND m.member = c.name
+        LEFT JOIN (SELECT DISTINCT name FROM routes) r ON c.receiver_form = 'none' AND r.name = {_ROUTE.format('c.name')}
+        WHERE c.kind = 'method_call'""",
+    "o_types": "SELECT DISTINCT name, kind, string_split(name, '::')[-1] AS simple FROM types",
+    "o_first": "SELECT simple, min(name) AS name FROM o_types GROUP BY simple",
+    "o_suffix": "SELECT '::' || name AS written, NULL AS x FROM o_types WHERE false",
+    "o_constants": """
+        SELECT c.*, coalesce(e.name, CASE WHEN NOT contains(c.name, '::') THEN f.name END) AS resolved
+        FROM candidates c LEFT JOIN (SELECT DISTINCT name FROM o_types) e ON e.name = '::' || c.name
+        LEFT JOIN o_first f ON f.simple = c.name WHERE c.kind = 'constant'""",
+    "o_refs": """
+        SELECT uri, line, col, kind, 'local_variable' AS sym_kind, receiver_type || '#' || scope_id AS sym_owner, name AS sym_name, 'high' AS confidence, 'source' AS origin
+        FROM candidates WHERE kind = 'local_variable'
+        UNION ALL SELECT uri, line, col, kind, kind, receiver_type, name, 'high', 'source' FROM candidates WHERE kind = 'ivar'
+        UNION ALL SELECT c.uri, c.line, c.col, c.kind, (SELECT min(t.kind) FROM o_types t WHERE t.name = resolved), NULL, resolved, 'high', 'source'
+        FROM o_constants c WHERE resolved IS NOT NULL
+        UNION ALL SELECT uri, line, col, kind, sym_kind, sym_owner, sym_name, 'high', origin FROM o_calls WHERE sym_kind IS NOT NULL""",
+})
+del CHECK_SQL["o_suffix"]
+
+
+def calls(f):
+    return f["candidates"].filter("kind = 'method_call'")
+
+
+def answers(f):
+    """The nearest declaration per (receiver_type, name)."""
+    near = L.nearest(found(f)).select(
+        F.col("receiver").alias("receiver_type"), "name", "sym_kind", "sym_owner", "sym_name", F.lit(False).alias("conditional")
+    )
+    return near
+
+
+def resolved_calls(f):
+    def build():
+        return durable(R.resolve_calls(calls(f), answers(f), f["model_members"], f["routes"]))
+
+    return f.derived("calls", build)
+
+
+def references(f):
+    def build():
+        return durable(R.resolve_references(f["candidates"], type_index(f["types"]), answers(f), f["model_members"], f["routes"]))
+
+    return f.derived("references", build)
+
+
+_REF = ["uri", "line", "col", "kind", "sym_kind", "sym_owner", "sym_name", "confidence", "origin"]
+
+
+@query("c10_resolve_references", f"SELECT {', '.join(_REF)} FROM o_refs")
+def resolve_references(f):
+    return references(f).select(*_REF)
+
+
+@query(
+    "c11_find_references",
+    "SELECT uri, line, col, sym_owner, sym_name FROM o_refs WHERE sym_kind = 'instance_method' AND sym_name LIKE 'mod_%'",
+)
+def find_references(f):
+    wanted = f["declarations"].filter("kind = 'instance_method' AND name LIKE 'mod_%'").select(
+        F.col("kind").alias("sym_kind"), F.col("owner").alias("sym_owner"), F.col("name").alias("sym_name")
+    )
+    return R.find_references(references(f), wanted).select("uri", "line", "col", "sym_owner", "sym_name")
+
+
+@query(
+    "c12_route_helper_lookup",
+    f"SELECT uri, line, col, {_ROUTE.format('name')} AS base FROM candidates WHERE kind = 'method_call' AND receiver_form = 'none' AND {_ROUTE.format('name')} IN (SELECT name FROM routes)",
+)
+def route_helper_lookup(f):
+    return R.route_helper_lookup(calls(f), f["routes"]).select("uri", "line", "col", "base")
+
+
+_ACTIONS = """SELECT 'instance_method' AS kind, '::' || upper(substring(lower(r_name), 1, 1)) || substring(lower(r_name), 2) || 'Controller' AS owner,
+  CASE WHEN c_custkey % 2 = 0 THEN 'show' ELSE 'create' END AS name, 'app/c' || c_custkey || '.rb' AS uri, c_custkey AS line
+  FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"""
+
+
+@query(
+    "c13_route_definitions",
+    """SELECT DISTINCT r.name, 'app/c' || c_custkey || '.rb' AS uri, c_custkey AS line FROM routes r
+      JOIN region ON lower(r_name) = r.controller AND r_name NOT LIKE '% %' JOIN nation ON n_regionkey = r_regionkey
+      JOIN customer ON c_nationkey = n_nationkey AND r.action = CASE WHEN c_custkey % 2 = 0 THEN 'show' ELSE 'create' END
+    UNION SELECT name, 'config/routes.rb', min(ordinal) FROM routes GROUP BY name""",
+)
+def route_definitions(f):
+    sources = f["routes"].groupBy("name").agg(F.min("ordinal").alias("line")).select("name", F.lit("config/routes.rb").alias("uri"), "line")
+    actions = f.sql(_ACTIONS).filter("owner NOT LIKE '% %'")
+    return R.route_definitions(R.route_table(f["routes"]), actions, sources)
+
+
+@query(
+    "c14_model_member",
+    """SELECT c.uri, c.line, c.col, m.kind AS sym_kind FROM candidates c JOIN o_model m ON m.model = ltrim(c.receiver_type, ':') AND m.member = c.name
+    WHERE c.kind = 'method_call'""",
+)
+def model_member(f):
+    m = R.model_symbols(f["model_members"]).select(F.col("model").alias("_m"), "name", "sym_kind")
+    joined = calls(f).withColumn("_m", N.bare_name("receiver_type")).join(m, ["_m", "name"])
+    return joined.select("uri", "line", "col", "sym_kind")
+
+
+@query(
+    "e5_route_table",
+    """SELECT name, name || '_path' AS path_helper, name || '_url' AS url_helper, arg_min(part, ordinal) AS part,
+      string_agg(controller || '#' || action || ' ' || verb, ',' ORDER BY CASE verb WHEN 'GET' THEN 0 ELSE 1 END, ordinal) AS targets FROM routes GROUP BY name""",
+)
+def route_table(f):
+    return R.route_table(f["routes"]).withColumn(
+        "targets",
+        F.array_join(F.transform("targets", lambda t: F.concat(t["controller"], F.lit("#"), t["action"], F.lit(" "), t["verb"])), ","),
+    )
+
+
+@query(
+    "e5_route_table_orders",
+    """WITH r AS (SELECT 'r' || o_custkey AS name, CASE WHEN o_orderkey % 3 = 0 THEN 'GET' ELSE 'POST' END AS verb, 'c' || (o_orderkey % 2) AS controller,
+      'a' || (o_orderkey % 5) AS action, o_orderkey AS ordinal, 'p' || o_orderkey AS part FROM orders),
+    d AS (SELECT name, controller, action, verb, min(ordinal) AS ordinal FROM r GROUP BY 1, 2, 3, 4)
+    SELECT name, (SELECT arg_min(part, ordinal) FROM r WHERE r.name = d.name) AS part, string_agg(controller || '#' || action || ' ' || verb, ',' ORDER BY CASE verb WHEN 'GET' THEN 0 ELSE 1 END, ordinal) AS targets
+    FROM d GROUP BY name""",
+)
+def route_table_orders(f):
+    facts = f.sql("""SELECT 'r' || o_custkey AS name, CASE WHEN o_orderkey % 3 = 0 THEN 'GET' ELSE 'POST' END AS verb, 'c' || (o_orderkey % 2) AS controller,
+      'a' || (o_orderkey % 5) AS action, o_orderkey AS ordinal, 'p' || o_orderkey AS part FROM orders""")
+    return route_table_text(R.route_table(facts)).select("name", "part", "targets")
+
+
+def route_table_text(table):
+    return table.withColumn(
+        "targets",
+        F.array_join(F.transform("targets", lambda t: F.concat(t["controller"], F.lit("#"), t["action"], F.lit(" "), t["verb"])), ","),
+    )
+
+
+# --- renames -------------------------------------------------------------------------
+
+_REQUESTS = """SELECT DISTINCT kind || owner || name AS request_id, kind, owner, name,
+    CASE WHEN line % 4 = 0 THEN 'bad name' WHEN line % 4 = 1 THEN 'old_bolt' ELSE 'renamed_' || name END AS new_name
+  FROM (SELECT kind, owner, name, min(line) AS line FROM declarations GROUP BY kind, owner, name) d
+  UNION ALL SELECT 'route' || name, 'route_helper', NULL, name, 'other' FROM routes WHERE verb = 'GET'
+  UNION ALL SELECT 'type' || name, 'class', NULL, name, CASE WHEN line % 3 = 0 THEN 'K1' ELSE 'Renamed' END FROM types WHERE name LIKE '::K%'"""
+
+
+@query(
+    "c23_rename_plan",
+    f"""WITH q AS ({_REQUESTS}), g AS (SELECT DISTINCT kind, owner, name FROM declarations WHERE origin = 'generated'),
+    all_decl AS (SELECT kind, owner, name, uri, line, col FROM declarations UNION ALL SELECT kind, NULL, name, uri, line, 0 FROM types),
+    s AS (SELECT DISTINCT kind, owner, name FROM declarations UNION SELECT DISTINCT 'singleton_method', d.owner, d.name FROM declarations d
+      JOIN module_functions m ON m.owner = d.owner AND m.name = d.name WHERE d.kind = 'instance_method'),
+    j AS (SELECT q.*, CASE WHEN q.kind = 'route_helper' THEN 'generated by the framework'
+        WHEN NOT regexp_matches(new_name, CASE WHEN q.kind = 'class' THEN '^[A-Z][a-zA-Z0-9_]*$' ELSE '^[a-z_][a-zA-Z0-9_]*[?!=]?$' END) THEN 'not a valid ' || q.kind || ' name'
+        WHEN g.name IS NOT NULL THEN 'declared by a macro'
+        WHEN q.kind = 'class' AND '::' || new_name IN (SELECT name FROM types) THEN 'type exists: ::' || new_name
+        WHEN s.name IS NOT NULL THEN 'already declared: ' || q.owner || '#' || new_name END AS warning
+      FROM q LEFT JOIN g ON g.kind = q.kind AND g.owner = q.owner AND g.name = q.name
+      LEFT JOIN s ON s.kind = q.kind AND s.owner = q.owner AND s.name = q.new_name),
+    p AS (SELECT kind, coalesce(owner, '') AS owner, name, uri, line, col FROM all_decl
+      UNION SELECT sym_kind, coalesce(sym_owner, ''), sym_name, uri, line, col FROM o_refs)
+    SELECT request_id, 'refused' AS status, warning, NULL AS uri, NULL AS line, NULL AS col, NULL AS new_text FROM j WHERE warning IS NOT NULL
+    UNION ALL SELECT request_id, 'planned', NULL, p.uri, p.line, p.col, new_name FROM j
+      JOIN p ON p.kind = j.kind AND p.owner = coalesce(j.owner, '') AND p.name = j.name WHERE warning IS NULL""",
+)
+def rename_plan(f):
+    declarations = f.sql("""SELECT kind, owner, name, uri, line, col, origin FROM declarations
+      UNION ALL SELECT kind, NULL, name, uri, line, CAST(0 AS BIGINT), 'source' FROM types""")
+    return R.rename_plan(f.sql(_REQUESTS), declarations, references(f), f["types"], symbols(f))
+
+
+@query(
+    "h1_union_distinct_locations",
+    "SELECT uri, line, col FROM declarations UNION SELECT uri, line, col FROM o_refs",
+)
+def union_distinct_locations(f):
+    return R.union_locations(f["declarations"], references(f))
+
+
+# --- rules -----------------------------------------------------------------------------
+
+_SYNTAX = """SELECT DISTINCT 'o' || l_orderkey AS uri, CAST(0 AS BIGINT) AS line, CAST(0 AS BIGINT) AS col, 'unexpected token' AS message
+  FROM lineitem WHERE l_tax > 0.075"""
+CHECK_SQL.update({
+    "o_closed": """
+        SELECT r.receiver, reason IS NULL AND NOT EXISTS (SELECT 1 FROM chain_i c JOIN o_reopened o ON o.name = ltrim(c.name, ':')
+          WHERE c.owner = r.receiver AND o.reopened AND c.origin <> 'default') AS closed FROM o_reason_i r""",
+    "o_sig": """
+        SELECT DISTINCT c.owner AS receiver, s.name FROM chain_i c JOIN signature_methods s ON s.kind = c.decl_side AND s.owner = '::' || ltrim(c.name, ':')""",
+    "o_i1": f"SELECT uri, line, col, 'syntax-error' AS code, message, 'error' AS severity, 'high' AS confidence FROM ({_SYNTAX})",
+    "o_i2": """
+        SELECT c.uri, c.line, c.col, 'unknown-method' AS code, c.receiver_type || ' has no method named `' || c.name || '`' AS message,
+          'warning' AS severity, 'high' AS confidence
+        FROM o_calls c LEFT JOIN o_closed d ON d.receiver = c.receiver_type
+        LEFT JOIN models m ON m.model = ltrim(c.receiver_type, ':')
+        WHERE c.sym_kind IS NULL AND (coalesce(d.closed, false) OR coalesce(NOT m.partial, false))
+          AND NOT EXISTS (SELECT 1 FROM o_calls o WHERE o.uri = c.uri AND o.line = c.line AND o.col = c.col AND o.sym_kind IS NOT NULL)
+          AND NOT EXISTS (SELECT 1 FROM o_sig s WHERE s.receiver = c.receiver_type AND s.name = c.name)
+          AND NOT EXISTS (SELECT 1 FROM model_members x WHERE x.model = ltrim(c.receiver_type, ':') AND x.member = c.name)""",
+    "o_i3": """
+        SELECT uri, line, col, 'unresolved-constant' AS code, 'cannot resolve constant `' || name || '`' AS message, 'warning' AS severity, 'low' AS confidence
+        FROM o_constants WHERE resolved IS NULL""",
+    "o_i4": f"""
+        SELECT uri, line, col, 'unknown-route-helper' AS code, 'no route named `' || {_ROUTE.format('name')} || '` (`' || name || '` is unresolved)' AS message,
+          'warning' AS severity, 'high' AS confidence
+        FROM o_calls c WHERE sym_kind IS NULL AND receiver_form = 'none' AND {_ROUTE.format('name')} <> ''
+          AND {_ROUTE.format('name')} NOT IN (SELECT name FROM routes)
+          AND NOT EXISTS (SELECT 1 FROM o_calls o WHERE o.uri = c.uri AND o.line = c.line AND o.col = c.col AND o.sym_kind IS NOT NULL)""",
+    "o_i5": """
+        SELECT c.uri, c.line, c.col, 'argument-count' AS code, '`' || c.name || '` takes ' || CASE WHEN n_optional = 0 THEN '' || n_required
+            ELSE n_required || '..' || (n_required + n_optional) END || ' argument' || CASE WHEN n_required + n_optional = 1 THEN '' ELSE 's' END
+            || ', but ' || (n_positional + CASE WHEN keywords AND NOT has_keywords THEN 1 ELSE 0 END) || ' given' AS message, 'warning' AS severity, 'high' AS confidence
+        FROM candidates c JOIN (SELECT receiver, name FROM o_found_i GROUP BY 1, 2 HAVING count(*) = 1) u ON u.receiver = c.receiver_type AND u.name = c.name
+        JOIN o_found_i d ON d.receiver = u.receiver AND d.name = u.name
+        WHERE c.kind = 'method_call' AND c.receiver_form = 'expression' AND NOT splat AND d.n_sites = 1 AND NOT has_rest
+          AND NOT (n_positional + CASE WHEN keywords AND NOT has_keywords THEN 1 ELSE 0 END BETWEEN n_required AND n_required + n_optional)""",
+})
+_F = ", ".join(I.FINDING)
+
+
+def closed(f):
+    names = L.reopened(chain(f), registry(f), f["types"], signature_types(f))
+    return f.derived("closed", lambda: durable(L.closed_chains(reasons(f), chain(f), names)))
+
+
+def signature_hits(f):
+    owners = chain(f).filter("name IS NOT NULL").select(
+        F.col("owner").alias("receiver"), N.qualify_owner("name").alias("owner"), F.col("decl_side").alias("kind")
+    )
+    return owners.join(f["signature_methods"], ["owner", "kind"]).select("receiver", "name").distinct()
+
+
+def routes_loaded(f):
+    return f["routes"].agg((F.count(F.lit(1)) > 0).alias("loaded"))
+
+
+@query("i1_syntax_error", f"SELECT {_F} FROM o_i1")
+def syntax_error(f):
+    return I.syntax_errors(f.sql(_SYNTAX))
+
+
+@query("i2_unknown_method", f"SELECT {_F} FROM o_i2")
+def unknown_method(f):
+    return I.unknown_methods(resolved_calls(f), closed(f), f["models"], f["model_members"], signature_hits(f))
+
+
+@query("i3_unresolved_constant", f"SELECT {_F} FROM o_i3")
+def unresolved_constant(f):
+    return I.unresolved_constants(f["candidates"], type_index(f["types"]), signature_types(f))
+
+
+@query("i4_unknown_route_helper", f"SELECT {_F} FROM o_i4")
+def unknown_route_helper(f):
+    return I.unknown_route_helpers(resolved_calls(f), f["routes"], routes_loaded(f))
+
+
+@query("i5_argument_count", f"SELECT {_F} FROM o_i5")
+def argument_count(f):
+    return I.argument_counts(calls(f).filter("receiver_form = 'expression'"), found(f))
+
+
+# Arguments: types of two positional arguments per call; the expected types come
+# from one overload per declared method symbol.
+_ARGS = """SELECT uri, line, col, receiver_type, name, CASE col % 4 WHEN 0 THEN 'Integer' WHEN 1 THEN 'K' || col WHEN 2 THEN 'Array[User]' ELSE 'Float' END AS a1,
+  CASE col % 3 WHEN 0 THEN 'K' || (col % 100) ELSE 'String' END AS a2, n_positional FROM candidates WHERE kind = 'method_call' AND receiver_form = 'expression'"""
+_EXPECT = """SELECT receiver, name, CASE rank % 3 WHEN 0 THEN 'Float' WHEN 1 THEN 'K0' ELSE 'Kernel' END AS required,
+  CASE rank % 2 WHEN 0 THEN 'M4' ELSE 'String' END AS optional FROM"""
+CHECK_SQL["o_i6"] = f"""
+        SELECT uri, line, col, 'argument-type' AS code, '`' || name || '` expects ' || expected || ' here, but ' || actual || ' is given' AS message,
+          'warning' AS severity, 'high' AS confidence
+        FROM (SELECT a.uri, a.line, a.col, a.name, a1 AS actual, required AS expected FROM ({_ARGS}) a JOIN ({_EXPECT} o_near) e
+            ON e.receiver = a.receiver_type AND e.name = a.name WHERE n_positional BETWEEN 1 AND 2
+          UNION ALL SELECT a.uri, a.line, a.col, a.name, a2, optional FROM ({_ARGS}) a JOIN ({_EXPECT} o_near) e
+            ON e.receiver = a.receiver_type AND e.name = a.name WHERE n_positional = 2) p
+        WHERE actual <> 'Array[User]' AND expected <> 'Kernel' AND NOT (actual = 'Integer' AND expected = 'Float') AND actual <> expected
+          AND NOT EXISTS (SELECT 1 FROM chain_i c WHERE c.owner = '::' || actual AND ltrim(c.name, ':') = expected)"""
+
+
+def argument_rows(f):
+    args = f.sql(_ARGS)
+    typed = F.when(F.col("n_positional") == 1, F.array("a1")).when(F.col("n_positional") == 2, F.array("a1", "a2"))
+    many = F.transform(F.sequence(F.lit(1), F.col("n_positional").cast("int")), lambda _: F.lit("Integer"))
+    arg_types = F.when(F.col("n_positional") == 0, F.array().cast("array<string>")).otherwise(F.coalesce(typed, many))
+    near = L.nearest(found(f)).select("receiver", "name", "rank")
+    first = F.when(F.col("rank") % 3 == 0, "Float").when(F.col("rank") % 3 == 1, "K0").otherwise("Kernel")
+    second = F.when(F.col("rank") % 2 == 0, "M4").otherwise("String")
+    expected = near.select(
+        "receiver", "name", F.array(first).alias("required"), F.array(second).alias("optional"), F.array().cast("array<string>").alias("trailing")
+    )
+    no_signatures = f["region"].select(F.col("r_name").alias("name"), F.col("r_name").alias("ancestor"))
+    return I.argument_types(
+        args.withColumn("arg_types", arg_types), expected, I.reachable_names(chain(f), no_signatures)
+    )
+
+
+@query("i6_argument_type", f"SELECT {_F} FROM o_i6")
+def argument_type(f):
+    return argument_rows(f)
+
+
+_PAIRS = """SELECT DISTINCT 'K' || (l_partkey % 300) AS actual, 'K' || l_suppkey AS expected FROM lineitem"""
+
+
+@query(
+    "c24_compatible_type",
+    f"""SELECT actual, expected FROM ({_PAIRS}) p WHERE NOT EXISTS (SELECT 1 FROM chain_i c WHERE c.owner = '::' || actual AND ltrim(c.name, ':') = expected)
+      AND actual <> expected""",
+)
+def compatible_type(f):
+    none = f["region"].select(F.col("r_name").alias("name"), F.col("r_name").alias("ancestor"))
+    return I.incompatible(f.sql(_PAIRS), I.reachable_names(chain(f), none))
+
+
+_DOUBT = """SELECT l_orderkey AS id, l_linenumber AS n, l_partkey AS p, CASE l_partkey % 4 WHEN 0 THEN 'C' || (l_partkey % 40) WHEN 1 THEN 'K' || (l_partkey % 1000)
+    WHEN 2 THEN '::N' || (l_partkey % 25) || '::C' || (l_partkey % 40) ELSE 'User | nil' END AS receiver_type,
+  CASE l_partkey % 5 WHEN 0 THEN '::C' || (l_partkey % 40) ELSE 'x' END AS receiver FROM lineitem"""
+
+
+@query(
+    "i8_diagnostics_context",
+    f"""WITH d AS ({_DOUBT}), q AS (SELECT id, n, p, receiver_type, receiver, ltrim(receiver_type, ':') AS bare FROM d),
+    e AS (SELECT DISTINCT name FROM types), s AS (SELECT string_split(name, '::')[-1] AS simple, count(DISTINCT name) AS n, min(name) AS first FROM types GROUP BY 1)
+    SELECT id, q.n, p, CASE WHEN receiver_type NOT LIKE '% | %' AND (
+        (NOT EXISTS (SELECT 1 FROM e WHERE e.name = '::' || bare) AND s.simple IS NOT NULL AND (contains(bare, '::') OR s.n > 1))
+        OR (receiver LIKE '::%' AND NOT EXISTS (SELECT 1 FROM e WHERE e.name = '::' || bare) AND NOT contains(bare, '::') AND s.simple IS NOT NULL AND ltrim(s.first, ':') <> bare))
+      THEN 'Unknown' ELSE receiver_type END AS receiver_type
+    FROM q LEFT JOIN s ON s.simple = string_split(bare, '::')[-1]""",
+)
+def diagnostics_context(f):
+    return I.certain_receivers(f.sql(_DOUBT), type_index(f["types"]), signature_types(f)).select("id", "n", "p", "receiver_type")
+
+
+def findings(f, mode="standard"):
+    def build():
+        syntax = I.syntax_errors(f.sql(_SYNTAX))
+        rules = [unknown_method(f), unresolved_constant(f), unknown_route_helper(f), argument_count(f), argument_rows(f)]
+        return durable(I.combine(syntax, rules, mode))
+
+    return f.derived(f"findings_{mode}", build)
+
+
+CHECK_SQL["o_findings"] = f"""
+        SELECT {_F} FROM o_i1 UNION ALL SELECT {_F} FROM (SELECT * FROM o_i2 UNION ALL SELECT * FROM o_i3 UNION ALL SELECT * FROM o_i4
+          UNION ALL SELECT * FROM o_i5 UNION ALL SELECT * FROM o_i6) WHERE uri NOT IN (SELECT uri FROM o_i1)"""
+
+
+@query("e8_findings_summary", "SELECT code, count(*) AS n FROM o_findings GROUP BY code")
+def findings_summary(f):
+    return I.summary(findings(f))
+
+
+@query(
+    "e8_findings_compare",
+    """SELECT code, count(*) FILTER (code <> 'unresolved-constant') AS n_before, count(*) AS n_after FROM o_findings GROUP BY code""",
+)
+def findings_compare(f):
+    safe = findings(f).filter("code <> 'unresolved-constant'")
+    return I.compare_summaries(I.summary(safe), I.summary(findings(f)))
+
+
+@query(
+    "g11_finding_budget",
+    f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY uri ORDER BY CASE code WHEN 'syntax-error' THEN 0 WHEN 'unknown-method' THEN 1 WHEN 'unresolved-constant' THEN 2
+      WHEN 'unknown-route-helper' THEN 3 WHEN 'argument-count' THEN 4 WHEN 'argument-type' THEN 5 ELSE 6 END, line, col, message) AS rank FROM o_findings)
+    SELECT {_F}, rank FROM r WHERE rank <= 2""",
+)
+def finding_budget(f):
+    return I.within_budget(findings(f), 2).select(*I.FINDING, "rank")
