@@ -114,3 +114,20 @@ def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, s
 def distinct_count(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
     """Distinct values per key in two combining aggregations."""
     return df.select(*keys, value).distinct().groupBy(*keys).agg(F.count(value).alias(out))
+
+
+def running_max(
+    df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[Column], value: Column, out: str
+) -> DataFrame:
+    """Largest ``value`` at or before each row per key, spread over buckets."""
+    tagged = df.withColumn("_b", bucket).withColumn("_v", value)
+    tails = tagged.groupBy(*keys, "_b").agg(F.max("_v").alias("_t"))
+    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    carried = tails.select(*keys, "_b", F.max("_t").over(before).alias("_carry"))
+    within = Window.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    local = tagged.withColumn("_l", F.max("_v").over(within))
+    return (
+        local.join(carried, [*keys, "_b"])
+        .withColumn(out, F.when(F.col("_carry") > F.col("_l"), F.col("_carry")).otherwise(F.col("_l")))
+        .drop("_b", "_v", "_l", "_carry")
+    )
