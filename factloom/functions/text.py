@@ -11,8 +11,8 @@ _START = rf"(?<!{_WORD})"
 _END = rf"(?!{_WORD})"
 
 # What counts as a secret, in the order it is removed.
-BEARER = rf"(?i){_START}Bearer\s+[A-Za-z0-9\-._~+/]+=*"
-BASIC = rf"(?i){_START}Basic\s+[A-Za-z0-9\-._~+/]+=*"
+BEARER = rf"(?i)Bearer(?<!{_WORD}Bearer)\s+[A-Za-z0-9\-._~+/]+=*"
+BASIC = rf"(?i)Basic(?<!{_WORD}Basic)\s+[A-Za-z0-9\-._~+/]+=*"
 URL_PASSWORD = r"([a-zA-Z][a-zA-Z0-9+.\-]*://)([^:/?\s@]+):([^/?\s]+)@"
 KNOWN_SECRET = (
     rf"{_START}AKIA[0-9A-Z]{{16}}{_END}"
@@ -24,19 +24,28 @@ CREDENTIAL_KEY = (
     r"(?i)(password|passwd|secret|api[_-]?key|token|access[_-]?key|credential)"
     r"(\s*[:=]\s*\"?)([^\s\"',}]+)"
 )
-GENERIC_TOKEN = rf"{_START}[A-Za-z0-9\-_]{{20,}}{_END}"
-GENERIC_TOKEN_EDGES = r"\b[A-Za-z0-9\-_]{20,}\b"
+GENERIC_TOKEN = r"\b[A-Za-z0-9\-_]{20,}\b"
 # User directories in paths, and names that belong to nobody.
 HOME_PATH = r"[/\\](?:Users|home)[/\\]([A-Za-z0-9._-]*[A-Za-z0-9][A-Za-z0-9._-]*)"
 SYNTHETIC_USERS = ("example", "exampleuser", "dev", "rhc", "runner", "runneradmin")
 
+# What a text must contain for a pattern to be worth running, per pattern. The
+# plain search is far cheaper than the expression and never rules out a match.
+_HINTS = {
+    "bearer": (True, ("bearer",)),
+    "basic": (True, ("basic",)),
+    "url_password": (False, ("://",)),
+    "known_secret": (False, ("AKIA", "_live_", "_test_", "gh", "xox")),
+    "credential_key": (True, ("passw", "secret", "key", "token", "credential")),
+}
+
 SECRET_PATTERNS = {
     "bearer": BEARER,
     "basic": BASIC,
     "url_password": URL_PASSWORD,
     "known_secret": KNOWN_SECRET,
     "credential_key": CREDENTIAL_KEY,
-    "generic_token": GENERIC_TOKEN_EDGES,
+    "generic_token": GENERIC_TOKEN,
 }
 
 
@@ -44,26 +53,46 @@ def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def _may_match(text: Column, pattern: str) -> Column:
+    if pattern not in _HINTS:
+        return F.lit(True)
+    fold, hints = _HINTS[pattern]
+    hay = F.lower(text) if fold else text
+    out = hay.contains(hints[0])
+    for h in hints[1:]:
+        out = out | hay.contains(h)
+    return out
+
+
+def _replace(text: Column, source: Column, pattern: str, by: str) -> Column:
+    # The hint is looked up in the original text: removing secrets adds none.
+    return F.when(_may_match(source, pattern), F.regexp_replace(text, SECRET_PATTERNS[pattern], by)).otherwise(text)
+
+
 def redact(text: Column | str, home: str | None = None) -> Column:
     """Secrets replaced by ``[REDACTED]``; the given home directory by ``~``."""
-    t = F.regexp_replace(_c(text), BEARER, "Bearer [REDACTED]")
-    t = F.regexp_replace(t, BASIC, "Basic [REDACTED]")
-    t = F.regexp_replace(t, URL_PASSWORD, "$1$2:[REDACTED]@")
-    t = F.regexp_replace(t, KNOWN_SECRET, "[REDACTED]")
-    t = F.regexp_replace(t, CREDENTIAL_KEY, "$1$2[REDACTED]")
+    source = _c(text)
+    t = _replace(source, source, "bearer", "Bearer [REDACTED]")
+    t = _replace(t, source, "basic", "Basic [REDACTED]")
+    t = _replace(t, source, "url_password", "$1$2:[REDACTED]@")
+    t = _replace(t, source, "known_secret", "[REDACTED]")
+    t = _replace(t, source, "credential_key", "$1$2[REDACTED]")
     return F.replace(t, F.lit(home), F.lit("~")) if home else t
 
 
 def redact_generic_tokens(text: Column | str) -> Column:
     """Any 20 or more token characters in a row; broad, so opt-in."""
-    return F.regexp_replace(_c(text), GENERIC_TOKEN_EDGES, "[REDACTED]")
+    return F.regexp_replace(_c(text), GENERIC_TOKEN, "[REDACTED]")
 
 
 def pattern_hits(text: Column | str) -> Column:
     """One struct per secret pattern with its number of matches."""
     return F.array(
         *[
-            F.struct(F.lit(name).alias("pattern"), F.regexp_count(_c(text), F.lit(p)).cast("bigint").alias("hits"))
+            F.struct(
+                F.lit(name).alias("pattern"),
+                F.when(_may_match(_c(text), name), F.regexp_count(_c(text), F.lit(p))).otherwise(0).cast("bigint").alias("hits"),
+            )
             for name, p in SECRET_PATTERNS.items()
         ]
     )

@@ -109,16 +109,17 @@ def propagate_return_types(
 def _on_cycles(edges: DataFrame) -> DataFrame:
     """symbol_id, cycle: methods that can reach themselves, labelled by the
     strongly connected part they form."""
-    # Peel off everything without callers or without callees; what stays is on
-    # or between cycles.
+    # Peel off what has no callers or no callees; what stays is on or between
+    # cycles. A long chain is not worth a round per link, hence the limit.
     core = edges.filter("caller <> callee")
     selfish = edges.filter("caller = callee").select(F.col("caller").alias("symbol_id"))
-    while True:
+    left = core.count()
+    for _ in range(MAX_DEPTH):
         callers = core.select(F.col("caller").alias("callee")).distinct()
         callees = core.select(F.col("callee").alias("caller")).distinct()
-        before = core
         core = durable(core.join(callers, "callee", "left_semi").join(callees, "caller", "left_semi"))
-        if core.count() == before.count():
+        before, left = left, core.count()
+        if left == before:
             break
     parts: DataFrame | None = None
     remaining = core

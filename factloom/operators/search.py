@@ -29,16 +29,20 @@ def workspace_search(queries: DataFrame, declarations: DataFrame, limit: int = S
     query whatever its case; exact matches first, then by name and place.
 
     ``queries``: qid, text. ``declarations``: kind, owner, name, uri, line, col.
-    Queries meet the dictionary of distinct simple names through their first
-    three characters, and each simple name brings at most ``limit`` sites.
+    Queries meet the dictionary of distinct simple names through their rarest
+    run of three characters, and each simple name brings at most ``limit`` sites.
     """
     sited = declarations.withColumn("_key", N.simple_name_key("name"))
     order = [F.coalesce(F.col(c), F.lit("")) if c == "owner" else F.col(c) for c in _SITE]
     sites = top_k(sited, ["_key"], order, limit).drop("rank")
     keys = sited.select("_key").distinct().select("_key", F.explode(_grams(F.col("_key"), 3)).alias("_g"))
     asked = queries.select("qid", F.lower("text").alias("_q")).distinct()
-    asked = asked.withColumn("_g", F.substr("_q", F.lit(1), F.lit(3)))
-    hits = asked.join(keys, "_g").filter(F.col("_key").contains(F.col("_q"))).select("qid", "_q", "_key")
+    size = F.least(F.length("_q"), F.lit(3))
+    starts = F.sequence(F.lit(1), F.length("_q") - size + 1)
+    runs = asked.filter("_q <> ''").select("qid", "_q", F.explode(F.transform(starts, lambda i: F.substr(F.col("_q"), i, size))).alias("_g"))
+    frequency = keys.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
+    rarest = runs.join(frequency, "_g").groupBy("qid", "_q").agg(F.min_by("_g", F.struct("_n", "_g")).alias("_g"))
+    hits = rarest.join(keys, "_g").filter(F.col("_key").contains(F.col("_q"))).select("qid", "_q", "_key")
     matches = hits.join(sites, "_key").withColumn("_exact", F.when(F.col("_key") == F.col("_q"), 0).otherwise(1))
     return top_k(matches.drop("_q"), ["qid"], [F.col("_exact"), *order], limit).select("qid", "rank", *_SITE)
 

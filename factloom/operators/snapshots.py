@@ -114,23 +114,27 @@ def snapshot_key(parts: Sequence[Column | str] = KEY_PARTS) -> Column:
     return F.sha2(F.concat_ws("|", *[F.col(p) if isinstance(p, str) else p for p in parts]), 256)
 
 
-def inputs_fingerprint(files: DataFrame, group: str, shards: int = 256) -> DataFrame:
+SHARD_FILES = 4096
+
+
+def inputs_fingerprint(files: DataFrame, group: str, shard_files: int = SHARD_FILES) -> DataFrame:
     """Fingerprint of each file set: group, n_files, fingerprint.
 
-    The list of a set is hashed in shards by path, then the shard digests are
-    hashed in order, so a set of any size never meets in one place.
+    A set is split by path into shards of about ``shard_files`` entries, their
+    number following from its size alone; shards are hashed in text order and
+    then their digests in shard order, so no set ever meets in one place.
     """
+    sizes = files.groupBy(group).agg(F.count(F.lit(1)).alias("n_files"))
     entry = F.concat_ws(":", "path", F.col("mtime").cast("string"), F.col("size").cast("string"))
-    sharded = files.select(
-        group, F.pmod(F.crc32(F.encode("path", "UTF-8")), F.lit(shards)).alias("shard"), entry.alias("entry")
+    shards = F.ceil(F.col("n_files") / shard_files)
+    sharded = files.join(sizes, group).select(
+        group, "n_files", F.pmod(F.crc32(F.encode("path", "UTF-8")), shards).alias("shard"), entry.alias("entry")
     )
-    parts = sharded.groupBy(group, "shard").agg(
-        F.sha2(F.array_join(F.array_sort(F.collect_list("entry")), "|"), 256).alias("digest"), F.count(F.lit(1)).alias("n")
+    parts = sharded.groupBy(group, "n_files", "shard").agg(
+        F.sha2(F.array_join(F.array_sort(F.collect_list("entry")), "|"), 256).alias("digest")
     )
     listed = F.transform(F.array_sort(F.collect_list(F.struct("shard", "digest"))), lambda s: s["digest"])
-    return parts.groupBy(group).agg(
-        F.sum("n").alias("n_files"), F.sha2(F.array_join(listed, "|"), 256).alias("fingerprint")
-    )
+    return parts.groupBy(group, "n_files").agg(F.sha2(F.array_join(listed, "|"), 256).alias("fingerprint"))
 
 
 def _cutoff(rows: DataFrame, keys: Sequence[str], order: Sequence[str], keep: int) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions import typeexpr as X
-from factloom.functions.skew import pick_first, running_max, running_sum
+from factloom.functions.skew import pick_first, previous_row, running_max, running_sum
 
 PAIR_SCHEMA = (
     "fiber bigint, call_key string, call_seq bigint, return_seq bigint, raised boolean, call_payload string, "
@@ -208,13 +208,22 @@ def publish_latest(results: DataFrame, bucket: int = 100_000) -> DataFrame:
     return ranked.filter(shown).drop("_open", "_best")
 
 
-def coalesce_changes(changes: DataFrame, gap: str) -> DataFrame:
+def coalesce_changes(changes: DataFrame, gap_seconds: int) -> DataFrame:
     """uri, first_ts, n, version: one analysis per burst of changes, of its last
-    version. Works on streams (with a watermark on ``ts``) and on tables."""
-    burst = F.session_window("ts", gap)
-    return changes.groupBy("uri", burst.alias("w")).agg(
-        F.count(F.lit(1)).alias("n"), F.max_by("version", F.struct("version", "ts")).alias("version")
-    ).select("uri", F.col("w.start").alias("first_ts"), "n", "version")
+    version. A burst ends when nothing follows within the gap.
+
+    The changes of one file are spread over stretches of time, so a file that is
+    edited all day is not one task's work."""
+    changes = changes.withColumn("ts", F.col("ts").cast("timestamp"))
+    at = F.unix_micros("ts")
+    stretch = F.floor(at / (64 * gap_seconds * 1_000_000))
+    order = [F.col("ts"), F.col("version")]
+    prev = previous_row(changes, ["uri"], stretch, order, ["ts"], "_p_")
+    fresh = F.when(at < F.unix_micros("_p_ts") + gap_seconds * 1_000_000, 0).otherwise(1)
+    numbered = running_sum(prev.withColumn("_f", fresh).drop("_p_ts"), ["uri"], stretch, order, F.col("_f"), "burst")
+    return numbered.groupBy("uri", "burst").agg(
+        F.min("ts").alias("first_ts"), F.count(F.lit(1)).alias("n"), F.max("version").alias("version")
+    ).drop("burst")
 
 
 def collapse_requests(requests: DataFrame, passes: DataFrame) -> DataFrame:

@@ -123,16 +123,17 @@ def snapshot_key(f):
     return f["documents"].select("doc_id", S.snapshot_key(parts).alias("snapshot_key"))
 
 
-@query("a10_inputs_fingerprint", "SELECT source, count(*) AS n_files, bool_and(true) AS stable FROM documents GROUP BY 1")
+@query(
+    "a10_inputs_fingerprint",
+    """SELECT source, count(*) AS n_files, sha256(sha256(string_agg('d' || doc_id || ':' || doc_id || ':' || n_chars, '|' ORDER BY 'd' || doc_id || ':' || doc_id || ':' || n_chars))) AS fingerprint
+    FROM documents GROUP BY 1""",
+)
 def inputs_fingerprint(f):
     files = f["documents"].select(
         "source", F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("path"), F.col("doc_id").alias("mtime"),
         F.col("n_chars").alias("size"),
     )
-    first = S.inputs_fingerprint(files, "source")
-    # The same files listed in another order have the same fingerprint.
-    again = S.inputs_fingerprint(files.orderBy(F.desc("path")), "source").select("source", F.col("fingerprint").alias("other"))
-    return first.join(again, "source").select("source", "n_files", (F.col("fingerprint") == F.col("other")).alias("stable"))
+    return S.inputs_fingerprint(files, "source")
 
 
 _SNAPS = """SELECT 'w' || (o_custkey % 50) AS workspace, 's' || o_orderkey AS snapshot,

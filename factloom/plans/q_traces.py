@@ -119,7 +119,7 @@ _CHANGES = "SELECT 'u' || user_id AS uri, ts, event_id AS version FROM events"
     SELECT uri, min(ts) AS first_ts, count(*) AS n, max(version) AS version FROM s GROUP BY uri, k""",
 )
 def coalesce_changes(f):
-    return T.coalesce_changes(f.sql(_CHANGES), "30 minutes")
+    return T.coalesce_changes(f.sql(_CHANGES), 30 * 60)
 
 
 @query("e1_observed_signatures", "SELECT symbol, parameter_types, return_type, samples, fingerprint FROM o_observed")

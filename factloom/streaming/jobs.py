@@ -126,8 +126,12 @@ def observed_counts(pairs: DataFrame) -> DataFrame:
 
 
 def coalesced_stream(changes: DataFrame, gap: str, late: str) -> DataFrame:
-    """Bursts of changes, each emitted once it can no longer grow."""
-    return T.coalesce_changes(changes.withWatermark("ts", late), gap)
+    """Bursts of changes (uri, ts, version), each emitted once it can no longer
+    grow: uri, first_ts, n, version."""
+    bursts = changes.withWatermark("ts", late).groupBy("uri", F.session_window("ts", gap).alias("w"))
+    return bursts.agg(F.count(F.lit(1)).alias("n"), F.max("version").alias("version")).select(
+        "uri", F.col("w.start").alias("first_ts"), "n", "version"
+    )
 
 
 def _newest(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
