@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions import names as N
+from factloom.session import durable
 
 
 def _winner() -> Column:
@@ -30,8 +31,9 @@ class TypeIndex:
     by_simple: DataFrame  # last segment -> first type, number of types
 
 
-def type_index(types: DataFrame) -> TypeIndex:
-    """``types``: name (qualified), kind in class/module; duplicates allowed."""
+def type_index(types: DataFrame, keep: bool = False) -> TypeIndex:
+    """``types``: name (qualified), kind in class/module; duplicates allowed.
+    ``keep`` writes the tables once, for callers that look up more than once."""
     distinct = types.filter(F.col("kind").isin("class", "module")).select("name", "kind").distinct()
     exact = distinct.groupBy("name").agg(F.min("kind").alias("kind"))
     suffix = (
@@ -52,7 +54,7 @@ def type_index(types: DataFrame) -> TypeIndex:
             "simple", F.col("w.name").alias("name"), F.col("w.kind").alias("kind"), "n_names", "n_symbols"
         )
     )
-    return TypeIndex(exact, suffix, simple)
+    return TypeIndex(*[durable(t) if keep else t for t in (exact, suffix, simple)])
 
 
 def resolve_types(written: DataFrame, index: TypeIndex, col: str = "name") -> DataFrame:

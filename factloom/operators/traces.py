@@ -214,12 +214,11 @@ def coalesce_changes(changes: DataFrame, gap_seconds: int) -> DataFrame:
 
     The changes of one file are spread over stretches of time, so a file that is
     edited all day is not one task's work."""
-    changes = changes.withColumn("ts", F.col("ts").cast("timestamp"))
-    at = F.unix_micros("ts")
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
     stretch = F.floor(at / (64 * gap_seconds * 1_000_000))
     order = [F.col("ts"), F.col("version")]
     prev = previous_row(changes, ["uri"], stretch, order, ["ts"], "_p_")
-    fresh = F.when(at < F.unix_micros("_p_ts") + gap_seconds * 1_000_000, 0).otherwise(1)
+    fresh = F.when(at < F.unix_micros(F.col("_p_ts").cast("timestamp")) + gap_seconds * 1_000_000, 0).otherwise(1)
     numbered = running_sum(prev.withColumn("_f", fresh).drop("_p_ts"), ["uri"], stretch, order, F.col("_f"), "burst")
     return numbered.groupBy("uri", "burst").agg(
         F.min("ts").alias("first_ts"), F.count(F.lit(1)).alias("n"), F.max("version").alias("version")

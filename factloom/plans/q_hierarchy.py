@@ -17,7 +17,7 @@ def hierarchy(f):
     def build():
         facts = f["ancestor_facts"].withColumn("nesting", F.array(F.col("owner")))
         types = f["types"]
-        return H.build(facts, types, type_index(types))
+        return H.build(facts, types, type_index(types, keep=True))
 
     return f.derived("hierarchy", build)
 
@@ -63,8 +63,8 @@ def unidentified_links(f):
     "SELECT owner, count(*) AS n, count(DISTINCT name || decl_side) AS n_named, count(*) FILTER (name IS NULL) AS n_unnamed FROM chain_s GROUP BY owner",
 )
 def dedupe_chain(f):
-    chain = chain(f, singleton=True)
-    return chain.groupBy("owner").agg(
+    rows = chain(f, singleton=True)
+    return rows.groupBy("owner").agg(
         F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("name").isNotNull(), 1)).alias("n_named"),
         F.count(F.when(F.col("name").isNull(), 1)).alias("n_unnamed"),
     )

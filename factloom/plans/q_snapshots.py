@@ -261,7 +261,7 @@ def ingest_route_facts(f):
     )
 
 
-@query("a18_fact_sink", "SELECT source AS repo_id, count(*) AS n, sum(n_chars) AS chars FROM documents GROUP BY 1")
+@query("a18_fact_sink", "SELECT source AS repo_id, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY 1")
 def fact_sink(f):
     out = os.path.join(sinks.scratch_dir(f.spark), "facts")
     rows = f["documents"].select(F.col("source").alias("repo_id"), F.lit(1).alias("snapshot_id"), "doc_id", "n_chars")

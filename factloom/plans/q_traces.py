@@ -176,7 +176,7 @@ _PASS = "SELECT DISTINCT 'r' || (user_id % 10) AS repo, date_trunc('hour', ts) A
     SELECT p.repo, p.start, count(*) AS n FROM p JOIN ({_REQ}) r ON r.repo = p.repo AND date_trunc('hour', r.at) = p.prev GROUP BY 1, 2""",
 )
 def rerun_requests(f):
-    return T.collapse_requests(f.sql(_REQ), f.sql(_PASS))
+    return T.collapse_requests(f.sql(_REQ), f.sql(_PASS)).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 @query(
