@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import byte_bpe, fingerprints, language_id, mixing, perplexity, quality_rules, substring_dedup, token_counts
+from factloom.llm import byte_bpe, fingerprints, jaccard_join, language_id, mixing, perplexity, quality_rules, substring_dedup, suffix_dedup, token_counts
 
-_MODULES = (mixing, perplexity, language_id, substring_dedup, quality_rules, token_counts, byte_bpe, fingerprints)
+_MODULES = (mixing, suffix_dedup, jaccard_join, perplexity, language_id, substring_dedup, quality_rules, token_counts, byte_bpe, fingerprints)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
