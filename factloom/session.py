@@ -70,5 +70,5 @@ def durable(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     _ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
