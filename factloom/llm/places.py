@@ -4,7 +4,8 @@ One row of such a shuffle holds what a slice of texts has for one bucket of
 hashes, so a place costs a few bytes. Every hash goes to the bucket its value
 names; a bucket holds a bounded share of the text. What a slice can settle by
 itself is settled there and sent on once, so a hash that a third of all
-documents share costs one place per slice, not one per document.
+documents share costs one place per slice, not one per document. What is found goes back to
+the documents the same way, one row per bucket and group of documents.
 """
 
 from __future__ import annotations
@@ -15,23 +16,34 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
-from factloom.llm.packed import pack, unpack
+from factloom.llm.packed import pack, slices, unpack
 from factloom.llm.tables import row_check
 
 PACKED = "bucket int, known boolean, hashes binary, places binary"
-PLACES = "_id long, _check int, _at binary"
+HITS = "_group int, docs binary, values binary"
 _PACKED_ARROW = pa.schema([("bucket", pa.int32()), ("known", pa.bool_()), ("hashes", pa.binary()), ("places", pa.binary())])
+_HITS_ARROW = pa.schema([("_group", pa.int32()), ("docs", pa.binary()), ("values", pa.binary())])
+_PRIME, _STEP = (1 << 31) - 1, 1_000_003
 
 
-def keyed(docs: DataFrame, id_column: str, text: str) -> DataFrame:
-    """Add the key of a row: id and text hash, without nulls (a null id has a negative check)."""
+def keyed(docs: DataFrame, id_column: str, text: str, groups: int = 1) -> DataFrame:
+    """Add the key of a row, id and text hash without nulls (a null id has a negative check), and its group."""
     check = row_check(text)
-    return docs.select(
+    found = docs.select(
         *[F.col(f"`{c}`") for c in docs.columns],
         F.coalesce(F.col(f"`{id_column}`").cast("long"), F.lit(0)).alias("_id"),
         F.when(F.col(f"`{id_column}`").isNull(), -1 - check).otherwise(check).alias("_check"),
     )
+    spread = F.pmod("_id", F.lit(_PRIME)) * _STEP + F.when(F.col("_check") < 0, -1 - F.col("_check")).otherwise(F.col("_check"))
+    return found.withColumn("_group", (spread % groups).cast("int"))
+
+
+def group_of(ids: np.ndarray, checks: np.ndarray, groups: int) -> np.ndarray:
+    """The groups that ``keyed`` gives to these keys."""
+    return (ids % _PRIME * _STEP + np.where(checks < 0, -1 - checks, checks)) % groups
 
 
 def packed_rows(
@@ -66,16 +78,23 @@ def _opened(block: bytes) -> tuple[np.ndarray, ...]:
     return ids, checks, counts, at
 
 
-def place_batch(ids: np.ndarray, checks: np.ndarray, counts: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
-    """Rows of ``PLACES`` with the positions of each document as 32-bit numbers."""
-    offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32) * 4
-    data = np.ascontiguousarray(at, np.uint32)
-    binary = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())])
-    return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(checks), binary], names=["_id", "_check", "_at"])
+def hit_rows(ids: np.ndarray, checks: np.ndarray, doc: np.ndarray, groups: int, *values: np.ndarray) -> pa.Table:
+    """Values of documents (``doc`` numbers them) as rows of ``HITS``, one per group of documents."""
+    group = group_of(ids, checks, groups)
+    order = np.lexsort((doc, group[doc]))
+    doc, values = doc[order], [np.ascontiguousarray(v[order], np.uint32) for v in values]
+    cuts = np.flatnonzero(np.diff(group[doc])) + 1
+    out = []
+    for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(doc)], strict=True):
+        if hi > lo:
+            heads = lo + np.concatenate([[0], np.flatnonzero(np.diff(doc[lo:hi])) + 1])
+            docs = pack(ids[doc[heads]], checks[doc[heads]], np.diff(np.append(heads, hi)))
+            out.append((int(group[doc[lo]]), docs, pack(*(v[lo:hi] for v in values))))
+    return pa.table([pa.array([r[k] for r in out], f.type) for k, f in enumerate(_HITS_ARROW)], schema=_HITS_ARROW)
 
 
-def meet(packed: DataFrame, width: int, decide: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
-    """Places whose hash passes ``decide(runs, at)``, plus those already known.
+def meet(packed: DataFrame, width: int, decide: Callable[[np.ndarray, np.ndarray], np.ndarray], groups: int) -> DataFrame:
+    """Places (rows of ``HITS``) whose hash passes ``decide(runs, at)``, plus those already known.
 
     ``runs`` numbers the hash of each place from 0; ``decide`` answers for each
     number. One bucket is in memory at a time.
@@ -84,34 +103,62 @@ def meet(packed: DataFrame, width: int, decide: Callable[[np.ndarray, np.ndarray
 
     def one_bucket(table: pa.Table) -> pa.Table:
         rows = table.select(["known", "hashes", "places"]).to_pylist()
-        out, opened = [], []
-        for r in rows:
-            places = _opened(r["places"])
-            if r["known"]:
-                out.append(place_batch(*places))
-            else:
-                opened.append((np.frombuffer(r["hashes"], kind), *places))
+        out = [_HITS_ARROW.empty_table()]
+        known = [_opened(r["places"]) for r in rows if r["known"]]
+        if known:
+            ids, checks, counts, at = (np.concatenate(x) for x in zip(*known, strict=True))
+            out.append(hit_rows(ids, checks, np.repeat(np.arange(len(ids)), counts), groups, at))
+        opened = [(np.frombuffer(r["hashes"], kind), *_opened(r["places"])) for r in rows if not r["known"]]
         if opened:
             hashes, ids, checks, counts, at = (np.concatenate(x) for x in zip(*opened, strict=True))
             order = np.argsort(hashes)
             runs = np.empty(len(order), np.int64)
-            runs[order] = np.cumsum(np.concatenate([[0], np.diff(hashes[order]) != 0])) if len(order) else 0
+            runs[order] = np.cumsum(np.concatenate([[0], np.diff(hashes[order]) != 0]))
             hit = decide(runs, at)[runs]
-            doc = np.repeat(np.arange(len(ids)), counts)[hit]
-            n = np.bincount(doc, minlength=len(ids))
-            some = n > 0
-            out.append(place_batch(ids[some], checks[some], n[some], at[hit]))
-        return pa.Table.from_batches(out)
+            out.append(hit_rows(ids, checks, np.repeat(np.arange(len(ids)), counts)[hit], groups, at[hit]))
+        return pa.concat_tables(out)
+
+    return packed.groupBy("bucket").applyInArrow(one_bucket, HITS)
 
-    return packed.groupBy("bucket").applyInArrow(one_bucket, PLACES)
 
+class Located:
+    """The hits of a group of documents, by row of the group's table."""
 
-def gathered(places: DataFrame) -> DataFrame:
-    """All positions of a document in one row."""
-    return places.groupBy("_id", "_check").agg(F.collect_list("_at").alias("_at"))
+    def __init__(self, docs: pa.Table, hits: pa.Table) -> None:
+        numbers: dict[tuple[int, int], int] = {}
+        keys = zip(docs.column("_id").to_pylist(), docs.column("_check").to_pylist(), strict=True)
+        self._key = [numbers.setdefault(k, len(numbers)) for k in keys]
+        owners, values = [np.zeros(0, np.int64)], []
+        for row in hits.select(["docs", "values"]).to_pylist():
+            ids, checks, counts = unpack(row["docs"])
+            mine = [numbers[k] for k in zip(ids.view(np.int64).tolist(), checks.view(np.int32).tolist(), strict=True)]
+            owners.append(np.repeat(np.array(mine, np.int64), counts.astype(np.int64)))
+            values.append(np.stack(unpack(row["values"]), axis=1))
+        owner = np.concatenate(owners)
+        order = np.argsort(owner, kind="stable")
+        self._values = np.concatenate(values)[order].astype(np.int64) if values else np.zeros((0, 1), np.int64)
+        self._ends = np.searchsorted(owner[order], np.arange(len(numbers) + 1))
 
+    def of(self, row: int) -> np.ndarray:
+        """The row's hits, one line of values each."""
+        key = self._key[row]
+        return self._values[self._ends[key]: self._ends[key + 1]]
 
-def positions(batch: pa.RecordBatch, column: str = "_at") -> Iterator[np.ndarray]:
-    """The positions of each row, ascending, each once."""
-    for blocks in batch.column(column).to_pylist():
-        yield np.unique(np.frombuffer(b"".join(blocks or ()), np.uint32)).astype(np.int64)
+
+def with_hits(rows: DataFrame, hits: DataFrame, work: Callable, schema: str, text: str, all_rows: bool) -> DataFrame:
+    """Run ``work(batch, hits of each row)`` over slices of the documents of each group.
+
+    Without ``all_rows`` groups that have no hits are passed over.
+    """
+    arrow = to_arrow_schema(_parse_datatype_string(schema))
+
+    def one_group(docs: pa.Table, found: pa.Table) -> pa.Table:
+        out = []
+        if len(docs) and (all_rows or len(found)):
+            located, at = Located(docs, found), 0
+            for batch in slices(iter(docs.combine_chunks().to_batches()), text):
+                out += work(batch, [located.of(at + r) for r in range(len(batch))])
+                at += len(batch)
+        return pa.Table.from_batches(out).cast(arrow) if out else arrow.empty_table()
+
+    return rows.groupBy("_group").cogroup(hits.groupBy("_group")).applyInArrow(one_group, schema)

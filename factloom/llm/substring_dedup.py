@@ -63,73 +63,71 @@ def _windows(window: int, buckets: int, text: str):
     """Every window that holds a hit; equal ones inside the slice are settled here."""
     block = block_words(window)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text):
-            words = Words(batch.column(text))
-            hits = np.zeros(len(words.start) + 1, np.int64)
-            for r, at in enumerate(P.positions(batch)):
-                hits[words.first_of[r] + at + 1] = 1
-            hits = np.cumsum(hits)
-            start, hashes = words.windows(window)
-            near = hits[start + window - block + 1] > hits[start]
-            start, hashes = start[near], hashes[near]
-            other = words.windows(window, 1)[1][near]
-            row = words.row[start]
-            at = start - words.first_of[row]
-            _, first, runs, n = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
-            settled = (n > 1)[runs]
-            send = np.zeros(len(start), bool)
-            send[first] = True
-            yield from P.packed_rows(batch, row[settled], at[settled], hashes[settled], row[settled] * 0 + int(other[0] % buckets) if len(other) else row[settled], True)
-            yield from P.packed_rows(batch, row[send], at[send], hashes[send], (other[send] % np.uint64(buckets)).astype(np.int64), False)
-
-    return run
-
-
-def repeated_windows(rows: DataFrame, window: int, buckets: int, text: str = "text") -> DataFrame:
-    """First words of all windows that start anywhere else too, by document key."""
+    def work(batch: pa.RecordBatch, found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        words = Words(batch.column(text))
+        hits = np.zeros(len(words.start) + 1, np.int64)
+        for r, at in enumerate(found):
+            hits[words.first_of[r] + at[:, 0] + 1] = 1
+        hits = np.cumsum(hits)
+        start, hashes = words.windows(window)
+        near = hits[start + window - block + 1] > hits[start]
+        start, hashes = start[near], hashes[near]
+        other = words.windows(window, 1)[1][near]
+        row = words.row[start]
+        at = start - words.first_of[row]
+        _, first, runs, n = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
+        settled = (n > 1)[runs]
+        send = np.zeros(len(start), bool)
+        send[first] = True
+        yield from P.packed_rows(batch, row[settled], at[settled], hashes[settled], row[settled] * 0 + int(other[0] % buckets) if len(other) else row[settled], True)
+        yield from P.packed_rows(batch, row[send], at[send], hashes[send], (other[send] % np.uint64(buckets)).astype(np.int64), False)
+
+    return work
+
+
+def repeated_windows(rows: DataFrame, window: int, groups: int, text: str = "text") -> DataFrame:
+    """First words of all windows that start anywhere else too, by group of documents."""
     block = block_words(window)
-    probes = rows.mapInArrow(_probes(window, buckets, text), P.PACKED)
+    probes = rows.mapInArrow(_probes(window, groups, text), P.PACKED)
 
     def anchored(runs: np.ndarray, at: np.ndarray) -> np.ndarray:
         n = np.bincount(runs)
         return (n > 1) & (np.bincount(runs, weights=at % block == 0) > 0)
 
-    hits = P.gathered(P.meet(probes, 4, anchored))
-    near = rows.join(hits, ["_id", "_check"]).mapInArrow(_windows(window, buckets, text), P.PACKED)
-    return P.gathered(P.meet(near, 8, lambda runs, at: np.bincount(runs) > 1))
+    hits = P.meet(probes, 4, anchored, groups)
+    near = P.with_hits(rows, hits, _windows(window, groups, text), P.PACKED, text, all_rows=False)
+    return P.meet(near, 8, lambda runs, at: np.bincount(runs) > 1, groups)
 
 
 def _cut(window: int, text: str, columns: list[str], layout: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text):
-            words = Words(batch.column(text))
-            spans, kept = [], []
-            raw = words.data.tobytes()
-            for r, at in enumerate(P.positions(batch)):
-                lo, n = int(words.first_of[r]), int(words.count[r])
-                piece = raw[words.bounds[r]: words.bounds[r + 1]]
-                if not len(at):
-                    spans.append([])
-                    kept.append(piece if layout else b" ".join(piece.split()))
-                    continue
-                gone = covered(at, np.full(len(at), window), n)
-                edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
-                spans.append([{"start": int(a), "end": int(b)} for a, b in edges.reshape(-1, 2)])
-                if layout:
-                    base = int(words.bounds[r])
-                    at_byte = np.append(words.start[lo: lo + n] - base, len(piece))
-                    cuts = [0, *at_byte[edges].tolist(), len(piece)]
-                    kept.append(b"".join(piece[a:b] for a, b in zip(cuts[::2], cuts[1::2], strict=True)))
-                else:
-                    kept.append(b" ".join([w for w, g in zip(piece.split(), gone.tolist(), strict=True) if not g]))
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in columns), pa.array(words.count, pa.int64()),
-                 pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
-                 pa.array(kept, pa.binary()).cast(pa.string())],
-                names=[*columns, *OUTPUTS])
-
-    return run
+    def work(batch: pa.RecordBatch, found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        words = Words(batch.column(text))
+        spans, kept = [], []
+        raw = words.data.tobytes()
+        for r, hits in enumerate(found):
+            at = np.unique(hits[:, 0])
+            lo, n = int(words.first_of[r]), int(words.count[r])
+            piece = raw[words.bounds[r]: words.bounds[r + 1]]
+            if not len(at):
+                spans.append([])
+                kept.append(piece if layout else b" ".join(piece.split()))
+                continue
+            gone = covered(at, np.full(len(at), window), n)
+            edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
+            spans.append([{"start": int(a), "end": int(b)} for a, b in edges.reshape(-1, 2)])
+            if layout:
+                at_byte = np.append(words.start[lo: lo + n] - int(words.bounds[r]), len(piece))
+                cuts = [0, *at_byte[edges].tolist(), len(piece)]
+                kept.append(b"".join(piece[a:b] for a, b in zip(cuts[::2], cuts[1::2], strict=True)))
+            else:
+                kept.append(b" ".join([w for w, g in zip(piece.split(), gone.tolist(), strict=True) if not g]))
+        yield pa.RecordBatch.from_arrays(
+            [*(batch.column(c) for c in columns), pa.array(words.count, pa.int64()),
+             pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
+             pa.array(kept, pa.binary()).cast(pa.string())],
+            names=[*columns, *OUTPUTS])
+
+    return work
 
 
 def remove_repeats(
@@ -140,12 +138,13 @@ def remove_repeats(
     ``kept_text`` is the kept words joined by one space, or with ``keep_layout``
     the text with the removed stretches cut out.
     """
-    rows = P.keyed(docs, id_column, text)
-    marks = repeated_windows(rows, window, bucket_count(docs, text), text)
+    groups = bucket_count(docs, text)
+    rows = P.keyed(docs, id_column, text, groups)
     columns = [c for c in docs.columns if c not in OUTPUTS]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in columns])
     schema += ", n_words long, removed_spans array<struct<start:int,end:int>>, kept_text string"
-    return rows.join(marks, ["_id", "_check"], "left").mapInArrow(_cut(window, text, columns, keep_layout), schema)
+    marks = repeated_windows(rows, window, groups, text)
+    return P.with_hits(rows, marks, _cut(window, text, columns, keep_layout), schema, text, all_rows=True)
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

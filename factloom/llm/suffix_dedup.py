@@ -189,17 +189,13 @@ def _shape(found: Segments, at: np.ndarray) -> tuple[np.ndarray, ...]:
     return found.first[at].astype(np.uint32), found.count[at].astype(np.uint32), found.ahead[at].astype(np.uint32)
 
 
-_FOUND = "_id long, _check int, _same boolean, _at binary"
+_FOUND = f"_same boolean, {P.HITS}"
 
 
-def _found(ids: np.ndarray, checks: np.ndarray, doc: np.ndarray, same: bool, *shape: np.ndarray) -> pa.Table:
-    """Rows of ``_FOUND``: per document its (first window, windows, distance) triples."""
-    order = np.argsort(doc, kind="stable")
-    heads, counts = np.unique(doc[order], return_counts=True)
-    values = np.stack([s.astype(np.uint32)[order] for s in shape], axis=1)
-    offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32) * 12
-    at = pa.Array.from_buffers(pa.binary(), len(heads), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(values.tobytes())])
-    return pa.table({"_id": pa.array(ids[heads]), "_check": pa.array(checks[heads]), "_same": pa.array(np.full(len(heads), same)), "_at": at})
+def _found(ids: np.ndarray, checks: np.ndarray, doc: np.ndarray, groups: int, same: bool, *shape: np.ndarray) -> pa.Table:
+    """(first window, windows, distance) of documents, as rows of ``_FOUND``."""
+    hits = P.hit_rows(ids, checks, doc, groups, *shape)
+    return hits.add_column(0, "_same", pa.array(np.full(len(hits), same)))
 
 
 def _docs_of(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -227,14 +223,21 @@ def _runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.cumsum(new) - 1
 
 
-def _compare_segments(table: pa.Table) -> pa.Table:
+def _compare_segments(groups: int):
+    def run(table: pa.Table) -> pa.Table:
+        return _same_segments(table.to_pylist(), groups)
+
+    return run
+
+
+def _same_segments(table: list[dict], groups: int) -> pa.Table:
     """Of one range: segments that repeat as a whole, and those whose windows must be looked at."""
-    rows, out = table.to_pylist(), []
-    for r in rows:
-        if r["kind"] == SETTLED:
-            e = _Entries([r])
-            out.append(_found(e.ids, e.checks, e.doc, True, *e.fields))
-    rows = [r for r in rows if r["kind"] == SEGMENTS]
+    out = []
+    settled = [r for r in table if r["kind"] == SETTLED]
+    if settled:
+        e = _Entries(settled)
+        out.append(_found(e.ids, e.checks, e.doc, groups, True, *e.fields))
+    rows = [r for r in table if r["kind"] == SEGMENTS]
     if rows:
         e = _Entries(rows)
         first, count, ahead, flags = e.fields
@@ -250,53 +253,47 @@ def _compare_segments(table: pa.Table) -> pa.Table:
         look = (variety > 1) | ((flags[order][head] & 1) > 0)
         whole_again = order[same[run]]
         stand_in = order[head][look]
-        out.append(_found(e.ids, e.checks, e.doc[whole_again], True, first[whole_again], count[whole_again], ahead[whole_again]))
-        out.append(_found(e.ids, e.checks, e.doc[stand_in], False, first[stand_in], count[stand_in], ahead[stand_in]))
+        out.append(_found(e.ids, e.checks, e.doc[whole_again], groups, True, first[whole_again], count[whole_again], ahead[whole_again]))
+        out.append(_found(e.ids, e.checks, e.doc[stand_in], groups, False, first[stand_in], count[stand_in], ahead[stand_in]))
     return pa.concat_tables(out)
 
 
-def _triples(blocks: list[bytes] | None) -> np.ndarray:
-    return np.frombuffer(b"".join(blocks or ()), np.uint32).reshape(-1, 3).astype(np.int64)
-
-
 def _bring_texts(length: int, text: str, ranges: Ranges):
     """The windows to look at: as stretches of text by anchor, of common anchors as hashes."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text):
-            data, bounds = byte_column(batch.column(text))
-            ids, checks = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("_id", "_check"))
-            each = [_triples(b) for b in batch.column("_at").to_pylist()]
-            row = np.repeat(np.arange(len(each)), [len(t) for t in each])
-            if not len(row):
-                continue
-            first, count, ahead = np.concatenate(each).T
-            order = np.lexsort((first, row))
-            row, first, count, ahead = row[order], first[order], count[order], ahead[order]
-            start = bounds[row] + first
-            anchor = start + ahead
-            hashes = byte_hashes(data)
-            gram = hashes.of(anchor, anchor + GRAM)
-            lead = np.ascontiguousarray(data[anchor[:, None] + np.arange(8)]).view(">u8").ravel().astype(np.uint64)
-            common = ranges.is_common(lead)
-            out = []
-            plain = np.flatnonzero(~common)
-            for b, at in _grouped(ranges.bucket(lead[plain], gram[plain])):
-                at = plain[at]
-                body = pack(first[at].astype(np.uint32), count[at].astype(np.uint32), ahead[at].astype(np.uint32), gram[at])
-                stretch = data[_ranges(start[at], count[at] - 1 + length)]
-                out.append((b, SEGMENTS, _doc_block(ids, checks, row[at]), body, stretch.tobytes()))
-            hot = np.flatnonzero(common)
-            if len(hot):
-                window = _ranges(start[hot], count[hot])
-                of = np.repeat(hot, count[hot])
-                key, other = hashes.of(window, window + length, 2), hashes.of(window, window + length, 3)
-                for b, at in _grouped((other % np.uint64(ranges.buckets)).astype(np.int64)):
-                    r = row[of[at]]
-                    out.append((b, WINDOWS, _doc_block(ids, checks, r), pack((window[at] - bounds[r]).astype(np.uint32)), key[at].tobytes()))
-            yield _batch(out)
-
-    return run
+    def work(batch: pa.RecordBatch, each: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        row = np.repeat(np.arange(len(each)), [len(t) for t in each])
+        if not len(row):
+            return
+        data, bounds = byte_column(batch.column(text))
+        ids, checks = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("_id", "_check"))
+        first, count, ahead = np.concatenate([t for t in each if len(t)]).T
+        order = np.lexsort((first, row))
+        row, first, count, ahead = row[order], first[order], count[order], ahead[order]
+        start = bounds[row] + first
+        anchor = start + ahead
+        hashes = byte_hashes(data)
+        gram = hashes.of(anchor, anchor + GRAM)
+        lead = np.ascontiguousarray(data[anchor[:, None] + np.arange(8)]).view(">u8").ravel().astype(np.uint64)
+        common = ranges.is_common(lead)
+        out = []
+        plain = np.flatnonzero(~common)
+        for b, at in _grouped(ranges.bucket(lead[plain], gram[plain])):
+            at = plain[at]
+            body = pack(first[at].astype(np.uint32), count[at].astype(np.uint32), ahead[at].astype(np.uint32), gram[at])
+            stretch = data[_ranges(start[at], count[at] - 1 + length)]
+            out.append((b, SEGMENTS, _doc_block(ids, checks, row[at]), body, stretch.tobytes()))
+        hot = np.flatnonzero(common)
+        if len(hot):
+            window = _ranges(start[hot], count[hot])
+            of = np.repeat(hot, count[hot])
+            key, other = hashes.of(window, window + length, 2), hashes.of(window, window + length, 3)
+            for b, at in _grouped((other % np.uint64(ranges.buckets)).astype(np.int64)):
+                r = row[of[at]]
+                out.append((b, WINDOWS, _doc_block(ids, checks, r), pack((window[at] - bounds[r]).astype(np.uint32)), key[at].tobytes()))
+        yield _batch(out)
+
+    return work
 
 
 def multikey(group: np.ndarray, token, levels: int) -> np.ndarray:
@@ -319,7 +316,7 @@ def multikey(group: np.ndarray, token, levels: int) -> np.ndarray:
     return open_
 
 
-def _compare_windows(length: int):
+def _compare_windows(length: int, groups: int):
     levels = -(-length // TOKEN)
 
     def run(table: pa.Table) -> pa.Table:
@@ -344,14 +341,14 @@ def _compare_windows(length: int):
                 return hashes.of(begin, np.minimum(begin + TOKEN, start[at] + length))
 
             again = multikey(group, token, levels)
-            out.append(_found(e.ids, e.checks, e.doc[segment[again]], True, *_joined(first[segment[again]] + nth[again])))
+            out.append(_found(e.ids, e.checks, e.doc[segment[again]], groups, True, *_joined(first[segment[again]] + nth[again])))
         single = [r for r in rows if r["kind"] == WINDOWS]
         if single:
             e = _Entries(single)
             key = np.concatenate([np.frombuffer(r["tail"], np.uint64) for r in single])
             order, of = _runs(key)
             again = order[(np.bincount(of) > 1)[of]]
-            out.append(_found(e.ids, e.checks, e.doc[again], True, *_joined(e.fields[0][again].astype(np.int64))))
+            out.append(_found(e.ids, e.checks, e.doc[again], groups, True, *_joined(e.fields[0][again].astype(np.int64))))
         return pa.concat_tables(out)
 
     return run
@@ -362,42 +359,43 @@ def _joined(window: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _cut(length: int, text: str, columns: list[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text):
-            data, bounds = byte_column(batch.column(text))
-            spans, kept = [], []
-            for r, blocks in enumerate(batch.column("_at").to_pylist()):
-                piece = data[bounds[r]: bounds[r + 1]]
-                found = _triples(blocks)
-                gone = covered(found[:, 0], found[:, 1] - 1 + length, len(piece))
-                edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
-                spans.append([{"start": int(a), "end": int(b)} for a, b in edges.reshape(-1, 2)])
-                kept.append(piece[~gone].tobytes() if len(edges) else piece.tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in columns), pa.array(np.diff(bounds)),
-                 pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(kept, pa.binary())],
-                names=[*columns, *OUTPUTS])
+    def work(batch: pa.RecordBatch, each: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        data, bounds = byte_column(batch.column(text))
+        spans, kept = [], []
+        for r, found in enumerate(each):
+            piece = data[bounds[r]: bounds[r + 1]]
+            if not len(found):
+                spans.append([])
+                kept.append(piece.tobytes())
+                continue
+            gone = covered(found[:, 0], found[:, 1] - 1 + length, len(piece))
+            edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
+            spans.append([{"start": int(a), "end": int(b)} for a, b in edges.reshape(-1, 2)])
+            kept.append(piece[~gone].tobytes())
+        yield pa.RecordBatch.from_arrays(
+            [*(batch.column(c) for c in columns), pa.array(np.diff(bounds)),
+             pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(kept, pa.binary())],
+            names=[*columns, *OUTPUTS])
 
-    return run
+    return work
 
 
 def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, text: str = "text", id_column: str = "doc_id") -> DataFrame:
     """The documents with their size in bytes, removed byte spans and the bytes that are kept."""
-    rows = P.keyed(docs, id_column, text)
     buckets = bucket_count(docs, text)
+    rows = P.keyed(docs, id_column, text, buckets)
     ranges = Ranges(splitters(rows, length, text, min(buckets, RANGES)), buckets)
     found = (
         rows.mapInArrow(_list_segments(length, text, ranges), _ROWS)
-        .groupBy("bucket").applyInArrow(_compare_segments, _FOUND))
-    look = P.gathered(found.filter("NOT _same"))
-    inside = (
-        rows.join(look, ["_id", "_check"]).mapInArrow(_bring_texts(length, text, ranges), _ROWS)
-        .groupBy("bucket").applyInArrow(_compare_windows(length), _FOUND))
-    marks = P.gathered(found.filter("_same").union(inside))
+        .groupBy("bucket").applyInArrow(_compare_segments(buckets), _FOUND))
+    look = found.filter("NOT _same").drop("_same")
+    brought = P.with_hits(rows, look, _bring_texts(length, text, ranges), _ROWS, text, all_rows=False)
+    inside = brought.groupBy("bucket").applyInArrow(_compare_windows(length, buckets), _FOUND)
+    marks = found.filter("_same").union(inside).drop("_same")
     columns = [c for c in docs.columns if c not in OUTPUTS]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in columns)
     schema += ", n_bytes long, removed_spans array<struct<start:int,end:int>>, kept binary"
-    return rows.join(marks, ["_id", "_check"], "left").mapInArrow(_cut(length, text, columns), schema)
+    return P.with_hits(rows, marks, _cut(length, text, columns), schema, text, all_rows=True)
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
