@@ -33,19 +33,24 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
 class _Powers:
-    """Powers of the base and of its inverse, grown as needed."""
+    """Powers of the base and of its inverse; those for a slice are kept."""
 
     def __init__(self) -> None:
-        self.up = self.down = np.ones(1, U64)
+        self._kept: list[np.ndarray] = []
+
+    @staticmethod
+    def _list(base: int, n: int) -> np.ndarray:
+        steps = np.full(n, U64(base))
+        steps[0] = 1
+        return np.cumprod(steps, dtype=U64)
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, 2 * len(self.up))
-            for name, base in (("up", _BASE), ("down", _INVERSE)):
-                steps = np.full(size, U64(base))
-                steps[0] = 1
-                setattr(self, name, np.cumprod(steps, dtype=U64))
-        return self.up[:n], self.down[:n]
+        size = SLICE_BYTES + 1
+        if n > size:
+            return self._list(_BASE, n), self._list(_INVERSE, n)
+        if not self._kept:
+            self._kept = [self._list(_BASE, size), self._list(_INVERSE, size)]
+        return self._kept[0][:n], self._kept[1][:n]
 
 
 _POWERS = _Powers()

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm import places as P
-from factloom.llm.packed import byte_column, byte_hashes, covered, mix, pack, slices, unpack
+from factloom.llm.packed import SLICE_BYTES, byte_column, byte_hashes, covered, mix, pack, slices, unpack
 from factloom.llm.tables import bucket_count, documents
 
 LENGTH = 200
@@ -316,9 +316,25 @@ def multikey(group: np.ndarray, token, levels: int) -> np.ndarray:
     return open_
 
 
-def _compare_windows(length: int, groups: int):
-    levels = -(-length // TOKEN)
+def _repeated(data: np.ndarray, count: np.ndarray, ahead: np.ndarray, gram: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Windows (segment, number in it) of stretches of text that occur more than once among them."""
+    size = count - 1 + length
+    segment = np.repeat(np.arange(len(count)), count)
+    nth = _ranges(np.zeros(len(count), np.int64), count)
+    start = (np.cumsum(size) - size)[segment] + nth
+    hashes = byte_hashes(data)
+    _, anchor = np.unique(gram, return_inverse=True)
+    group = anchor[segment].astype(np.int64) * (length + 1) + ahead[segment] - nth
+
+    def token(at: np.ndarray, level: int) -> np.ndarray:
+        begin = start[at] + level * TOKEN
+        return hashes.of(begin, np.minimum(begin + TOKEN, start[at] + length))
 
+    again = multikey(group, token, -(-length // TOKEN))
+    return segment[again], nth[again]
+
+
+def _compare_windows(length: int, groups: int):
     def run(table: pa.Table) -> pa.Table:
         rows, out = table.to_pylist(), []
         stretches = [r for r in rows if r["kind"] == SEGMENTS]
@@ -329,19 +345,12 @@ def _compare_windows(length: int, groups: int):
             data = np.frombuffer(b"".join(r["tail"] for r in stretches), np.uint8)
             size = count - 1 + length
             base = np.cumsum(size) - size
-            segment = np.repeat(np.arange(len(count)), count)
-            nth = _ranges(np.zeros(len(count), np.int64), count)
-            start = base[segment] + nth
-            hashes = byte_hashes(data)
-            _, anchor = np.unique(gram, return_inverse=True)
-            group = anchor[segment].astype(np.int64) * (length + 1) + ahead[segment] - nth
-
-            def token(at: np.ndarray, level: int) -> np.ndarray:
-                begin = start[at] + level * TOKEN
-                return hashes.of(begin, np.minimum(begin + TOKEN, start[at] + length))
-
-            again = multikey(group, token, levels)
-            out.append(_found(e.ids, e.checks, e.doc[segment[again]], groups, True, *_joined(first[segment[again]] + nth[again])))
+            # Anchors of a few megabytes of text at a time.
+            share = (mix(gram, 6) % np.uint64(len(data) // SLICE_BYTES + 1)).astype(np.int64)
+            for _, at in _grouped(share):
+                again = _repeated(data[_ranges(base[at], size[at])], count[at], ahead[at], gram[at], length)
+                segment = at[again[0]]
+                out.append(_found(e.ids, e.checks, e.doc[segment], groups, True, *_joined(first[segment] + again[1])))
         single = [r for r in rows if r["kind"] == WINDOWS]
         if single:
             e = _Entries(single)
