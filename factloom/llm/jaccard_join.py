@@ -29,13 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.functions.skew import broadcast_if_small
 from factloom.llm import places as P
 from factloom.llm.components import components
 from factloom.llm.packed import Words, distinct_per_row, mix, pack, signed, slices, unpack
 from factloom.llm.tables import bucket_count, documents
 from factloom.session import durable
 
-COUNTERS = 1 << 18
+COUNTERS = 1 << 22
 KEYS = 4  # min-hashes per class
 BLOCK = 256  # members of a group that one task holds
 _PARTS = 64  # pieces in which the counter table travels
@@ -50,7 +51,7 @@ def _token_counts(words: int, text: str):
         seen = np.zeros(COUNTERS, np.int64)
         for batch in slices(batches, text):
             seen += np.bincount((_sets(batch, words, text)[1] % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
-        parts = [pack(p) for p in np.split(seen, _PARTS)]
+        parts = [pack(p.astype(np.uint64)) for p in np.split(seen, _PARTS)]
         yield pa.RecordBatch.from_arrays([pa.array(range(_PARTS), pa.int32()), pa.array(parts, pa.binary())], names=["part", "seen"])
 
     return run
@@ -159,7 +160,7 @@ def _opened(words: int, percent: int):
     return run
 
 
-def _prefix_rows(buckets: int):
+def _prefix_rows(buckets: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), 4096):
@@ -168,15 +169,20 @@ def _prefix_rows(buckets: int):
                 blocks = part.column("prefix").to_pylist()
                 token = np.frombuffer(b"".join(blocks), np.uint64)
                 row = np.repeat(np.arange(len(part)), [len(b) // 8 for b in blocks])
+                # The smaller set of a pair needs fewer of its prefix tokens: those marked.
+                ends = np.cumsum([len(b) // 8 for b in blocks])
+                place = np.arange(len(row)) - (ends - np.diff(ends, prepend=0))[row]
+                few = n[row] - -(-2 * percent * n[row] // (100 + percent)) + 1
+                first = (place < few).astype(np.uint8)
                 bucket = (mix(token, 9) % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
-                bucket, row, token = bucket[order], row[order], token[order]
+                bucket, row, token, first = bucket[order], row[order], token[order], first[order]
                 cuts = np.flatnonzero(np.diff(bucket)) + 1
                 out = []
                 for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(bucket)], strict=True):
                     if hi > lo:
                         rows, counts = np.unique(row[lo:hi], return_counts=True)
-                        out.append((int(bucket[lo]), pack(cls[rows], group[rows], size[rows], n[rows], counts), token[lo:hi].tobytes()))
+                        out.append((int(bucket[lo]), pack(cls[rows], group[rows], size[rows], n[rows], counts, first[lo:hi]), token[lo:hi].tobytes()))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.binary()), pa.array([o[2] for o in out], pa.binary())],
                     names=["bucket", "classes", "tokens"])
@@ -190,13 +196,13 @@ def _queries(percent: int):
     def run(table: pa.Table) -> pa.Table:
         tokens, fields = [], []
         for classes, block in zip(table.column("classes").to_pylist(), table.column("tokens").to_pylist(), strict=True):
-            *columns, counts = (x.view(np.int64) for x in unpack(classes))
-            fields.append([np.repeat(c, counts) for c in columns])
+            *columns, counts, first = unpack(classes)
+            fields.append([*(np.repeat(c.view(np.int64), counts.view(np.int64)) for c in columns), first])
             tokens.append(np.frombuffer(block, np.uint64))
         token = np.concatenate(tokens)
-        cls, group, size, n = (np.concatenate(c) for c in zip(*fields, strict=True))
-        order = np.lexsort((n, token))
-        token, cls, group, size, n = (x[order] for x in (token, cls, group, size, n))
+        cls, group, size, n, first = (np.concatenate(c) for c in zip(*fields, strict=True))
+        order = np.lexsort((cls, n, token))
+        token, cls, group, size, n, first = (x[order] for x in (token, cls, group, size, n, first))
         edges = np.flatnonzero(np.diff(token)) + 1
         starts, ends = np.concatenate([[0], edges]), np.concatenate([edges, [len(token)]])
         wanted = [np.zeros((0, 2), np.int64)]
@@ -206,7 +212,7 @@ def _queries(percent: int):
             reach = np.searchsorted(n[lo:hi], -(-percent * n[lo:hi] // 100)) + lo
             for at in range(lo + 1, hi):
                 partners = np.arange(reach[at - lo], at)
-                partners = partners[group[partners] != group[at]]
+                partners = partners[(group[partners] != group[at]) & (first[partners] > 0)]
                 if not len(partners):
                     continue
                 # The member of the smaller group asks.
@@ -238,39 +244,43 @@ def linked(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "text
         *same_set, "rep._id", "rep._check", "of.keys", "of.prefix", "low", F.monotonically_increasing_id().alias("cls")))
 
     def with_texts(asked: DataFrame) -> DataFrame:
-        """Add the text of each row's class."""
-        reps = classes.select("_id", "_check", "cls").join(asked.select("cls").distinct(), "cls")
-        texts = rows.join(reps, ["_id", "_check"]).dropDuplicates(["cls"]).select("cls", "text")
-        return asked.join(texts, "cls")
-
-    keys = classes.select("cls", F.posexplode("keys").alias("k", "key"))
-    leaders = keys.groupBy("k", "key").agg(F.min("cls").alias("x"), F.max("cls").alias("y")).filter("x < y")
-    stars = keys.join(leaders, ["k", "key"]).select("cls", F.explode(F.array("x", "y")).alias("lead")).filter("cls <> lead").distinct()
+        """Add the text of each row's class. The keys asked for are broadcast if their table is small."""
+        keys = durable(asked.join(classes.select("_id", "_check", "cls"), "cls"))
+        return rows.join(broadcast_if_small(keys), ["_id", "_check"])
+
+    # Near sets agree in most min-hashes; candidates share two with a leader and are near in size.
+    keys = classes.select("cls", "n", F.posexplode("keys").alias("k", "key"))
+    leaders = keys.groupBy("k", "key").agg(F.min(F.struct("cls", "n")).alias("x"), F.max(F.struct("cls", "n")).alias("y")).filter("x.cls < y.cls")
+    stars = keys.join(leaders, ["k", "key"]).select("cls", "n", F.explode(F.array("x", "y")).alias("lead")).filter("cls <> lead.cls")
+    near = 100 * F.least("n", "lead.n") >= percent * F.greatest("n", "lead.n")
+    stars = durable(stars.filter(near).groupBy("cls", F.col("lead.cls").alias("lead")).count().filter("count > 1").select("cls", "lead"))
     sizes = stars.groupBy("lead").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
     part = F.pmod(F.hash("cls"), F.col("parts")).alias("part")
     dealt = stars.join(sizes, "lead").select("lead", "cls", part)
-    dealt = durable(dealt.union(dealt.select("lead", F.col("lead").alias("cls"), "part").distinct()))
+    dealt = dealt.union(dealt.select("lead", F.col("lead").alias("cls"), "part").distinct())
     edges = durable(with_texts(dealt).groupBy("lead", "part").applyInArrow(_held_against_leader(words, percent), "a long, b long"))
 
     grouped = components(edges)
-    group = F.coalesce("component", "cls").alias("group")
-    classes_in = classes.select("cls", "n", "prefix").join(grouped.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "n", "prefix", group)
     group_sizes = grouped.groupBy(F.col("component").alias("group")).agg(F.count("*").alias("size"))
-    classes_in = durable(classes_in.join(group_sizes, "group", "left").fillna({"size": 1}))
+    grouped = durable(grouped.select(F.col("node").alias("cls"), F.col("component").alias("group")).join(group_sizes, "group"))
+    classes_in = classes.select("cls", "n", "prefix").join(grouped, "cls", "left").select(
+        "cls", "n", "prefix", F.coalesce("group", "cls").alias("group"), F.coalesce("size", F.lit(1)).alias("size"))
     buckets = bucket_count(rows, "text")
     asked = durable(
         classes_in.select("cls", "group", "size", "n", "prefix")
-        .mapInArrow(_prefix_rows(buckets), "bucket int, classes binary, tokens binary")
+        .mapInArrow(_prefix_rows(buckets, percent), "bucket int, classes binary, tokens binary")
         .groupBy("bucket").applyInArrow(_queries(percent), "cls long, group long").distinct())
+    classes_in = classes.select("cls").join(grouped, "cls", "left").select(
+        "cls", F.coalesce("group", "cls").alias("group"), F.coalesce("size", F.lit(1)).alias("size"))
 
     block = F.pmod(F.hash("cls"), F.ceil(F.col("size") / BLOCK).cast("int")).alias("block")
-    members = classes_in.select("cls", "group", "size").join(asked.select("group").distinct(), "group")
+    members = classes_in.join(asked.select("group").distinct(), "group")
     blocks = members.select("group", block).distinct()
     matrix = members.select("group", "cls", block, F.lit(False).alias("query")).union(
         asked.join(blocks, "group").select("group", "cls", "block", F.lit(True)))
-    across = with_texts(durable(matrix)).groupBy("group", "block").applyInArrow(_opened(words, percent), "a long, b long")
-    everything = components(edges.union(across.join(classes_in.select(F.col("cls").alias("b"), F.col("group").alias("g")), "b").select("a", F.col("g").alias("b"))).union(
-        classes_in.select(F.col("group").alias("a"), F.col("cls").alias("b"))))
+    across = with_texts(matrix).groupBy("group", "block").applyInArrow(_opened(words, percent), "a long, b long")
+    # A group is named by one of its members.
+    everything = components(edges.union(across))
     named = classes.join(everything.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     lowest = named.groupBy("component").agg(F.min("low").alias("component_id"))
     found = named.select(*same_set, "component").join(lowest, "component").select(*same_set, "component_id", F.col("component").alias("_class"))

@@ -83,7 +83,7 @@ def _list_grams(docs: pa.Table, trusted: pa.Table) -> pa.Table:
         k, c = np.concatenate(keys), np.concatenate(counts)
         types, which = np.unique(k, return_inverse=True)
         out.append(pa.table({
-            "_chunk": np.full(len(types), docs.column("_chunk")[0].as_py(), np.int32), "_lang": [lang] * len(types),
+            "_chunk": np.full(len(types), docs.column("_chunk")[0].as_py(), np.int32), "_lang": pa.array([lang] * len(types), pa.string()),
             "_gram": types.view(np.int64), "_n": np.bincount(which, weights=c, minlength=len(types)).astype(np.int64),
         }))
     return pa.concat_tables(out) if out else pa.table({"_chunk": pa.array([], pa.int32()), "_lang": pa.array([], pa.string()), "_gram": pa.array([], pa.int64()), "_n": pa.array([], pa.int64())})

@@ -1,0 +1,313 @@
+"""Each operator against brute force or a library, on texts with nulls, ties and repeats."""
+
+import hashlib
+import itertools
+import random
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
+
+from factloom.llm import (
+    byte_bpe,
+    fingerprints,
+    jaccard_join,
+    language_id,
+    mixing,
+    perplexity,
+    quality_rules,
+    substring_dedup,
+    suffix_dedup,
+    token_counts,
+)
+
+SCHEMA = StructType([
+    StructField("doc_id", LongType()), StructField("text", StringType()), StructField("lang", StringType()),
+    StructField("source", StringType()), StructField("n_words", StringType()), StructField("slot", StringType()),
+])
+
+
+def _texts():
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choice(["an", "er", "tion", "é", "st", "ou", "le"]) for _ in range(rnd.randint(1, 4)))
+    passage = " ".join(word() for _ in range(60))
+    base = [" ".join(word() for _ in range(rnd.randint(1, 160))) + "." for _ in range(24)]
+    out = [None, "", " \n\t ", "one", "a b c", "x " * 400, *base]
+    out += [base[7], base[7], base[8] + " tail", "Head\n" + base[9]]
+    out += [f"{base[10]} {passage} {base[11]}", f"{passage}\n{base[12]}", f"{base[13]} {passage}"]
+    near = base[14].split() + passage.split()
+    out += [" ".join(near), " ".join([*near[:-1], "other"]), " ".join(near).upper(), " ".join(near * 300)]
+    return out
+
+
+@pytest.fixture(scope="module")
+def rows():
+    texts = _texts()
+    found = [(i, t, ("en", "fr", None)[i % 3], ("a", "b", None, "a")[i % 4], "clash", "clash") for i, t in enumerate(texts)]
+    # A row without an id, and one row three times.
+    return [*found, (None, texts[20], "en", "a", "clash", "clash"), *[(900, texts[21], "fr", "b", "clash", "clash")] * 3]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame(rows, SCHEMA).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def _sorted(found):
+    return sorted((tuple(r) for r in found), key=repr)
+
+
+def _covered(units, size, _rows):
+    seen = Counter(tuple(u[i:i + size]) for u in units for i in range(len(u) - size + 1))
+    out = []
+    for u in units:
+        gone = [False] * len(u)
+        for i in range(len(u) - size + 1):
+            if seen[tuple(u[i:i + size])] > 1:
+                gone[i:i + size] = [True] * size
+        out.append(gone)
+    return out
+
+
+def test_substring_dedup(docs, none, rows):
+    units = [(t or "").encode().split() for _, t, *_ in rows]
+    want = [
+        (r[0], len(u), b" ".join(w for w, x in zip(u, g, strict=True) if not x).decode())
+        for r, u, g in zip(rows, units, _covered(units, 35, rows), strict=True)]
+    found = substring_dedup.remove_repeats(docs)
+    assert "clash" not in [r.n_words for r in found.collect()]
+    assert _sorted(found.select("doc_id", "n_words", "kept_text").collect()) == sorted(want, key=repr)
+    assert substring_dedup.remove_repeats(none).count() == 0
+
+
+def test_substring_dedup_keeps_layout(docs):
+    text = {r.doc_id: (r.text, r.kept_text) for r in substring_dedup.remove_repeats(docs, keep_layout=True).collect()}
+    assert text[4] == ("a b c", "a b c") and text[2][1] == " \n\t "
+
+
+@pytest.mark.parametrize("common", [False, True])
+def test_suffix_dedup(docs, none, rows, common, monkeypatch):
+    if common:  # every leading string is dealt over all buckets
+        monkeypatch.setattr(suffix_dedup.Ranges, "is_common", lambda self, lead: lead == lead)
+    units = [(t or "").encode() for _, t, *_ in rows]
+    want = []
+    for r, u, g in zip(rows, units, _covered(units, 200, rows), strict=True):
+        spans = sum(1 for k, _ in itertools.groupby(g) if k)
+        want.append((r[0], len(u), spans, bytes(b for b, x in zip(u, g, strict=True) if not x)))
+    found = suffix_dedup.remove_repeated_bytes(docs)
+    got = [(r.doc_id, r.n_bytes, len(r.removed_spans), bytes(r.kept)) for r in found.collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert suffix_dedup.remove_repeated_bytes(none).count() == 0
+
+
+def _components(rows, words, percent):
+    fold = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
+    sets = []
+    for _, t, *_ in rows:
+        w = (t or "").encode().translate(fold).split()
+        sets.append({tuple(w[i:i + words]) for i in range(max(1, len(w) - words + 1))} if w else set())
+    name = list(range(len(rows)))
+    for a, b in itertools.combinations(range(len(rows)), 2):
+        both = len(sets[a] & sets[b])
+        if both and 100 * both >= percent * len(sets[a] | sets[b]):
+            name = [name[a] if x == name[b] else x for x in name]
+    low = {c: min((rows[i][0] for i in range(len(rows)) if name[i] == c and rows[i][0] is not None), default=None) for c in name}
+    return sets, name, low
+
+
+def test_jaccard_join(docs, none, rows, monkeypatch):
+    sets, name, low = _components(rows, 4, 85)
+    want = [(r[0], len(s), low[c]) for r, s, c in zip(rows, sets, name, strict=True)]
+    own = F.when(F.col("_check") >= 0, F.col("_id"))
+    assert _sorted(jaccard_join.linked(docs, 4, 85).select(own, "n_shingles", "component_id").collect()) == sorted(want, key=repr)
+    assert jaccard_join.linked(none).count() == 0
+
+
+def test_one_of_each(docs, rows):
+    _, name, _ = _components(rows, 5, 80)
+    empty = {r[0] for r in rows if not (r[1] or "").split()}
+    kept = jaccard_join.one_of_each(docs).collect()
+    assert len(kept) == len({c for c, r in zip(name, rows, strict=True) if r[0] not in empty}) + len(empty)
+    assert kept[0].asDict().keys() == set(docs.columns)
+
+
+def test_byte_bpe(docs, none, rows):
+    tiktoken = pytest.importorskip("tiktoken")
+    import public_tokenizers as P
+
+    file = byte_bpe.read_ranks(P.path(byte_bpe.RANKS_FILE))
+    ranks = byte_bpe.encoder(file, P.PATTERN).ranks
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    want = [(r[0], library.encode_ordinary(r[1] or ""), (r[1] or "").encode()) for r in rows]
+    found = [(r.doc_id, r.token_ids, bytes(r.decoded)) for r in byte_bpe.round_trip(docs, file).collect()]
+    assert sorted(found, key=repr) == sorted(want, key=repr)
+    assert byte_bpe.round_trip(none, file).count() == 0
+    rnd = random.Random(3)
+    encode = byte_bpe.encoder(file, P.PATTERN).encode
+    for _ in range(300):
+        text = "".join(chr(rnd.choice([rnd.randint(1, 0x2FF), rnd.randint(0x3040, 0x9FFF), 0x1F600, 32, 10, 97, 101])) for _ in range(40))
+        assert encode(text) == library.encode_ordinary(text)
+    assert encode("ab" * 4000) == library.encode_ordinary("ab" * 4000)
+
+
+def test_token_counts(docs, none, rows):
+    models = pytest.importorskip("tokenizers").models
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    pieces, fallback = token_counts.read_pieces(P.path(token_counts.PIECES_FILE))
+    low = min(s for _, s in pieces)
+    library = Tokenizer(models.Unigram([("<unk>", 0.0), *[(f"<0x{i:02X}>", low) for i in range(256)], *pieces], 0, fallback))
+    want = [(r[0], len(library.encode("▁" + r[1].replace(" ", "▁")).ids) if r[1] else 0) for r in rows]
+    found = token_counts.token_counts(docs, pieces, fallback).select("doc_id", "n_tokens").collect()
+    assert _sorted(found) == sorted(want, key=repr)
+    assert token_counts.token_counts(none, pieces, fallback).count() == 0
+
+
+def test_token_count_ties():
+    # Equal scores: the longer piece; without byte pieces a run of unknowns is one token.
+    assert token_counts.Counter([("▁a", -2.0), ("▁", -1.0), ("a", -1.0)], False).text("a") == (1, -2.0)
+    assert token_counts.Counter([("▁", -1.0)], False).text("xyz")[0] == 2
+    assert token_counts.Counter([("▁", -1.0)], True).text("éé")[0] == 5
+
+
+def test_quality_rules(docs, none):
+    found = {r.doc_id: r for r in quality_rules.quality_rules(docs).collect()}
+    assert found[0].n_words == 0 and found[0].base_failed and not found[0].kept
+    assert found[5].n_repeat_words == 400 and found[5].base_failed
+    assert quality_rules.quality_rules(none).count() == 0
+    for line, fails in (("A sentence that ends.", False), ("no end", True), ("a | b | c | d.", True), ("Please accept cookies now.", True), ("ALL OF THIS IS LOUD.", True)):
+        assert quality_rules.line_fails(line) is fails
+
+
+def test_mixing_deviation(spark, none):
+    sizes = {"a": 900, "b": 130, "c": 410, None: 77}
+    docs = spark.createDataFrame([(i, s) for i, s in enumerate(s for s, n in sizes.items() for _ in range(n))], "doc_id long, source string")
+    weights = {"a": 5, "b": 3}
+    found = sorted(mixing.mix(docs, weights, 2, block_rows=10).collect(), key=lambda r: r.position)
+    assert [r.position for r in found] == list(range(len(found))) and len({r.doc_id for r in found}) == len(found)
+    slots = [next(iter(g)).source for _, g in itertools.groupby(found, key=lambda r: r.slot)]
+    left = {s: -(-n // 10) for s, n in sizes.items()}
+    weight = {s: weights.get(s, 2) for s in sizes}
+    taken, start = Counter(), 0
+    for t, s in enumerate(slots, 1):
+        taken[s] += 1
+        left[s] -= 1
+        total = sum(w for k, w in weight.items() if left[k] + taken[k] > 0)
+        live = [k for k in weight if left[k] + taken[k] > 0]
+        assert all(abs(taken[k] - (t - start) * weight[k] / total) < 1 for k in live)
+        if left[s] == 0:
+            taken, start = Counter(), t
+            weight = {k: w for k, w in weight.items() if left[k]}
+    assert mixing.mix(none.select("doc_id", "source")).count() == 0
+
+
+def test_mixing_keeps_rows(docs, rows):
+    assert mixing.in_order(mixing.mix(docs)).count() == len(rows)
+
+
+def test_fingerprints(docs, none, rows):
+    found = fingerprints.with_edits(docs).collect()
+    ordered = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
+    texts = [r[1] or "" for r in ordered]
+    want = []
+    for i, t in enumerate(texts):
+        after = texts[(i + 1) % len(texts)]
+        half = len(t) // 2
+        want.append((ordered[i][0], len(t), t[:len(t) - half] + after[:half]))
+    assert sorted([(r.doc_id, r.n_chars, r.edited) for r in found], key=repr) == sorted(want, key=repr)
+    assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in found)
+    same = {r.fingerprint for r in found if r.doc_id == 900}
+    assert len(same) == 1
+    text = ordered[5][1].translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+    words = text.encode().split()
+    marks = {hashlib.md5(b" ".join(words[i:i + 5])).hexdigest()[:16] for i in range(max(1, len(words) - 4))} if words else set()
+    kept = "".join(sorted(h for h in marks if h < "2" or h == min(marks)))
+    assert kept in {r.fingerprint for r in found}
+    assert fingerprints.with_edits(none).count() == 0
+
+
+def test_fingerprints_merge(spark):
+    both = spark.createDataFrame([("alpha beta gamma delta epsilon zeta", "beta gamma delta epsilon zeta eta theta")], "x string, y string")
+    f = fingerprints.fingerprint(fingerprints.fingerprint(both, "x", "a"), "y", "b")
+    f = f.select("a", "b", fingerprints.merged(F.col("a"), F.col("b")).alias("m")).first()
+    assert f.m[:16] == min(f.a[:16], f.b[:16])
+
+
+def test_language_id(spark, none):
+    rnd = random.Random(1)
+    pools = {"en": ["the", "and", "thing", "where"], "fr": ["le", "être", "où", "façon"]}
+    rows = [(i, " ".join(rnd.choices(pools[lang], k=rnd.randint(3, 30))), lang) for i in range(400) for lang in [("en", "fr")[i % 2]]]
+    docs = spark.createDataFrame([*rows, (1000, None, "en"), (1001, "12 34", "en"), (1002, "the thing", None)], "doc_id long, text string, lang string")
+    model = language_id.fit(docs.filter(~language_id.held_out()))
+    found = {r.doc_id: r for r in language_id.predict(docs, model).collect()}
+    assert all(found[i].lang_pred == lang for i, _, lang in rows) and found[1002].lang_pred == "en"
+    assert [(found[i].lang_pred, found[i].score) for i in (1000, 1001)] == [("und", 0.0)] * 2
+    empty = language_id.fit(none)
+    assert {r.lang_pred for r in language_id.predict(docs, empty).collect()} == {"und"}
+
+
+def test_quality_classifier(spark, docs, none):
+    rnd = random.Random(2)
+    clean = [(i, " ".join(rnd.choices(["the", "and", "river", "stone", "walks"], k=40)), "en") for i in range(120)]
+    junk = [(500 + i, " ".join("".join(rnd.choices("#$%&XYZQ", k=6)) for _ in range(40)), "en") for i in range(20)]
+    rows = spark.createDataFrame([*clean, *junk, (600, None, "en"), (601, "", None)], "doc_id long, text string, lang string")
+    trusted = spark.createDataFrame([(i,) for i in range(100)], "doc_id long")
+    found = {r.doc_id: r for r in perplexity.classify(rows, trusted, quantile=1.0).collect()}
+    assert sum(found[i].keep for i in range(120)) >= 112
+    assert not any(found[i].keep for i in [*range(500, 520), 600, 601])
+    assert perplexity.classify(docs, trusted.limit(0)).filter("NOT keep").filter("n_bytes > 0").count() == 0
+    assert perplexity.classify(none, trusted).count() == 0
+
+
+def test_perplexity_against_brute_force(spark):
+    """Every probability of a small model, by the formulas of interpolated modified Kneser-Ney."""
+    text = b"\n" * 4 + b"abracadabra abracadabra cab"
+    order = perplexity.ORDER
+    grams = Counter(text[i:i + order] for i in range(len(text) - order + 1))
+    levels = {order: grams}
+    for n in range(order - 1, 0, -1):
+        levels[n] = Counter(g[1:] for g in levels[n + 1])
+
+    def discount(n, c):
+        of = Counter(levels[n].values())
+        k = min(c, 3)
+        if of[1] and of[k]:
+            y = of[1] / (of[1] + 2 * of[2])
+            return max(0.1, min(k, k - (k + 1) * y * of[k + 1] / of[k]))
+        return k / 2
+
+    def p(n, g):
+        if n == 0:
+            return 1 / 256
+        mine = {x: c for x, c in levels[n].items() if x[:-1] == g[:-1]}
+        total = sum(mine.values())
+        if not total:
+            return p(n - 1, g[1:])
+        cut = {x: min(c, discount(n, c)) for x, c in mine.items()}
+        return (mine.get(g, 0) - cut.get(g, 0)) / total + sum(cut.values()) / total * p(n - 1, g[1:])
+
+    asked = [*grams, b"xbrac", b"abrax", b"\n\n\n\nz"]
+    rows = [("en", int.from_bytes(g), grams.get(g, 0)) for g in asked]
+    table = spark.createDataFrame(rows, "_lang string, _gram long, _n long")
+    logs = {r._gram: r._log for r in perplexity._probabilities(table.select("_lang", "_gram"), table.filter("_n > 0")).collect()}
+    import math
+
+    for g in asked:
+        assert logs[int.from_bytes(g)] == pytest.approx(math.log(p(order, g)), abs=1e-9)
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    sf_dir = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    found = corpus_pipeline.run(spark, sf_dir).collect()
+    assert 0 < len(found) <= docs.count() and len({r.doc_id for r in found}) == len(found)
+    assert all(len(r.token_ids) == r.n_tokens and len(r.text) == r.n_chars for r in found)
