@@ -255,12 +255,12 @@ def test_language_id(spark, none):
 
 def test_quality_classifier(spark, docs, none):
     rnd = random.Random(2)
-    clean = [(i, " ".join(rnd.choices(["the", "and", "river", "stone", "walks"], k=40)), "en") for i in range(120)]
+    clean = [(i, " ".join(rnd.choices(["the", "and", "river", "stone", "walks"], k=40)), "en") for i in range(440)]
     junk = [(500 + i, " ".join("".join(rnd.choices("#$%&XYZQ", k=6)) for _ in range(40)), "en") for i in range(20)]
     rows = spark.createDataFrame([*clean, *junk, (600, None, "en"), (601, "", None)], "doc_id long, text string, lang string")
-    trusted = spark.createDataFrame([(i,) for i in range(100)], "doc_id long")
+    trusted = spark.createDataFrame([(i,) for i in range(400)], "doc_id long")
     found = {r.doc_id: r for r in perplexity.classify(rows, trusted, quantile=1.0).collect()}
-    assert sum(found[i].keep for i in range(120)) >= 112
+    assert sum(found[i].keep for i in range(440)) >= 400
     assert not any(found[i].keep for i in [*range(500, 520), 600, 601])
     assert perplexity.classify(docs, trusted.limit(0)).filter("NOT keep").filter("n_bytes > 0").count() == 0
     assert perplexity.classify(none, trusted).count() == 0
