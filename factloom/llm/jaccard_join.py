@@ -36,7 +36,7 @@ from factloom.llm.packed import Words, distinct_per_row, mix, pack, signed, slic
 from factloom.llm.tables import bucket_count, documents
 from factloom.session import durable
 
-COUNTERS = 1 << 22
+COUNTERS = 1 << 21
 KEYS = 4  # min-hashes per class
 BLOCK = 256  # members of a group that one task holds
 _PARTS = 64  # pieces in which the counter table travels
@@ -48,9 +48,9 @@ def _sets(batch: pa.RecordBatch, words: int, text: str) -> tuple[np.ndarray, np.
 
 def _token_counts(words: int, text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(COUNTERS, np.int64)
+        seen = np.zeros(COUNTERS, np.uint32)
         for batch in slices(batches, text):
-            seen += np.bincount((_sets(batch, words, text)[1] % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+            np.add.at(seen, (_sets(batch, words, text)[1] % np.uint64(COUNTERS)).astype(np.int64), 1)
         parts = [pack(p.astype(np.uint64)) for p in np.split(seen, _PARTS)]
         yield pa.RecordBatch.from_arrays([pa.array(range(_PARTS), pa.int32()), pa.array(parts, pa.binary())], names=["part", "seen"])
 

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 
 U64 = np.uint64
 # Bytes of text that are worked on at a time (numpy needs about 60 times as much).
-SLICE_BYTES = 3 << 20
+SLICE_BYTES = 2 << 20
 
 
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
