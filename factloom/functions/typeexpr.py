@@ -36,9 +36,6 @@ COLUMN_TYPES = {
 }
 UNMAPPED_COLUMN_TYPE = "Untyped"
 
-# A separator of the outermost union: no closing bracket follows unopened
-# (two levels of nesting inside the bracket are understood).
-_TOP_LEVEL_BAR = r" \| (?!(?:[^\[\]]|\[(?:[^\[\]]|\[[^\[\]]*\])*\])*\])"
 _GENERIC = r"^([^\[\]|]+)\[(.*)\]$"
 
 
@@ -47,8 +44,23 @@ def _c(x: Column | str) -> Column:
 
 
 def union_members(type_: Column | str) -> Column:
-    """Outermost members of a type (one element when it is no union)."""
-    return F.split(_c(type_), _TOP_LEVEL_BAR)
+    """Outermost members of a type (one element when it is no union).
+
+    Pieces between bars are joined again while a bracket is open, at any depth.
+    """
+    t = _c(type_)
+    pieces = F.split(t, r" \| ")
+    empty = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("open"), F.lit(0).alias("depth"))
+
+    def step(acc: Column, piece: Column) -> Column:
+        opened, closed = (F.length(piece) - F.length(F.translate(piece, c, "")) for c in "[]")
+        depth = acc["depth"] + opened - closed
+        text = F.concat(acc["open"], piece)
+        return F.struct(
+            F.when(depth == 0, F.concat(acc["out"], F.array(text))).otherwise(acc["out"]).alias("out"),
+            F.when(depth == 0, F.lit("")).otherwise(F.concat(text, F.lit(" | "))).alias("open"), depth.alias("depth"))
+
+    return F.when(F.instr(t, "[") == 0, pieces).otherwise(F.aggregate(pieces, empty, step, lambda acc: acc["out"]))
 
 
 def is_union(type_: Column | str) -> Column:

@@ -114,27 +114,17 @@ def snapshot_key(parts: Sequence[Column | str] = KEY_PARTS) -> Column:
     return F.sha2(F.concat_ws("|", *[F.col(p) if isinstance(p, str) else p for p in parts]), 256)
 
 
-SHARD_FILES = 4096
-
-
-def inputs_fingerprint(files: DataFrame, group: str, shard_files: int = SHARD_FILES) -> DataFrame:
+def inputs_fingerprint(files: DataFrame, group: str) -> DataFrame:
     """Fingerprint of each file set: group, n_files, fingerprint.
 
-    A set is split by path into shards of about ``shard_files`` entries, their
-    number following from its size alone; shards are hashed in text order and
-    then their digests in shard order, so no set ever meets in one place.
+    The same scheme for every size, in no order: four 60-bit parts of the SHA-256
+    of each entry are summed over the set, before the shuffle as well as after.
     """
-    sizes = files.groupBy(group).agg(F.count(F.lit(1)).alias("n_files"))
-    entry = F.concat_ws(":", "path", F.col("mtime").cast("string"), F.col("size").cast("string"))
-    shards = F.ceil(F.col("n_files") / shard_files)
-    sharded = files.join(sizes, group).select(
-        group, "n_files", F.pmod(F.crc32(F.encode("path", "UTF-8")), shards).alias("shard"), entry.alias("entry")
-    )
-    parts = sharded.groupBy(group, "n_files", "shard").agg(
-        F.sha2(F.array_join(F.array_sort(F.collect_list("entry")), "|"), 256).alias("digest")
-    )
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("shard", "digest"))), lambda s: s["digest"])
-    return parts.groupBy(group, "n_files").agg(F.sha2(F.array_join(listed, "|"), 256).alias("fingerprint"))
+    entry = F.sha2(F.concat_ws(":", "path", F.col("mtime").cast("string"), F.col("size").cast("string")), 256)
+    parts = [F.conv(F.substring(entry, 1 + 15 * k, 15), 16, 10).cast("decimal(20,0)") for k in range(4)]
+    sums = files.groupBy(group).agg(F.count(F.lit(1)).alias("n_files"), *[F.sum(p).alias(f"_p{k}") for k, p in enumerate(parts)])
+    digest = F.sha2(F.concat_ws("|", *[F.col(f"_p{k}").cast("string") for k in range(4)]), 256)
+    return sums.select(group, "n_files", digest.alias("fingerprint"))
 
 
 def _cutoff(rows: DataFrame, keys: Sequence[str], order: Sequence[str], keep: int) -> DataFrame:

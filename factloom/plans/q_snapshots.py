@@ -125,8 +125,11 @@ def snapshot_key(f):
 
 @query(
     "a10_inputs_fingerprint",
-    """SELECT source, count(*) AS n_files, sha256(sha256(string_agg('d' || doc_id || ':' || doc_id || ':' || n_chars, '|' ORDER BY 'd' || doc_id || ':' || doc_id || ':' || n_chars))) AS fingerprint
-    FROM documents GROUP BY 1""",
+    """WITH entries AS (SELECT source, sha256('d' || doc_id || ':' || doc_id || ':' || n_chars) AS h FROM documents)
+    SELECT source, count(*) AS n_files, sha256(concat_ws('|',
+      sum(('0x' || substr(h, 1, 15))::BIGINT)::VARCHAR, sum(('0x' || substr(h, 16, 15))::BIGINT)::VARCHAR,
+      sum(('0x' || substr(h, 31, 15))::BIGINT)::VARCHAR, sum(('0x' || substr(h, 46, 15))::BIGINT)::VARCHAR)) AS fingerprint
+    FROM entries GROUP BY 1""",
 )
 def inputs_fingerprint(f):
     files = f["documents"].select(

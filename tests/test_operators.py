@@ -98,3 +98,25 @@ def test_own_rules_join_the_built_in_ones(spark):
     calls = spark.createDataFrame([("Maybe[User]", "value", None, False, None), ("Array[User]", "map", None, True, "Post")], "receiver_type string, name string, first_arg string, has_block boolean, block_type string")
     assert {r.name: r.return_type for r in C.apply_generic_rules(calls, rules).collect()} == {"value": "User | nil", "map": "Array[Post]"}
     extensions.clear()
+
+
+def test_union_members_at_any_depth_and_length(spark):
+    deep = "A[B | C[D[E[F[G | H]]]]] | Z"
+    wide = " | ".join(f"T{i}" for i in range(10_000))
+    from factloom.functions import typeexpr
+
+    rows = spark.createDataFrame([(deep,), (wide,), (None,)], "t string").select(typeexpr.union_members("t").alias("m")).collect()
+    assert rows[0].m == ["A[B | C[D[E[F[G | H]]]]]", "Z"]
+    assert len(rows[1].m) == 10_000 and rows[2].m is None
+
+
+def test_inputs_fingerprint_has_one_scheme_for_all_sizes(spark):
+    from pyspark.sql import functions as F
+
+    from factloom.operators import snapshots
+
+    files = spark.range(4097).select(F.lit("g").alias("g"), F.concat(F.lit("p"), "id").alias("path"), F.col("id").alias("mtime"), F.col("id").alias("size"))
+    whole = snapshots.inputs_fingerprint(files, "g").first()
+    again = snapshots.inputs_fingerprint(files.repartition(7), "g").first()
+    fewer = snapshots.inputs_fingerprint(files.filter("id < 4096"), "g").first()
+    assert whole == again and whole.n_files == 4097 and whole.fingerprint != fewer.fingerprint
