@@ -36,10 +36,11 @@ from factloom.llm.packed import Words, distinct_per_row, mix, pack, signed, slic
 from factloom.llm.tables import bucket_count, documents
 from factloom.session import durable
 
-COUNTERS = 1 << 21
+COUNTERS = 1 << 24
 KEYS = 4  # min-hashes per class
 BLOCK = 256  # members of a group that one task holds
-_PARTS = 64  # pieces in which the counter table travels
+_PARTS = 256  # pieces in which the counter table travels
+_STEPS = 200  # a token's place in its set is sent in so many steps
 
 
 def _sets(batch: pa.RecordBatch, words: int, text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -51,22 +52,25 @@ def _token_counts(words: int, text: str):
         seen = np.zeros(COUNTERS, np.uint32)
         for batch in slices(batches, text):
             np.add.at(seen, (_sets(batch, words, text)[1] % np.uint64(COUNTERS)).astype(np.int64), 1)
-        parts = [pack(p.astype(np.uint64)) for p in np.split(seen, _PARTS)]
+        parts = [pack(p) for p in np.split(seen, _PARTS)]
         yield pa.RecordBatch.from_arrays([pa.array(range(_PARTS), pa.int32()), pa.array(parts, pa.binary())], names=["part", "seen"])
 
     return run
 
 
 def _added(table: pa.Table) -> pa.Table:
-    total = sum(unpack(b)[0].view(np.int64) for b in table.column("seen").to_pylist())
-    return pa.table({"part": table.column("part").slice(0, 1), "seen": pa.array([pack(total)], pa.binary())})
+    total = np.zeros(COUNTERS // _PARTS, np.int64)
+    for block in table.column("seen").to_pylist():
+        total += unpack(block)[0]
+    rank = np.round(1000 * np.log2(1 + total)).astype(np.uint16)
+    return pa.table({"part": table.column("part").slice(0, 1), "seen": pa.array([pack(rank)], pa.binary())})
 
 
 def token_order(docs: DataFrame, words: int, text: str) -> np.ndarray:
-    """Counts of all documents' tokens in ``COUNTERS`` counters."""
+    """How frequent all documents' tokens are, on a log scale, in ``COUNTERS`` counters of two bytes."""
     rows = docs.mapInArrow(_token_counts(words, text), "part int, seen binary").groupBy("part").applyInArrow(_added, "part int, seen binary").collect()
-    found = [unpack(r.seen)[0].view(np.int64) for r in sorted(rows)]
-    return np.concatenate(found) if found else np.zeros(COUNTERS, np.int64)
+    found = [unpack(r.seen)[0] for r in sorted(rows)]
+    return np.concatenate(found) if found else np.zeros(COUNTERS, np.uint16)
 
 
 _SET_FIELDS = "_id long, _check int, n int, d1 long, d2 long, keys array<long>, prefix binary"
@@ -160,7 +164,7 @@ def _opened(words: int, percent: int):
     return run
 
 
-def _prefix_rows(buckets: int, percent: int):
+def _prefix_rows(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), 4096):
@@ -169,20 +173,18 @@ def _prefix_rows(buckets: int, percent: int):
                 blocks = part.column("prefix").to_pylist()
                 token = np.frombuffer(b"".join(blocks), np.uint64)
                 row = np.repeat(np.arange(len(part)), [len(b) // 8 for b in blocks])
-                # The smaller set of a pair needs fewer of its prefix tokens: those marked.
                 ends = np.cumsum([len(b) // 8 for b in blocks])
                 place = np.arange(len(row)) - (ends - np.diff(ends, prepend=0))[row]
-                few = n[row] - -(-2 * percent * n[row] // (100 + percent)) + 1
-                first = (place < few).astype(np.uint8)
+                step = (_STEPS * place // n[row]).astype(np.uint8)
                 bucket = (mix(token, 9) % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
-                bucket, row, token, first = bucket[order], row[order], token[order], first[order]
+                bucket, row, token, step = bucket[order], row[order], token[order], step[order]
                 cuts = np.flatnonzero(np.diff(bucket)) + 1
                 out = []
                 for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(bucket)], strict=True):
                     if hi > lo:
                         rows, counts = np.unique(row[lo:hi], return_counts=True)
-                        out.append((int(bucket[lo]), pack(cls[rows], group[rows], size[rows], n[rows], counts, first[lo:hi]), token[lo:hi].tobytes()))
+                        out.append((int(bucket[lo]), pack(cls[rows], group[rows], size[rows], n[rows], counts, step[lo:hi]), token[lo:hi].tobytes()))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.binary()), pa.array([o[2] for o in out], pa.binary())],
                     names=["bucket", "classes", "tokens"])
@@ -196,13 +198,15 @@ def _queries(percent: int):
     def run(table: pa.Table) -> pa.Table:
         tokens, fields = [], []
         for classes, block in zip(table.column("classes").to_pylist(), table.column("tokens").to_pylist(), strict=True):
-            *columns, counts, first = unpack(classes)
-            fields.append([*(np.repeat(c.view(np.int64), counts.view(np.int64)) for c in columns), first])
+            *columns, counts, step = unpack(classes)
+            fields.append([*(np.repeat(c.view(np.int64), counts.view(np.int64)) for c in columns), step])
             tokens.append(np.frombuffer(block, np.uint64))
         token = np.concatenate(tokens)
-        cls, group, size, n, first = (np.concatenate(c) for c in zip(*fields, strict=True))
+        cls, group, size, n, step = (np.concatenate(c) for c in zip(*fields, strict=True))
+        # All that a pair shares lies from its first shared token on, in both sets.
+        left = n - -(-step.astype(np.int64) * n // _STEPS)
         order = np.lexsort((cls, n, token))
-        token, cls, group, size, n, first = (x[order] for x in (token, cls, group, size, n, first))
+        token, cls, group, size, n, left = (x[order] for x in (token, cls, group, size, n, left))
         edges = np.flatnonzero(np.diff(token)) + 1
         starts, ends = np.concatenate([[0], edges]), np.concatenate([edges, [len(token)]])
         wanted = [np.zeros((0, 2), np.int64)]
@@ -212,7 +216,9 @@ def _queries(percent: int):
             reach = np.searchsorted(n[lo:hi], -(-percent * n[lo:hi] // 100)) + lo
             for at in range(lo + 1, hi):
                 partners = np.arange(reach[at - lo], at)
-                partners = partners[(group[partners] != group[at]) & (first[partners] > 0)]
+                need = percent * (n[partners] + n[at])
+                enough = (100 + percent) * np.minimum(left[partners], left[at]) >= need
+                partners = partners[(group[partners] != group[at]) & enough]
                 if not len(partners):
                     continue
                 # The member of the smaller group asks.
@@ -268,7 +274,7 @@ def linked(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "text
     buckets = bucket_count(rows, "text")
     asked = durable(
         classes_in.select("cls", "group", "size", "n", "prefix")
-        .mapInArrow(_prefix_rows(buckets, percent), "bucket int, classes binary, tokens binary")
+        .mapInArrow(_prefix_rows(buckets), "bucket int, classes binary, tokens binary")
         .groupBy("bucket").applyInArrow(_queries(percent), "cls long, group long").distinct())
     classes_in = classes.select("cls").join(grouped, "cls", "left").select(
         "cls", F.coalesce("group", "cls").alias("group"), F.coalesce("size", F.lit(1)).alias("size"))
