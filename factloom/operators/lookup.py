@@ -114,10 +114,11 @@ def nearest(found: DataFrame, keys: Sequence[str] = ("receiver", "name")) -> Dat
 
 def lookup_union(requests: DataFrame, chain: DataFrame, heads: DataFrame, aliases: DataFrame) -> DataFrame:
     """Lookup on union receivers: requests (receiver_type, name), one row per
-    distinct symbol. ``conditional`` marks results that some member lacks; a hit
-    through an alias carries the old name and does not count as present."""
+    distinct symbol, as its first member finds it. ``conditional`` marks results
+    that some member of several lacks; a hit through an alias carries the old
+    name and does not count as present."""
     wanted = requests.select("receiver_type", "name").distinct()
-    members = wanted.select("receiver_type", "name", F.explode(X.nominal_members("receiver_type")).alias("receiver"))
+    members = wanted.select("receiver_type", "name", F.posexplode(X.nominal_members("receiver_type")).alias("member", "receiver"))
     sizes = members.groupBy("receiver_type", "name").agg(F.count(F.lit(1)).alias("n_members"))
     found = members.join(lookup(members, chain, heads, aliases), ["receiver", "name"])
     present = (
@@ -125,11 +126,11 @@ def lookup_union(requests: DataFrame, chain: DataFrame, heads: DataFrame, aliase
         .groupBy("receiver_type", "name").agg(F.count(F.lit(1)).alias("n_present"))
     )
     symbols = found.groupBy("receiver_type", "name", "sym_kind", "sym_owner", "sym_name").agg(
-        F.min("rank").alias("rank"), F.min_by("visibility", "rank").alias("visibility")
-    )
+        F.min_by(F.struct("rank", "visibility"), F.struct("member", "rank")).alias("first")
+    ).select("*", "first.rank", "first.visibility").drop("first")
     return (
         symbols.join(sizes, ["receiver_type", "name"]).join(present, ["receiver_type", "name"], "left")
-        .withColumn("conditional", F.coalesce("n_present", F.lit(0)) < F.col("n_members"))
+        .withColumn("conditional", (F.col("n_members") > 1) & (F.coalesce("n_present", F.lit(0)) < F.col("n_members")))
         .drop("n_members", "n_present")
     )
 
@@ -325,15 +326,15 @@ def union_conditionals(members: DataFrame, total: Column) -> DataFrame:
 
 # Order of the sources that contribute members, and how far each
 # is trusted when the list is sorted.
-MEMBER_SOURCES = ("source", "model", "model_api", "signature")
+MEMBER_SOURCES = {"source": 0, "model_column": 1, "model_association": 2, "model_api": 3, "signature": 4}
 ORIGIN_AUTHORITY = {"source": 0, "model_column": 1, "model_association": 1, "signature": 2, "model_api": 3}
 
 
 def merge_members(members: DataFrame) -> DataFrame:
     """One row per (receiver, name) from (receiver, name, origin, conditional):
     the first source to offer a name keeps it; ``position`` sorts the list."""
-    insert = F.create_map(*[F.lit(x) for p in {"source": 0, "model_column": 1, "model_association": 1, "model_api": 2, "signature": 3}.items() for x in p])
+    insert = F.create_map(*[F.lit(x) for p in MEMBER_SOURCES.items() for x in p])
     authority = F.create_map(*[F.lit(x) for p in ORIGIN_AUTHORITY.items() for x in p])
-    first = pick_first(members, ["receiver", "name"], [insert[F.col("origin")], F.col("origin")], ["origin", "conditional"])
+    first = pick_first(members, ["receiver", "name"], [insert[F.col("origin")], F.col("conditional")], ["origin", "conditional"])
     order = Window.partitionBy("receiver").orderBy("conditional", authority[F.col("origin")], "name")
     return first.withColumn("position", F.row_number().over(order))

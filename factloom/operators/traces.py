@@ -197,14 +197,16 @@ def fingerprint(text: Column, line: Column) -> Column:
 
 def publish_latest(results: DataFrame, bucket: int = 100_000) -> DataFrame:
     """Results that may be shown: of the buffer open at that moment, and not
-    older than one already shown for it.
+    older than one already shown for it. A result without a generation is only
+    held back by a higher version.
 
     ``results``: uri, arrival, buffer_id (rising as buffers are opened), version,
     generation."""
     order, b = [F.col("arrival")], F.floor(F.col("arrival") / bucket)
     opened = running_max(results, ["uri"], b, order, F.col("buffer_id"), "_open")
     ranked = running_max(opened, ["uri", "buffer_id"], b, order, F.struct("version", "generation"), "_best")
-    shown = (F.col("buffer_id") == F.col("_open")) & (F.struct("version", "generation") == F.col("_best"))
+    dated = F.col("generation").isNull() | (F.col("generation") == F.col("_best.generation"))
+    shown = (F.col("buffer_id") == F.col("_open")) & (F.col("version") == F.col("_best.version")) & dated
     return ranked.filter(shown).drop("_open", "_best")
 
 
@@ -226,14 +228,19 @@ def coalesce_changes(changes: DataFrame, gap_seconds: int) -> DataFrame:
 
 
 def collapse_requests(requests: DataFrame, passes: DataFrame) -> DataFrame:
-    """repo, start of the passes that really run: each pass that begins takes
-    every request made before it; one without a request is not run.
-
-    ``requests``: repo, at; ``passes``: repo, start (possible starts)."""
-    before = Window.partitionBy("repo").orderBy("start")
-    slots = passes.withColumn("prev", F.lag("start").over(before))
-    asked = requests.groupBy("repo", F.date_trunc("hour", "at").alias("hour")).agg(F.min("at").alias("lo"), F.count(F.lit(1)).alias("n"))
-    return slots.withColumn("hour", F.col("prev")).join(asked, ["repo", "hour"]).select("repo", "start", "n")
+    """repo, start of the passes that really run, and the requests each serves: a
+    pass that begins takes every request made before it that no earlier one took;
+    one without a request is not run.
+
+    ``requests``: repo, at; ``passes``: repo, start (possible starts, at any time).
+    Both run as one sequence, spread over days."""
+    begins = passes.select("repo", F.col("start").alias("at"), F.lit(0).alias("asked")).distinct()
+    line = begins.union(requests.select("repo", "at", F.lit(1).alias("asked")))
+    day, order = F.to_date("at"), [F.col("at"), F.col("asked")]
+    counted = running_sum(line, ["repo"], day, order, F.col("asked"), "so_far").filter("asked = 0")
+    before = previous_row(counted, ["repo"], day, [F.col("at")], ["so_far"], "_p_")
+    n = F.col("so_far") - F.coalesce("_p_so_far", F.lit(0))
+    return before.select("repo", F.col("at").alias("start"), n.alias("n")).filter("n > 0")
 
 
 def evidence_lookup(requests: DataFrame, evidence: DataFrame) -> DataFrame:

@@ -97,19 +97,23 @@ def method_lookup(f):
 
 
 _UNIONS = """SELECT DISTINCT '::K' || (l_suppkey % 50) || ' | ::K' || (l_partkey % 40 + 50) || CASE WHEN l_linenumber % 2 = 0 THEN ' | nil' ELSE '' END AS receiver_type,
-  replace(p_name, ' ', '_') || CASE WHEN l_linenumber = 3 THEN '_old' ELSE '' END AS name FROM lineitem JOIN part ON l_partkey = p_partkey"""
+  replace(p_name, ' ', '_') || CASE WHEN l_linenumber = 3 THEN '_old' ELSE '' END AS name FROM lineitem JOIN part ON l_partkey = p_partkey
+  UNION SELECT DISTINCT '::K' || (l_suppkey % 50) || CASE WHEN l_linenumber % 2 = 0 THEN ' | nil' ELSE '' END,
+  replace(p_name, ' ', '_') || CASE WHEN l_linenumber > 4 THEN '_old' ELSE '' END FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber > 3"""
 
 
 @query(
     "c8_method_lookup_union",
-    f"""WITH u AS (SELECT receiver_type, name, unnest(list_filter(string_split(receiver_type, ' | '), lambda x: x <> 'nil')) AS receiver FROM ({_UNIONS})),
-    x AS (SELECT u.receiver_type, u.name, u.receiver, c.pos AS rank, h.kind AS sym_kind, h.owner AS sym_owner, h.name AS sym_name, h.visibility
+    f"""WITH l AS (SELECT receiver_type, name, list_filter(string_split(receiver_type, ' | '), lambda x: x <> 'nil') AS ms FROM ({_UNIONS})),
+    u AS (SELECT receiver_type, name, unnest(ms) AS receiver, generate_subscripts(ms, 1) AS k FROM l),
+    x AS (SELECT u.receiver_type, u.name, u.receiver, u.k * 1000000 + c.pos AS place, c.pos AS rank, h.kind AS sym_kind, h.owner AS sym_owner, h.name AS sym_name, h.visibility
       FROM u JOIN chain_i c ON c.owner = u.receiver
       LEFT JOIN o_alias a ON a.owner = '::' || ltrim(c.name, ':') AND a.new_name = u.name AND a.side = c.decl_side
       JOIN o_heads h ON h.kind = c.decl_side AND h.owner = '::' || ltrim(c.name, ':') AND h.name = coalesce(a.old_name, u.name)),
     p AS (SELECT receiver_type, name, count(DISTINCT receiver) AS n FROM x WHERE sym_name = name GROUP BY 1, 2),
     s AS (SELECT receiver_type, name, count(*) AS total FROM u GROUP BY 1, 2)
-    SELECT x.receiver_type, x.name, sym_kind, sym_owner, sym_name, min(rank) AS rank, min(visibility) AS visibility, coalesce(min(p.n), 0) < min(s.total) AS conditional
+    SELECT x.receiver_type, x.name, sym_kind, sym_owner, sym_name, arg_min(rank, place) AS rank, arg_min(visibility, place) AS visibility,
+      min(s.total) > 1 AND coalesce(min(p.n), 0) < min(s.total) AS conditional
     FROM x JOIN s USING (receiver_type, name) LEFT JOIN p USING (receiver_type, name) GROUP BY 1, 2, 3, 4, 5""",
 )
 def method_lookup_union(f):
@@ -211,7 +215,7 @@ def completion_members(f):
 
 
 _MEMBERS = """SELECT '::K' || c_custkey AS receiver, n AS name, o AS origin, c_custkey % 7 = 0 AS conditional FROM customer,
-  (SELECT 'id' AS n, 'model_column' AS o UNION ALL SELECT 'name', 'model_column' UNION ALL SELECT 'orders', 'model_association'
+  (SELECT 'id' AS n, 'model_column' AS o UNION ALL SELECT 'name', 'model_column' UNION ALL SELECT 'orders', 'model_association' UNION ALL SELECT 'orders', 'model_column'
    UNION ALL SELECT 'save', 'model_api' UNION ALL SELECT 'id', 'model_api' UNION ALL SELECT 'to_s', 'signature' UNION ALL SELECT 'name', 'signature') v"""
 
 
@@ -219,7 +223,7 @@ _MEMBERS = """SELECT '::K' || c_custkey AS receiver, n AS name, o AS origin, c_c
     "e6_merge_members",
     f"""WITH m AS (SELECT receiver, name, 'source' AS origin, false AS conditional FROM o_visible UNION ALL {_MEMBERS}),
     f AS (SELECT *, row_number() OVER (PARTITION BY receiver, name ORDER BY CASE origin WHEN 'source' THEN 0 WHEN 'model_column' THEN 1
-      WHEN 'model_association' THEN 1 WHEN 'model_api' THEN 2 ELSE 3 END) AS k FROM m)
+      WHEN 'model_association' THEN 2 WHEN 'model_api' THEN 3 ELSE 4 END) AS k FROM m)
     SELECT receiver, name, origin, conditional, row_number() OVER (PARTITION BY receiver ORDER BY conditional,
       CASE origin WHEN 'source' THEN 0 WHEN 'model_column' THEN 1 WHEN 'model_association' THEN 1 WHEN 'signature' THEN 2 ELSE 3 END, name) AS position
     FROM f WHERE k = 1""",
@@ -229,7 +233,7 @@ def merge_members(f):
         F.concat(F.lit("::K"), F.col("c_custkey").cast("string")).alias("receiver"), (F.col("c_custkey") % 7 == 0).alias("conditional"),
         F.explode(F.array(*[
             F.struct(F.lit(n).alias("name"), F.lit(o).alias("origin"))
-            for n, o in (("id", "model_column"), ("name", "model_column"), ("orders", "model_association"), ("save", "model_api"),
+            for n, o in (("id", "model_column"), ("name", "model_column"), ("orders", "model_association"), ("orders", "model_column"), ("save", "model_api"),
                          ("id", "model_api"), ("to_s", "signature"), ("name", "signature"))
         ])).alias("m"),
     ).select("receiver", "m.name", "m.origin", "conditional")

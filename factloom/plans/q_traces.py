@@ -96,14 +96,16 @@ def running_epoch(f):
 
 
 _RESULTS = """SELECT 'u' || user_id AS uri, event_id AS arrival, CAST(floor(event_id / 2500.0) AS BIGINT) - CASE WHEN event_id % 11 = 0 THEN 1 ELSE 0 END AS buffer_id,
-  CAST(floor(event_id / 400.0) AS BIGINT) + CAST(floor(value / 30.0) AS BIGINT) AS version, CAST(floor(value) AS BIGINT) % 7 AS generation FROM events"""
+  CAST(floor(event_id / 400.0) AS BIGINT) + CAST(floor(value / 30.0) AS BIGINT) AS version,
+  CASE WHEN event_id % 5 > 0 THEN CAST(floor(value) AS BIGINT) % 7 END AS generation FROM events"""
 
 
 @query(
     "s3_publish_latest",
     f"""WITH r AS ({_RESULTS}), o AS (SELECT *, max(buffer_id) OVER (PARTITION BY uri ORDER BY arrival) AS op,
-      max(version * 1000 + generation) OVER (PARTITION BY uri, buffer_id ORDER BY arrival) AS best FROM r)
-    SELECT uri, arrival, buffer_id, version, generation FROM o WHERE buffer_id = op AND version * 1000 + generation = best""",
+      max(version * 1000 + coalesce(generation + 1, 0)) OVER (PARTITION BY uri, buffer_id ORDER BY arrival) AS best FROM r)
+    SELECT uri, arrival, buffer_id, version, generation FROM o WHERE buffer_id = op
+      AND version = CAST(floor(best / 1000.0) AS BIGINT) AND (generation IS NULL OR version * 1000 + generation + 1 = best)""",
 )
 def publish_latest(f):
     return T.publish_latest(f.sql(_RESULTS), bucket=1000)
@@ -167,13 +169,13 @@ def fingerprints(f):
 
 
 _REQ = "SELECT 'r' || (user_id % 10) AS repo, ts AS at FROM events WHERE event_type = 'click'"
-_PASS = "SELECT DISTINCT 'r' || (user_id % 10) AS repo, date_trunc('hour', ts) AS start FROM events"
+_PASS = "SELECT DISTINCT 'r' || (user_id % 10) AS repo, date_trunc('hour', ts) + INTERVAL 20 MINUTE AS start FROM events WHERE extract(HOUR FROM ts) % 3 <> 1"
 
 
 @query(
     "s9_rerun_requests",
     f"""WITH p AS (SELECT repo, start, lag(start) OVER (PARTITION BY repo ORDER BY start) AS prev FROM ({_PASS}))
-    SELECT p.repo, p.start, count(*) AS n FROM p JOIN ({_REQ}) r ON r.repo = p.repo AND date_trunc('hour', r.at) = p.prev GROUP BY 1, 2""",
+    SELECT p.repo, p.start, count(*) AS n FROM p JOIN ({_REQ}) r ON r.repo = p.repo AND r.at < p.start AND (p.prev IS NULL OR r.at >= p.prev) GROUP BY 1, 2""",
 )
 def rerun_requests(f):
     return T.collapse_requests(f.sql(_REQ), f.sql(_PASS)).withColumn("start", F.col("start").cast("timestamp_ntz"))

@@ -139,11 +139,15 @@ def _newest(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> It
     rows = []
     batch = pd.concat(list(frames)).sort_values("arrival")
     for arrival, b, v, g in zip(*[batch[c].tolist() for c in ("arrival", "buffer_id", "version", "generation")], strict=True):
-        if b > buffer_id or (b == buffer_id and (v, g) >= (version, generation)):
-            buffer_id, version, generation = b, v, g
+        # A result without a generation is only held back by a higher version.
+        g = None if pd.isna(g) else int(g)
+        same = b == buffer_id and v == version
+        if b > buffer_id or (b == buffer_id and v > version) or (same and (g is None or g >= generation)):
+            generation = g if g is not None else generation if same else -1
+            buffer_id, version = b, v
             rows.append((key[0], arrival, b, v, g))
     state.update((buffer_id, version, generation))
-    yield pd.DataFrame(rows, columns=["uri", "arrival", "buffer_id", "version", "generation"])
+    yield pd.DataFrame(rows, columns=["uri", "arrival", "buffer_id", "version", "generation"]).astype({"generation": "Int64"})
 
 
 def publish_stream(results: DataFrame) -> DataFrame:

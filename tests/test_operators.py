@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from factloom.functions import skew
 from factloom.functions import typeexpr as X
 from factloom.operators import calls as C
+from factloom.operators import lookup as L
 from factloom.operators import resolve as R
 from factloom.operators import search as S
 from factloom.operators import snapshots
@@ -120,3 +121,18 @@ def test_inputs_fingerprint_has_one_scheme_for_all_sizes(spark):
     again = snapshots.inputs_fingerprint(files.repartition(7), "g").first()
     fewer = snapshots.inputs_fingerprint(files.filter("id < 4096"), "g").first()
     assert whole == again and whole.n_files == 4097 and whole.fingerprint != fewer.fingerprint
+
+
+def test_column_hides_association_of_one_name(spark):
+    rows = [("::K", "owner", "model_association", False), ("::K", "owner", "model_column", False), ("::K", "owner", "signature", False)]
+    got = L.merge_members(spark.createDataFrame(rows, "receiver string, name string, origin string, conditional boolean")).collect()
+    assert [(r.name, r.origin, r.position) for r in got] == [("owner", "model_column", 1)]
+
+
+def test_single_receiver_through_alias_is_certain(spark):
+    asked = spark.createDataFrame([("::K", "aka"), ("::K | ::J", "aka")], "receiver_type string, name string")
+    chain = spark.createDataFrame([("::K", 0, "::K", "instance_method", "self"), ("::J", 0, "::J", "instance_method", "self")], "owner string, pos int, name string, decl_side string, origin string")
+    heads = spark.createDataFrame([("instance_method", "::K", "old", "public", "source")], "kind string, owner string, name string, visibility string, origin string")
+    aliases = spark.createDataFrame([("u", "::K", "aka", "old", False, "public", 1)], "uri string, owner string, new_name string, old_name string, singleton boolean, visibility string, ordinal int")
+    got = {r.receiver_type: (r.sym_name, r.conditional) for r in L.lookup_union(asked, chain, heads, aliases).collect()}
+    assert got == {"::K": ("old", False), "::K | ::J": ("old", True)}

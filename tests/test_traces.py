@@ -67,3 +67,15 @@ def test_raise_hides_a_nil_return(spark):
     df = spark.createDataFrame([(None, False), (None, True), ("User", True)], "v string, r boolean")
     got = [r[0] for r in df.select(T.counted_return(F.col("v"), F.col("r"))).collect()]
     assert got == ["nil", None, "User"]
+
+
+def test_requests_are_served_by_the_next_pass(spark):
+    asked = spark.createDataFrame([("r", "2024-01-01 10:30:00"), ("r", "2024-01-01 11:00:00"), ("r", "2024-01-03 14:00:00")], "repo string, at string").withColumn("at", F.col("at").cast("timestamp"))
+    passes = spark.createDataFrame([("r", f"2024-01-0{d}") for d in ("1 08:00:00", "1 11:15:00", "2 14:00:00", "3 14:00:00", "4 02:07:00")], "repo string, start string").withColumn("start", F.col("start").cast("timestamp"))
+    assert sorted((str(r.start), r.n) for r in T.collapse_requests(asked, passes).collect()) == [("2024-01-01 11:15:00", 2), ("2024-01-04 02:07:00", 1)]
+
+
+def test_result_without_generation_is_shown(spark):
+    rows = [("u", 1, 1, 1, 4), ("u", 2, 1, 1, None), ("u", 3, 1, 1, 3), ("u", 4, 1, 1, 5), ("u", 5, 1, 0, None)]
+    got = T.publish_latest(spark.createDataFrame(rows, "uri string, arrival long, buffer_id long, version long, generation long")).collect()
+    assert sorted(r.arrival for r in got) == [1, 2, 4]
