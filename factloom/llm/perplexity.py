@@ -24,8 +24,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from factloom.functions.skew import broadcast_if_small
 from factloom.llm.packed import byte_column, slices
-from factloom.llm.tables import bucket_count, documents
+from factloom.llm.tables import documents
 from factloom.session import durable
 
 ORDER = 5
@@ -53,15 +54,8 @@ def _grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return gram[np.cumsum(inside[:-1]) > 0], np.concatenate([[0], np.cumsum(sizes)])
 
 
-def _by_language(table: pa.Table) -> Iterator[tuple[str, np.ndarray]]:
-    langs = np.array(table.column("_lang").to_pylist(), object)
-    for lang in sorted(set(langs)):
-        yield lang, np.flatnonzero(langs == lang)
-
-
-def _pieces(table: pa.Table, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-    picked = table.take(pa.array(rows)).combine_chunks()
-    return slices(iter(picked.to_batches()))
+def _pieces(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    return slices(iter(table.combine_chunks().to_batches()))
 
 
 def _is_calibration() -> Column:
@@ -72,40 +66,35 @@ def _is_calibration() -> Column:
 def _list_grams(docs: pa.Table, trusted: pa.Table) -> pa.Table:
     """Distinct n-grams of a chunk with their count in its training rows."""
     train = np.isin(docs.column("_key").to_numpy(), trusted.column("_key").to_numpy())
-    out = []
-    for lang, rows in _by_language(docs):
-        keys, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        for part, weight in ((rows[train[rows]], 1), (rows[~train[rows]], 0)):
-            for piece in _pieces(docs, part):
-                k, c = np.unique(_grams(piece.column("text"))[0], return_counts=True)
-                keys.append(k)
-                counts.append(c * weight)
-        k, c = np.concatenate(keys), np.concatenate(counts)
-        types, which = np.unique(k, return_inverse=True)
-        out.append(pa.table({
-            "_chunk": np.full(len(types), docs.column("_chunk")[0].as_py(), np.int32), "_lang": pa.array([lang] * len(types), pa.string()),
-            "_gram": types.view(np.int64), "_n": np.bincount(which, weights=c, minlength=len(types)).astype(np.int64),
-        }))
-    return pa.concat_tables(out) if out else pa.table({"_chunk": pa.array([], pa.int32()), "_lang": pa.array([], pa.string()), "_gram": pa.array([], pa.int64()), "_n": pa.array([], pa.int64())})
+    keys, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for part, weight in ((docs.filter(pa.array(train)), 1), (docs.filter(pa.array(~train)), 0)):
+        for piece in _pieces(part):
+            k, c = np.unique(_grams(piece.column("text"))[0], return_counts=True)
+            keys.append(k)
+            counts.append(c * weight)
+    types, which = np.unique(np.concatenate(keys), return_inverse=True)
+    summed = np.bincount(which, weights=np.concatenate(counts), minlength=len(types))
+
+    def repeated(name: str) -> pa.Array:
+        return pa.repeat(docs.column(name)[0], len(types)) if len(docs) else pa.array([], docs.schema.field(name).type)
+
+    return pa.table({"_lang": repeated("_lang"), "_chunk": repeated("_chunk"), "_gram": types.view(np.int64), "_n": summed.astype(np.int64)})
 
 
 def _scorer(columns: list[str], schema: pa.Schema):
     def score(docs: pa.Table, probabilities: pa.Table) -> pa.Table:
         """The rows of a chunk with their perplexity, from the chunk's log-probabilities."""
         out = []
-        langs = np.array(probabilities.column("_lang").to_pylist(), object)
         grams, logs = (probabilities.column(c).to_numpy() for c in ("_gram", "_log"))
-        for lang, rows in _by_language(docs):
-            mine = langs == lang
-            order = np.argsort(grams[mine])
-            known, values = grams[mine][order].view(np.uint64), logs[mine][order]
-            for piece in _pieces(docs, rows):
-                gram, bounds = _grams(piece.column("text"))
-                total = np.concatenate([[0.0], np.cumsum(values[np.searchsorted(known, gram)] if len(gram) else [])])
-                n = np.diff(bounds)
-                mean = (total[bounds[1:]] - total[bounds[:-1]]) / np.maximum(n, 1)
-                found = pa.array(np.where(n > 0, np.exp(-mean), np.nan), from_pandas=True)
-                out.append(pa.RecordBatch.from_arrays([*(piece.column(c) for c in columns), pa.array(n), found], schema=schema))
+        order = np.argsort(grams)
+        known, values = grams[order].view(np.uint64), logs[order].astype(np.float64)
+        for piece in _pieces(docs):
+            gram, bounds = _grams(piece.column("text"))
+            total = np.concatenate([[0.0], np.cumsum(values[np.searchsorted(known, gram)] if len(gram) else [])])
+            n = np.diff(bounds)
+            mean = (total[bounds[1:]] - total[bounds[:-1]]) / np.maximum(n, 1)
+            found = pa.array(np.where(n > 0, np.exp(-mean), np.nan), from_pandas=True)
+            out.append(pa.RecordBatch.from_arrays([*(piece.column(c) for c in columns), pa.array(n), found], schema=schema))
         return pa.Table.from_batches(out, schema=schema)
 
     return score
@@ -163,23 +152,37 @@ def _probabilities(needed: DataFrame, counts: DataFrame) -> DataFrame:
     return lower.select("_lang", "_gram", F.log("_p").alias("_log"))
 
 
+def _in_chunks(docs: DataFrame, trusted_ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Documents, and the trusted ones' keys, dealt to chunks of one language and bounded size."""
+    sizes = durable(docs.groupBy("_lang").agg(F.sum(F.octet_length("text")).alias("_bytes")))
+    total = sizes.agg(F.sum("_bytes")).first()[0] or 0
+    per_chunk = max(1, min(CHUNK_BYTES, total // int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    parts = sizes.select("_lang", (F.coalesce("_bytes", F.lit(0)) / per_chunk + 1).cast("int").alias("_parts"))
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        return rows.join(broadcast_if_small(parts), "_lang").withColumn("_chunk", F.pmod(F.hash("_key"), "_parts")).drop("_parts")
+
+    trusted = durable(docs.select("_key", "_lang").join(trusted_ids, "_key", "left_semi").distinct())
+    return dealt(docs), dealt(trusted)
+
+
 def perplexities(docs: DataFrame, trusted_ids: DataFrame, carry: list[str]) -> DataFrame:
     """``carry`` columns, size and perplexity per row. ``docs`` has _key (id), _lang and text, ``trusted_ids`` _key."""
-    chunks = bucket_count(docs, "text", CHUNK_BYTES)
-    chunk = F.pmod(F.hash("_key"), F.lit(chunks)).cast("int").alias("_chunk")
-    docs, trusted_ids = docs.select("*", chunk), trusted_ids.select("_key", chunk)
+    docs, ids = _in_chunks(docs, trusted_ids)
+    training = ids.filter(~_is_calibration())
     grams = durable(
-        docs.groupBy("_chunk").cogroup(trusted_ids.filter(~_is_calibration()).groupBy("_chunk"))
-        .applyInArrow(_list_grams, "_chunk int, _lang string, _gram long, _n long"))
+        docs.groupBy("_lang", "_chunk").cogroup(training.groupBy("_lang", "_chunk"))
+        .applyInArrow(_list_grams, "_lang string, _chunk int, _gram long, _n long"))
     types = durable(grams.groupBy("_lang", "_gram").agg(F.sum("_n").alias("_n")))
     logs = _probabilities(types.select("_lang", "_gram"), types.filter("_n > 0"))
+    logs = durable(logs.withColumn("_log", F.col("_log").cast("float")))
     answers = grams.select("_chunk", "_lang", "_gram").join(logs, ["_lang", "_gram"])
     fields = [f for f in docs.schema if f.name in carry]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", n_bytes long, perplexity double"
     names = [f.name for f in fields]
     arrow = to_arrow_schema(docs.select(*[F.col(f"`{n}`") for n in names]).schema)
     arrow = arrow.append(pa.field("n_bytes", pa.int64())).append(pa.field("perplexity", pa.float64()))
-    return docs.groupBy("_chunk").cogroup(answers.groupBy("_chunk")).applyInArrow(_scorer(names, arrow), schema)
+    return docs.groupBy("_lang", "_chunk").cogroup(answers.groupBy("_lang", "_chunk")).applyInArrow(_scorer(names, arrow), schema)
 
 
 def classify(
