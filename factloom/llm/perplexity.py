@@ -114,7 +114,8 @@ def _model(counts: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
     levels = [counts]
     for n in range(ORDER, 1, -1):
         # Below the top a count is the number of distinct bytes in front.
-        levels.insert(0, levels[0].select("_lang", _suffix(n).alias("_gram")).groupBy("_lang", "_gram").agg(F.count("*").alias("_n")))
+        lower = levels[0].select("_lang", _suffix(n).alias("_gram")).groupBy("_lang", "_gram").agg(F.count("*").alias("_n"))
+        levels.insert(0, durable(lower))
     out = []
     for level in levels:
         of = [F.sum((F.col("_n") == k).cast("double")).alias(f"_c{k}") for k in (1, 2, 3, 4)]
@@ -138,7 +139,7 @@ def _probabilities(needed: DataFrame, counts: DataFrame) -> DataFrame:
     """Log-probability of every needed n-gram, from the lowest order up."""
     wanted = [needed]
     for n in range(ORDER, 1, -1):
-        wanted.insert(0, wanted[0].select("_lang", _suffix(n).alias("_gram")).distinct())
+        wanted.insert(0, durable(wanted[0].select("_lang", _suffix(n).alias("_gram")).distinct()))
     lower = None
     for n, (types, (shares, weights)) in enumerate(zip(wanted, _model(counts), strict=True), start=1):
         rows = types.withColumn("_context", F.shiftright("_gram", 8)).withColumn("_suffix", _suffix(n))
@@ -148,7 +149,8 @@ def _probabilities(needed: DataFrame, counts: DataFrame) -> DataFrame:
             rows = rows.join(lower.select("_lang", F.col("_gram").alias("_suffix"), F.col("_p").alias("_below")), ["_lang", "_suffix"])
             below = F.col("_below")
         own = F.coalesce(F.col("_share") / F.col("_total"), F.lit(0.0))
-        lower = rows.select("_lang", "_gram", (own + F.coalesce(F.col("_weight"), F.lit(1.0)) * below).alias("_p"))
+        # One query per order: the plan of all five together strains the driver.
+        lower = durable(rows.select("_lang", "_gram", (own + F.coalesce(F.col("_weight"), F.lit(1.0)) * below).alias("_p")))
     return lower.select("_lang", "_gram", F.log("_p").alias("_log"))
 
 
@@ -175,8 +177,8 @@ def perplexities(docs: DataFrame, trusted_ids: DataFrame, carry: list[str]) -> D
         .applyInArrow(_list_grams, "_lang string, _chunk int, _gram long, _n long"))
     types = durable(grams.groupBy("_lang", "_gram").agg(F.sum("_n").alias("_n")))
     logs = _probabilities(types.select("_lang", "_gram"), types.filter("_n > 0"))
-    logs = durable(logs.withColumn("_log", F.col("_log").cast("float")))
-    answers = grams.select("_chunk", "_lang", "_gram").join(logs, ["_lang", "_gram"])
+    logs = logs.withColumn("_log", F.col("_log").cast("float"))
+    answers = durable(grams.select("_chunk", "_lang", "_gram").join(logs, ["_lang", "_gram"]))
     fields = [f for f in docs.schema if f.name in carry]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", n_bytes long, perplexity double"
     names = [f.name for f in fields]
