@@ -39,12 +39,16 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def byte_bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids, with the text decoded from them."""
+    """Token ids, with the text decoded from them, and the slot and position in the mix.
+
+    Stages before hand on documents only, and the order of rows does not outlast a
+    table; so the mix of the same rows, which is the same again, is derived here.
+    """
     file = byte_bpe.read_ranks(public_tokenizers.path(byte_bpe.RANKS_FILE))
-    found = byte_bpe.round_trip(docs, file)
+    found = byte_bpe.round_trip(mixing.mix(docs), file)
     return found.select(
         "doc_id", F.decode("decoded", "UTF-8").alias("text"), "lang", "source", "n_chars",
-        F.size("token_ids").cast("long").alias("n_tokens"), "token_ids")
+        F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", "slot", "position")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -327,3 +327,24 @@ def test_pipeline(spark):
     found = corpus_pipeline.run(spark, sf_dir).collect()
     assert 0 < len(found) <= docs.count() and len({r.doc_id for r in found}) == len(found)
     assert all(len(r.token_ids) == r.n_tokens and len(r.text) == r.n_chars for r in found)
+
+
+def test_pipeline_is_mixed(spark):
+    """On the rows of run() every source is less than one block away from its share."""
+    import corpus_pipeline
+
+    found = sorted(corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect(), key=lambda r: r.position)
+    assert [r.position for r in found] == list(range(len(found)))
+    blocks = [(slot, [r.source for r in g]) for slot, g in itertools.groupby(found, key=lambda r: r.slot)]
+    assert [slot for slot, _ in blocks] == list(range(len(blocks))) and all(len(set(b)) == 1 for _, b in blocks)
+    left = Counter(b[0] for _, b in blocks)
+    assert len(left) > 1 and all(n == -(-sum(r.source == s for r in found) // mixing.BLOCK_ROWS) for s, n in left.items())
+    taken, start = Counter(), 0
+    live = {s: mixing.WEIGHTS.get(s, mixing.DEFAULT_WEIGHT) for s in left}
+    for t, (_, block) in enumerate(blocks, 1):
+        taken[block[0]] += 1
+        assert all(abs(taken[s] - (t - start) * w / sum(live.values())) < 1 for s, w in live.items())
+        left[block[0]] -= 1
+        if not left[block[0]]:
+            taken, start = Counter(), t
+            live = {s: w for s, w in live.items() if left[s]}
