@@ -2,8 +2,9 @@
 
 Texts become normalised TF-IDF vectors of hashed byte n-grams. The document
 frequencies come from all learning rows; each language's centroids come from
-spherical k-means over a sample of its learning rows of about ``SAMPLE_ROWS``
-(a documented bound; smaller languages are taken whole). A text gets the language
+spherical k-means over a sample of about ``SAMPLE_ROWS`` of its distinct learning
+texts (a documented bound; a language of fewer texts is taken whole, and copies of
+a text count once), so every language with a text has centroids. A text gets the language
 of the centroid with the highest cosine; one farther from it than nearly all of
 the sample is flagged as rejected.
 
@@ -92,6 +93,18 @@ def clustered(vectors: np.ndarray, k: int = CENTROIDS, rounds: int = ROUNDS) ->
     return centers, float(np.quantile((vectors @ centers.T).max(axis=1), REJECT_QUANTILE))
 
 
+def sample(rows: DataFrame, texts: dict[str, int]) -> DataFrame:
+    """About ``SAMPLE_ROWS`` distinct texts per language, which has so many (``texts``); all of a smaller one.
+
+    Copies go before they are shuffled; none of them meet in the task of a language.
+    """
+    share = F.lit(0.0)
+    for name, n in texts.items():
+        share = F.when(F.col("lang") == name, F.lit(min(1.0, SAMPLE_ROWS / n))).otherwise(share)
+    place = F.shiftrightunsigned(F.xxhash64("text"), 11) / F.lit(float(1 << 53))
+    return rows.filter(place < share).select("lang", "text").distinct()
+
+
 def fit(rows: DataFrame, text: str = "text", lang: str = "lang") -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:
     """IDF weights, and the language, centroid and rejection cosine of every centroid.
 
@@ -99,16 +112,12 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang") -> tuple[np.nda
     document frequencies, whatever the number of rows.
     """
     rows = rows.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
-    sizes = dict(rows.groupBy("lang").count().collect())
+    counts = rows.groupBy("lang", F.xxhash64("text").alias("hash")).count().groupBy("lang").agg(F.sum("count").alias("n"), F.count("*").alias("texts")).collect()
     frequencies = rows.select("text").mapInArrow(_document_frequencies("text"), "feature long, df long").groupBy("feature").agg(F.sum("df"))
     df = np.zeros(FEATURES)
     for feature, n in frequencies.collect():
         df[feature] = n
-    idf = np.log((1 + sum(sizes.values())) / (1 + df)) + 1
-    share = F.lit(0.0)
-    for name, n in sizes.items():
-        share = F.when(F.col("lang") == name, F.lit(min(1.0, SAMPLE_ROWS / n))).otherwise(share)
-    place = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    idf = np.log((1 + sum(r.n for r in counts)) / (1 + df)) + 1
 
     def one_language(table: pa.Table) -> pa.Table:
         texts = pa.array(sorted(table.column("text").to_pylist()))
@@ -118,7 +127,7 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang") -> tuple[np.nda
             "reject": [reject] * len(centers),
         })
 
-    found = rows.filter(place < share).groupBy("lang").applyInArrow(one_language, "lang string, center binary, reject double").collect()
+    found = sample(rows, {r.lang: r.texts for r in counts}).groupBy("lang").applyInArrow(one_language, "lang string, center binary, reject double").collect()
     found = sorted(found, key=lambda r: (r.lang, r.center))
     centers = np.array([np.frombuffer(r.center) for r in found]).reshape(len(found), FEATURES)
     return idf, [r.lang for r in found], centers, np.array([r.reject for r in found])

@@ -269,6 +269,21 @@ def test_language_id(spark, none):
     assert {r.lang_pred for r in language_id.predict(docs, empty).collect()} == {"und"}
 
 
+def test_language_id_copies(spark):
+    """A language of many copies has centroids, and no group of copies enters the sample as a whole."""
+    row_share = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) / float(1 << 20)
+    texts = spark.range(40).select(F.concat(F.lit("où être "), F.col("id").cast("string"), F.lit(" façon")).alias("text"))
+    texts = texts.filter(row_share > 0.2).limit(5)
+    few = texts.crossJoin(spark.range(1000)).select("text", F.lit("fr").alias("lang"))  # by rows the share is 0.08
+    many = spark.range(3000).select(F.concat(F.lit("the thing "), F.when(F.col("id") < 2000, F.col("id")).otherwise(7).cast("string")).alias("text"), F.lit("en").alias("lang"))
+    rows = few.union(many)
+    langs = Counter(r.lang for r in language_id.sample(rows, {"fr": 5, "en": 2000}).collect())
+    assert langs["fr"] == 5 and 320 < langs["en"] < 480
+    model = language_id.fit(rows)
+    assert set(model[1]) == {"en", "fr"}
+    assert {r.lang_pred for r in language_id.predict(texts, model).collect()} == {"fr"}
+
+
 def test_quality_classifier(spark, docs, none):
     rnd = random.Random(2)
     clean = [(i, " ".join(rnd.choices(["the", "and", "river", "stone", "walks"], k=40)), "en") for i in range(440)]
