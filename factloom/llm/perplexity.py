@@ -9,9 +9,18 @@ is held whole anywhere, and what is gathered follows the text.
 
 A fifth of the trusted documents is kept out of training; their perplexities give
 each language's threshold, a quantile. A document above it is rejected, as is one
-without text. A language without such documents rejects nothing else. A null
-language is a language of its own. Rows of one id are scored each by itself and
-trusted alike. Columns named like an output are replaced.
+without text. A language of fewer trusted documents than that takes is cross-fitted:
+all its documents are dealt to five folds, each scored by a model of the trusted
+ones of the other folds, so that every trusted document gives a value and stands
+for those scored as it was. With fewer than ``NEEDED`` of them the quantile cannot
+be stated; then the threshold is the language's median times an excess, or the
+largest value of its trusted documents if that is more. The excess is one number
+for all such languages: the quantile, pooled over all languages, of value by
+median of the language, and ``EXCESS`` at least. A language without a trusted
+document has no model that could tell documents apart and rejects no text.
+
+A null language is a language of its own. Rows of one id are scored each by itself
+and trusted alike. Columns named like an output are replaced.
 """
 
 from __future__ import annotations
@@ -33,6 +42,9 @@ ORDER = 5
 QUANTILE = 0.995
 CHUNK_BYTES = 24 << 20
 CALIBRATION_PARTS = 5
+# Calibration documents that a quantile of 0.995 takes.
+NEEDED = 200
+EXCESS = 2.0
 NO_LANGUAGE = "und"
 OUTPUTS = ("n_bytes", "perplexity", "threshold", "keep")
 _PAD = b"\n" * (ORDER - 1)
@@ -58,9 +70,33 @@ def _pieces(table: pa.Table) -> Iterator[pa.RecordBatch]:
     return slices(iter(table.combine_chunks().to_batches()))
 
 
+_UNFOLDED = "-"
+
+
+def _named(language: Column, trusted: Column) -> Column:
+    """Name of the model that scores a row: its fold, if its language is cross-fitted, and its language."""
+    fold = F.pmod(F.xxhash64("_key"), F.lit(CALIBRATION_PARTS)).cast("string")
+    return F.concat(F.when(trusted < CALIBRATION_PARTS * NEEDED, fold).otherwise(F.lit(_UNFOLDED)), F.lit(":"), language)
+
+
 def _is_calibration() -> Column:
-    """Trusted rows of this kind are kept out of training."""
-    return F.pmod(F.xxhash64("_key"), F.lit(CALIBRATION_PARTS)) == 0
+    """Trusted rows of this kind are kept out of the training of the model that scores them."""
+    return ~F.col("_lang").startswith(_UNFOLDED) | (F.pmod(F.xxhash64("_key"), F.lit(CALIBRATION_PARTS)) == 0)
+
+
+def _is_training() -> Column:
+    """Trusted rows of this kind train a model: that of their language, or those of the other folds."""
+    return ~F.col("_lang").startswith(_UNFOLDED) | ~_is_calibration()
+
+
+def _trained(counts: DataFrame) -> DataFrame:
+    """Counts of each model, from counts by the model that scores the rows: those of the other folds."""
+    folded = counts.filter(~F.col("_lang").startswith(_UNFOLDED))
+    others = F.filter(F.array(*[F.lit(str(k)) for k in range(CALIBRATION_PARTS)]), lambda k: k != F.substring("_lang", 1, 1))
+    folded = folded.withColumn("_other", F.explode(others)).select(
+        F.concat("_other", F.expr("substring(_lang, 2)")).alias("_lang"), "_gram", "_n")
+    folded = durable(folded.groupBy("_lang", "_gram").agg(F.sum("_n").alias("_n")))
+    return counts.filter(F.col("_lang").startswith(_UNFOLDED)).union(folded)
 
 
 def _list_grams(docs: pa.Table, trusted: pa.Table) -> pa.Table:
@@ -169,14 +205,14 @@ def _in_chunks(docs: DataFrame, trusted_ids: DataFrame) -> tuple[DataFrame, Data
 
 
 def perplexities(docs: DataFrame, trusted_ids: DataFrame, carry: list[str]) -> DataFrame:
-    """``carry`` columns, size and perplexity per row. ``docs`` has _key (id), _lang and text, ``trusted_ids`` _key."""
+    """``carry`` columns, size and perplexity per row. ``docs`` has _key (id), _lang (``_named``) and text, ``trusted_ids`` _key."""
     docs, ids = _in_chunks(docs, trusted_ids)
-    training = ids.filter(~_is_calibration())
+    training = ids.filter(_is_training())
     grams = durable(
         docs.groupBy("_lang", "_chunk").cogroup(training.groupBy("_lang", "_chunk"))
         .applyInArrow(_list_grams, "_lang string, _chunk int, _gram long, _n long"))
     types = durable(grams.groupBy("_lang", "_gram").agg(F.sum("_n").alias("_n")))
-    logs = _probabilities(types.select("_lang", "_gram"), types.filter("_n > 0"))
+    logs = _probabilities(types.select("_lang", "_gram"), _trained(types.filter("_n > 0")))
     logs = logs.withColumn("_log", F.col("_log").cast("float"))
     answers = durable(grams.select("_chunk", "_lang", "_gram").join(logs, ["_lang", "_gram"]))
     fields = [f for f in docs.schema if f.name in carry]
@@ -187,6 +223,18 @@ def perplexities(docs: DataFrame, trusted_ids: DataFrame, carry: list[str]) -> D
     return docs.groupBy("_lang", "_chunk").cogroup(answers.groupBy("_lang", "_chunk")).applyInArrow(_scorer(names, arrow), schema)
 
 
+def thresholds_of(values: DataFrame, trusted: DataFrame, quantile: float) -> DataFrame:
+    """Threshold per language _name, from perplexities of calibration documents and the numbers of trusted ones."""
+    own = values.groupBy("_name").agg(
+        F.percentile_approx("perplexity", quantile, 10_000).alias("_own"), F.percentile_approx("perplexity", 0.5, 10_000).alias("_median"),
+        F.max("perplexity").alias("_most"))
+    own = durable(own.join(trusted, "_name"))
+    relative = values.join(broadcast_if_small(own), "_name").select((F.col("perplexity") / F.col("_median")).alias("_excess"))
+    pooled = relative.agg(F.percentile_approx("_excess", quantile, 10_000).alias("_excess")).first()[0]
+    few = F.greatest(F.col("_median") * max(EXCESS, pooled or 0.0), "_most")
+    return durable(own.select("_name", F.when(F.col("_trusted") < NEEDED, few).otherwise(F.col("_own")).alias("threshold")))
+
+
 def classify(
     docs: DataFrame, trusted_ids: DataFrame, text: str = "text", lang: str = "lang", id_column: str = "doc_id",
     quantile: float = QUANTILE, carry: list[str] | None = None,
@@ -202,15 +250,17 @@ def classify(
     rows = docs.select(*[F.col(f"`{c}`") for c in mine], key.alias("_key"), language)
     rows = rows if text == "text" else rows.withColumn("text", F.col(f"`{text}`"))
     ids = trusted_ids.select(F.col(trusted_ids.columns[0]).cast("long").alias("_key")).filter("_key IS NOT NULL").distinct()
-    scored = perplexities(rows, ids, [*carry, "_key", "_lang"])
-    scored = durable(scored)
-    thresholds = (
-        scored.filter(_is_calibration())
-        .join(ids, "_key", "left_semi").groupBy("_lang")
-        .agg(F.percentile_approx("perplexity", quantile, 10_000).alias("threshold"))
-    )
+    trusted = rows.select("_key", "_lang").join(ids, "_key", "left_semi").distinct()
+    trusted = durable(trusted.groupBy(F.col("_lang").alias("_name")).agg(F.count("*").alias("_trusted")))  # a row per language
+    rows = rows.withColumnRenamed("_lang", "_name").join(broadcast_if_small(trusted), "_name", "left")
+    rows = rows.withColumn("_lang", _named(F.col("_name"), F.col("_trusted"))).drop("_trusted")
+    scored = durable(perplexities(rows, ids, [*carry, "_key", "_lang", "_name"]))
+    values = durable(
+        scored.filter(_is_calibration() & F.col("perplexity").isNotNull())
+        .join(ids, "_key", "left_semi").select("_name", "perplexity"))
+    thresholds = thresholds_of(values, trusted, quantile)
     keep = F.col("perplexity").isNotNull() & (F.col("threshold").isNull() | (F.col("perplexity") <= F.col("threshold")))
-    return scored.join(thresholds, "_lang", "left").select(*carry, "n_bytes", "perplexity", "threshold", keep.alias("keep"))
+    return scored.join(broadcast_if_small(thresholds), "_name", "left").select(*carry, "n_bytes", "perplexity", "threshold", keep.alias("keep"))
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:

@@ -297,6 +297,29 @@ def test_quality_classifier(spark, docs, none):
     assert perplexity.classify(none, trusted).count() == 0
 
 
+def test_quality_classifier_of_few_trusted(spark):
+    """Languages of 1, 5 and 20 trusted rows keep equally clean documents; junk goes where a model can tell."""
+    rnd = random.Random(3)
+    rows, trusted, n = [], [], 0
+    for lang, k in (("one", 1), ("five", 5), ("twenty", 20), ("none", 0), ("many", 300)):
+        words = ["".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(12)]
+        for i in range(max(60, k + 30)):
+            rows.append((n, " ".join(rnd.choices(words, k=40)), lang, True))
+            trusted += [(n,)] if i < k else []
+            n += 1
+        for _ in range(10):
+            rows.append((n, " ".join("".join(rnd.choices("#$%&XYZQ", k=6)) for _ in range(40)), lang, False))
+            n += 1
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, clean boolean")
+    found = perplexity.classify(docs, spark.createDataFrame(trusted, "doc_id long")).collect()
+    assert len(found) == len(rows)
+    kept = Counter((r.lang, r.clean) for r in found if r.keep)
+    assert [kept[lang, True] for lang in ("one", "five", "twenty", "none")] == [60] * 4
+    assert kept["many", True] >= 325 and kept["many", False] == 0
+    assert kept["five", False] == kept["twenty", False] == 0 and kept["none", False] == 10
+    assert {r.lang for r in found if r.threshold is None} == {"none"}
+
+
 def test_perplexity_against_brute_force(spark):
     """Every probability of a small model, by the formulas of interpolated modified Kneser-Ney."""
     text = b"\n" * 4 + b"abracadabra abracadabra cab"
