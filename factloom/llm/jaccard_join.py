@@ -73,7 +73,7 @@ def token_order(docs: DataFrame, words: int, text: str) -> np.ndarray:
     return np.concatenate(found) if found else np.zeros(COUNTERS, np.uint16)
 
 
-_SET_FIELDS = "_id long, _check int, n int, d1 long, d2 long, keys array<long>, prefix binary"
+_SET_FIELDS = "_id long, _check long, n int, d1 long, d2 long, keys array<long>, prefix binary"
 
 
 def _described(words: int, percent: int, text: str, order):

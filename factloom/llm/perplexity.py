@@ -1,7 +1,7 @@
 """Operator 4: quality classifier by perplexity.
 
 An interpolated modified Kneser-Ney model of byte n-grams per language is trained
-on all trusted text. Documents are dealt to chunks by id. A chunk lists its
+on all trusted text. Documents are dealt to chunks by id and text. A chunk lists its
 distinct n-grams once with their trusted counts; counts, continuation counts and
 probabilities are joins on (language, n-gram), sharded by that key, and every
 chunk gets back the probabilities of its own n-grams only. Nothing of the model
@@ -197,11 +197,10 @@ def _in_chunks(docs: DataFrame, trusted_ids: DataFrame) -> tuple[DataFrame, Data
     per_chunk = max(1, min(CHUNK_BYTES, total // int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     parts = sizes.select("_lang", (F.coalesce("_bytes", F.lit(0)) / per_chunk + 1).cast("int").alias("_parts"))
 
-    def dealt(rows: DataFrame) -> DataFrame:
-        return rows.join(broadcast_if_small(parts), "_lang").withColumn("_chunk", F.pmod(F.hash("_key"), "_parts")).drop("_parts")
-
-    trusted = durable(docs.select("_key", "_lang").join(trusted_ids, "_key", "left_semi").distinct())
-    return dealt(docs), dealt(trusted)
+    # Rows of one id, as of none, go to as many chunks as others.
+    dealt = docs.join(broadcast_if_small(parts), "_lang").withColumn("_chunk", F.pmod(F.hash("_key", "text"), "_parts")).drop("_parts")
+    trusted = durable(dealt.select("_key", "_lang", "_chunk").join(trusted_ids, "_key", "left_semi").distinct())
+    return dealt, trusted
 
 
 def perplexities(docs: DataFrame, trusted_ids: DataFrame, carry: list[str]) -> DataFrame:

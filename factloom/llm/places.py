@@ -37,13 +37,13 @@ def keyed(docs: DataFrame, id_column: str, text: str, groups: int = 1) -> DataFr
         F.coalesce(F.col(f"`{id_column}`").cast("long"), F.lit(0)).alias("_id"),
         F.when(F.col(f"`{id_column}`").isNull(), -1 - check).otherwise(check).alias("_check"),
     )
-    spread = F.pmod("_id", F.lit(_PRIME)) * _STEP + F.when(F.col("_check") < 0, -1 - F.col("_check")).otherwise(F.col("_check"))
+    spread = F.pmod("_id", F.lit(_PRIME)) * _STEP + F.when(F.col("_check") < 0, -1 - F.col("_check")).otherwise(F.col("_check")) % _PRIME
     return found.withColumn("_group", (spread % groups).cast("int"))
 
 
 def group_of(ids: np.ndarray, checks: np.ndarray, groups: int) -> np.ndarray:
     """The groups that ``keyed`` gives to these keys."""
-    return (ids % _PRIME * _STEP + np.where(checks < 0, -1 - checks, checks)) % groups
+    return (ids % _PRIME * _STEP + np.where(checks < 0, -1 - checks, checks) % _PRIME) % groups
 
 
 def packed_rows(
@@ -71,7 +71,7 @@ def packed_rows(
 
 def _opened(block: bytes) -> tuple[np.ndarray, ...]:
     ids, checks, counts, steps = unpack(block)
-    ids, checks, counts = ids.view(np.int64), checks.view(np.int32), counts.astype(np.int64)
+    ids, checks, counts = ids.view(np.int64), checks.view(np.int64), counts.astype(np.int64)
     at = np.cumsum(steps.astype(np.int64))
     first = np.cumsum(counts) - counts
     at -= np.repeat(at[first] - steps[first], counts)
@@ -131,7 +131,7 @@ class Located:
         owners, values = [np.zeros(0, np.int64)], []
         for row in hits.select(["docs", "values"]).to_pylist():
             ids, checks, counts = unpack(row["docs"])
-            mine = [numbers[k] for k in zip(ids.view(np.int64).tolist(), checks.view(np.int32).tolist(), strict=True)]
+            mine = [numbers[k] for k in zip(ids.view(np.int64).tolist(), checks.view(np.int64).tolist(), strict=True)]
             owners.append(np.repeat(np.array(mine, np.int64), counts.astype(np.int64)))
             values.append(np.stack(unpack(row["values"]), axis=1))
         owner = np.concatenate(owners)

@@ -200,7 +200,7 @@ def _found(ids: np.ndarray, checks: np.ndarray, doc: np.ndarray, groups: int, sa
 
 def _docs_of(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     ids, checks, counts = unpack(block)
-    return ids.view(np.int64), checks.view(np.int32), counts.astype(np.int64)
+    return ids.view(np.int64), checks.view(np.int64), counts.astype(np.int64)
 
 
 class _Entries:

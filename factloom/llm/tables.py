@@ -20,5 +20,5 @@ def bucket_count(docs: DataFrame, text: str = "text", per_bucket: int = BUCKET_B
 
 
 def row_check(text: str = "text") -> Column:
-    """Tells rows of one id apart: 32 bits of a hash of the text."""
-    return F.xxhash64(F.coalesce(F.col(text), F.lit(""))).bitwiseAND(0x7FFFFFFF).cast("int")
+    """Tells rows of one id apart: 63 bits of a hash of the text (the sign is left to callers)."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit(""))).bitwiseAND((1 << 63) - 1)

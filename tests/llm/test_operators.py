@@ -4,6 +4,7 @@ import itertools
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from factloom.llm import (
     language_id,
     mixing,
     perplexity,
+    places,
     quality_rules,
     substring_dedup,
     suffix_dedup,
@@ -86,6 +88,26 @@ def test_substring_dedup(docs, none, rows):
     assert substring_dedup.remove_repeats(none).count() == 0
 
 
+def test_rows_of_one_id_are_told_apart(spark):
+    """Among 400,000 rows of one id and different texts no two keys are equal (31 bits: some 37 pairs)."""
+    docs = spark.range(400_000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    keys = places.keyed(docs, "doc_id", "text", 64)
+    assert keys.select("_id", "_check").distinct().count() == 400_000
+    assert keys.filter("_check >= 0").count() == 0
+    some = keys.limit(1000).union(places.keyed(docs.withColumn("doc_id", F.lit(-7).cast("long")), "doc_id", "text", 64).limit(1000)).collect()
+    ids, checks = (np.array([r[c] for r in some], np.int64) for c in ("_id", "_check"))
+    assert places.group_of(ids, checks, 64).tolist() == [r._group for r in some]
+
+
+def test_chunks_split_one_id(spark):
+    """Texts without an id are dealt to several chunks."""
+    docs = spark.range(2000).select(F.lit(0).cast("long").alias("_key"), F.lit("-:en").alias("_lang"), F.concat(F.lit("some text "), F.col("id").cast("string")).alias("text"))
+    dealt, trusted = perplexity._in_chunks(docs, spark.createDataFrame([(0,)], "_key long"))
+    sizes = [r["count"] for r in dealt.groupBy("_chunk").count().collect()]
+    assert len(sizes) > 1 and max(sizes) < 1000
+    assert trusted.count() == len(sizes)
+
+
 def test_substring_dedup_keeps_layout(docs):
     text = {r.doc_id: (r.text, r.kept_text) for r in substring_dedup.remove_repeats(docs, keep_layout=True).collect()}
     assert text[4] == ("a b c", "a b c") and text[2][1] == " \n\t "
