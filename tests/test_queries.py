@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_point
+from factloom.plans import registry
 from factloom.sources.tables import BASE_TABLES
 
 SMALL = "/root/testdata/sf0.001"
@@ -34,4 +35,4 @@ def test_flagship(spark):
 
 
 def test_every_query_has_sql():
-    assert set(entry_point.queries()) == set(entry_point.oracle_sql())
+    assert set(registry.queries()) == set(registry.oracle_sql())
