@@ -6,9 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import byte_bpe, fingerprints, jaccard_join, language_id, mixing, perplexity, quality_rules, substring_dedup, suffix_dedup, token_counts
-
-_MODULES = (mixing, suffix_dedup, jaccard_join, perplexity, language_id, substring_dedup, quality_rules, token_counts, byte_bpe, fingerprints)
+from factloom.llm import (
+    byte_bpe,
+    centroids,
+    fingerprints,
+    jaccard_join,
+    language_id,
+    mixing,
+    perplexity,
+    quality_rules,
+    substring_dedup,
+    suffix_dedup,
+    token_counts,
+)
+
+_MODULES = (
+    mixing, suffix_dedup, jaccard_join, perplexity, language_id, substring_dedup, quality_rules, token_counts, byte_bpe, fingerprints,
+    centroids,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
