@@ -18,11 +18,12 @@ from factloom.llm import (
     substring_dedup,
     suffix_dedup,
     token_counts,
+    word_bpe,
 )
 
 _MODULES = (
     mixing, suffix_dedup, jaccard_join, perplexity, language_id, substring_dedup, quality_rules, token_counts, byte_bpe, fingerprints,
-    centroids,
+    word_bpe, centroids,
 )
 
 
