@@ -14,6 +14,7 @@ from factloom.llm import (
     language_id,
     mixing,
     perplexity,
+    prefix_trie,
     quality_rules,
     substring_dedup,
     suffix_dedup,
@@ -23,7 +24,7 @@ from factloom.llm import (
 
 _MODULES = (
     mixing, suffix_dedup, jaccard_join, perplexity, language_id, substring_dedup, quality_rules, token_counts, byte_bpe, fingerprints,
-    word_bpe, centroids,
+    prefix_trie, word_bpe, centroids,
 )
 
 
