@@ -253,23 +253,24 @@ def round_trip(docs: DataFrame, file: bytes, text: str = "text", lexicon_words:
     """The documents with ``token_ids`` and ``decoded``, the text that the library decodes from them."""
     name = build_lexicon(docs, file, text, lexicon_words)
     columns = [c for c in docs.columns if c.lower() not in OUTPUTS]
+    # Inside, columns go by place, so that no name can clash or need quoting.
+    places = [f"c{i}" for i in range(len(columns))]
+    given = docs.select(*map(_quoted, columns), F.col(_quoted(text)).cast("string")).toDF(*places, "text")
     shipped = docs.sparkSession.sparkContext.broadcast(file)
-    held = "_text" + uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if name not in _ENCODERS:
             _ENCODERS.clear()
             _ENCODERS[name] = Encoder(_bpe(shipped.value), Lexicon(SparkFiles.get(name)))
         encoder, bpe = _ENCODERS[name], _bpe(shipped.value)
-        for batch in slices(batches, held):
-            found = [np.array(encoder.encode(value) if value else [], np.int32) for value in batch.column(held).to_pylist()]
+        for batch in slices(batches):
+            found = [np.array(encoder.encode(value) if value else [], np.int32) for value in batch.column("text").to_pylist()]
             ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
             ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), ids, bpe.decode(ids)], names=[*columns, *OUTPUTS])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in places), ids, bpe.decode(ids)], names=[*places, *OUTPUTS])
 
-    schema = ", ".join(f"{_quoted(f.name)} {f.dataType.simpleString()}" for f in docs.schema if f.name in columns)
-    given = docs.select(*map(_quoted, columns), F.col(_quoted(text)).cast("string").alias(held))
-    return given.mapInArrow(run, ", ".join(filter(None, (schema, "token_ids array<int>, decoded string"))))
+    schema = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in given.schema if f.name in places)
+    return given.mapInArrow(run, f"{schema}token_ids array<int>, decoded string").toDF(*columns, *OUTPUTS)
 
 
 def op12_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
