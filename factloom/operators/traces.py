@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -10,113 +11,144 @@ from pyspark.sql import functions as F
 
 from factloom.functions import typeexpr as X
 from factloom.functions.skew import pick_first, previous_row, running_max, running_sum
+from factloom.session import durable
 
 PAIR_SCHEMA = (
     "fiber bigint, call_key string, call_seq bigint, return_seq bigint, raised boolean, call_payload string, "
-    "return_payload string, status string, seq bigint, ord int, event string, epoch bigint"
+    "return_payload string, status string, slice bigint, seq bigint, ord int, event string, epoch bigint"
 )
 _STEP = ["fiber", "seq", "ord", "event", "call_key", "epoch", "call_payload", "return_payload"]
+# Neighbouring summaries that one step of the tree replays as one.
+FAN_IN = 4
 
 
-def _walk(frames: Iterator[pd.DataFrame], final: bool) -> Iterator[pd.DataFrame]:
-    """One stack per fiber over events sorted by (fiber, seq, ord).
+class _Replay:
+    """One stack over the events of a stretch of a fiber, in order.
 
     A call pushes; a return pops only the frame on top and only if it has the
     same key; a raise (or ``shift``, a count of raises) moves the epoch on.
-    Unless ``final``, what the first fiber of the slice returns to and what the
-    last one leaves open may lie in a neighbouring slice: both are passed on as
-    ``rest`` rows, which replay to the same result.
+
+    Where a stretch is open to the left, a return that meets no frame of its own
+    may belong to a call before it; where it is open to the right, frames left
+    over may be returned from later. Both are passed on as ``rest`` rows, which
+    with the count of raises are the summary of the stretch: replayed behind the
+    summary of the stretch before, they settle as the events themselves would.
     """
-    columns = [c.split()[0] for c in PAIR_SCHEMA.split(", ")]
-    out: list[tuple] = []
-    fiber = None
-    first = True
-    base = 0
-    last_seq = 0
-    stack: list[tuple] = []
-
-    def close(is_last: bool) -> None:
-        edge = not final and (first or is_last)
-        for key, seq, epoch, payload in stack:
-            if edge:
-                out.append((fiber, key, None, None, None, payload, None, "rest", seq, 0, "call", epoch))
-            else:
-                out.append((fiber, key, seq, None, None, payload, None, "open", None, None, None, None))
-        if edge and base:
-            out.append((fiber, None, None, None, None, None, None, "rest", last_seq, 1, "shift", base))
 
-    for frame in frames:
-        rows = zip(*[frame[c].tolist() for c in _STEP], strict=True)
-        for f, seq, _, event, key, epoch, call_payload, return_payload in rows:
-            if f != fiber:
-                if fiber is not None:
-                    close(False)
-                    first = False
-                fiber, base, stack = f, 0, []
-            last_seq = seq
-            if event == "call":
-                stack.append((key, seq, base + epoch, call_payload))
-            elif event == "return":
-                if stack and stack[-1][0] == key:
-                    _, call_seq, at, payload = stack.pop()
-                    out.append((f, key, call_seq, seq, base + epoch > at, payload, return_payload, "paired", None, None, None, None))
-                elif not stack and first and not final:
-                    out.append((f, key, None, None, None, None, return_payload, "rest", seq, 0, "return", base + epoch))
-                else:
-                    out.append((f, key, None, seq, None, None, return_payload, "ignored", None, None, None, None))
+    def __init__(self, fiber: int, slice_: int, out: list[tuple]) -> None:
+        self.fiber, self.slice, self.out = fiber, slice_, out
+        self.stack: list[tuple] = []
+        self.base = self.last_seq = 0
+
+    def step(self, seq: int, event: str, key: str, epoch: int, call_payload: str, return_payload: str, left_open: bool) -> None:
+        self.last_seq = seq
+        if event == "call":
+            self.stack.append((key, seq, self.base + epoch, call_payload))
+        elif event != "return":
+            self.base += epoch
+        elif self.stack and self.stack[-1][0] == key:
+            _, call_seq, at, payload = self.stack.pop()
+            self.out.append((self.fiber, key, call_seq, seq, self.base + epoch > at, payload, return_payload, "paired", *[None] * 5))
+        elif left_open and not self.stack:
+            self.out.append((self.fiber, key, None, None, None, None, return_payload, "rest", self.slice, seq, 0, "return", self.base + epoch))
+        else:
+            self.out.append((self.fiber, key, None, seq, None, None, return_payload, "ignored", *[None] * 5))
+
+    def close(self, right_open: bool) -> None:
+        for key, seq, epoch, payload in self.stack:
+            if right_open:
+                self.out.append((self.fiber, key, None, None, None, payload, None, "rest", self.slice, seq, 0, "call", epoch))
             else:
-                base += epoch
-            if len(out) >= 20_000:
-                yield pd.DataFrame(out, columns=columns)
-                out = []
-    if fiber is not None:
-        close(True)
-    if out:
-        yield pd.DataFrame(out, columns=columns)
-
-
-def _typed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        for c in ("call_seq", "return_seq", "seq", "epoch"):
-            frame[c] = frame[c].astype("Int64")
-        frame["ord"] = frame["ord"].astype("Int32")
-        frame["raised"] = frame["raised"].astype("boolean")
-        yield frame
+                self.out.append((self.fiber, key, seq, None, None, payload, None, "open", *[None] * 5))
+        if right_open and self.base:
+            self.out.append((self.fiber, None, None, None, None, None, None, "rest", self.slice, self.last_seq, 1, "shift", self.base))
 
 
-def _slice_pass(frames):
-    return _typed(_walk(frames, final=False))
+def _paired(rows: list[tuple]) -> pd.DataFrame:
+    frame = pd.DataFrame(rows, columns=[c.split()[0] for c in PAIR_SCHEMA.split(", ")])
+    for c in ("call_seq", "return_seq", "slice", "seq", "epoch"):
+        frame[c] = frame[c].astype("Int64")
+    frame["ord"] = frame["ord"].astype("Int32")
+    frame["raised"] = frame["raised"].astype("boolean")
+    return frame
 
 
-def _final_pass(frames):
-    return _typed(_walk(frames, final=True))
+_OUT_ROWS = 20_000
 
 
-def pair_calls(events: DataFrame, slices: int | None = None) -> DataFrame:
+def _slice_pass(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The events of one range slice: only its first fiber can have begun before it, only its last can go on after it."""
+    out: list[tuple] = []
+    replay = None
+    first = True
+    for frame in frames:
+        rows = zip(frame["slice"].tolist(), *[frame[c].tolist() for c in _STEP], strict=True)
+        for slice_, fiber, seq, _, event, key, epoch, call_payload, return_payload in rows:
+            if replay is None or replay.fiber != fiber:
+                if replay:
+                    replay.close(False)
+                    first = False
+                replay = _Replay(fiber, slice_, out)
+            replay.step(seq, event, key, epoch, call_payload, return_payload, first)
+        if len(out) >= _OUT_ROWS:
+            yield _paired(out)
+            out.clear()
+    if replay:
+        replay.close(True)
+    yield _paired(out)
+
+
+def _merge_pass(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Summaries of neighbouring stretches, one behind the other; ``low`` and ``high`` are the fiber's ends."""
+    out: list[tuple] = []
+    replay, right_open = None, False
+    for frame in frames:
+        rows = zip(*[frame[c].tolist() for c in ("node", "low", "high", *_STEP)], strict=True)
+        for node, low, high, fiber, seq, _, event, key, epoch, call_payload, return_payload in rows:
+            if replay is None or (replay.fiber, replay.slice) != (fiber, node):
+                if replay:
+                    replay.close(right_open)
+                replay, right_open = _Replay(fiber, node, out), node < high
+            replay.step(seq, event, key, epoch, call_payload, return_payload, low < node)
+        if len(out) >= _OUT_ROWS:
+            yield _paired(out)
+            out.clear()
+    if replay:
+        replay.close(right_open)
+    yield _paired(out)
+
+
+def pair_calls(events: DataFrame, slices: int | None = None, fan_in: int = FAN_IN) -> DataFrame:
     """fiber, call_key, call_seq, return_seq, raised, call_payload,
     return_payload, status (paired, ignored, open).
 
     ``events``: fiber, seq, event, call_key, call_payload, return_payload. The
     events are cut into ranges of (fiber, seq), so one busy fiber is walked by
-    as many tasks as it is long. Only unmatched ends cross a cut; a second pass
-    streams those few per fiber, holding no more than the open frames.
+    as many tasks as it is long. What a slice can't settle is its summary:
+    returns to calls before it, calls still open, and its number of raises.
+    ``fan_in`` neighbouring summaries of a fiber are replayed as one, level by
+    level, until none is left; a task streams them and holds open frames only.
     """
     steps = events.select(
         "fiber", "seq", F.lit(0).alias("ord"), "event", "call_key",
         F.when(F.col("event") == "raise", 1).otherwise(0).cast("bigint").alias("epoch"), "call_payload", "return_payload",
     )
     ranged = steps.repartitionByRange(slices, "fiber", "seq") if slices else steps.repartitionByRange("fiber", "seq")
-    walked = ranged.sortWithinPartitions("fiber", "seq", "ord").mapInPandas(_slice_pass, PAIR_SCHEMA)
-    # Both the results and the leftovers are read from the first pass: keep it,
-    # so that the cuts between slices are the same for both.
-    from factloom.session import durable
-
-    walked = durable(walked)
-    rest = walked.filter("status = 'rest'").select(*_STEP)
-    settled = (
-        rest.repartition("fiber").sortWithinPartitions("fiber", "seq", "ord").mapInPandas(_final_pass, PAIR_SCHEMA)
-    )
-    return walked.filter("status <> 'rest'").unionByName(settled).drop("seq", "ord", "event", "epoch")
+    sliced = ranged.withColumn("slice", F.spark_partition_id()).sortWithinPartitions("fiber", "seq", "ord")
+    # Every level is written: results and summaries come from the same cuts.
+    level = durable(sliced.mapInPandas(_slice_pass, PAIR_SCHEMA))
+    settled = []
+    while True:
+        settled.append(level.filter("status <> 'rest'"))
+        rest = level.filter("status = 'rest'").select("slice", *_STEP)
+        if rest.isEmpty():
+            break
+        node = F.floor(F.col("slice") / fan_in).cast("bigint")
+        ends = rest.groupBy("fiber").agg(F.min(node).alias("low"), F.max(node).alias("high"))
+        nodes = rest.withColumn("node", node).drop("slice").join(ends, "fiber")
+        dealt = nodes.repartition("fiber", "node").sortWithinPartitions("fiber", "node", "seq", "ord")
+        level = durable(dealt.mapInPandas(_merge_pass, PAIR_SCHEMA))
+    return reduce(DataFrame.unionByName, settled).drop("slice", "seq", "ord", "event", "epoch")
 
 
 def call_depth(pairs: DataFrame, bucket: int = 100_000) -> DataFrame:

@@ -2,21 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions.text import collapse_whitespace
+from factloom.session import checkpoint_dir
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A fresh folder beside the shared checkpoints, local only without them."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared.rstrip('/')}/facts-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    """A fresh folder name beside the shared checkpoints."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/facts-{uuid.uuid4().hex}"
 
 
 def write_facts(facts: DataFrame, path: str, partitions: tuple[str, ...] = ("snapshot_id",), rows_per_file: int = 5_000_000) -> None:

@@ -1,6 +1,7 @@
 """Call pairing against a plain stack, whole and cut into slices."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -50,17 +51,64 @@ def test_nothing_returns_until_the_end(spark):
     assert got.filter("status = 'paired' AND return_seq - call_seq = 999 - 2 * call_seq").count() == 500
 
 
-def test_stream_agrees_with_the_table(spark, tmp_path):
+def test_one_deep_fiber_is_merged_in_a_tree(spark):
+    n = 100_000
+    calls = spark.range(n).selectExpr("7L AS fiber", "id AS seq", "'call' AS event", "concat('k', id % 97) AS call_key", "'A' AS call_payload", "CAST(NULL AS STRING) AS return_payload")
+    back = spark.range(n).selectExpr("7L", f"{n} + id", "'return'", f"concat('k', ({n} - 1 - id) % 97)", "CAST(NULL AS STRING)", "'B'")
+    got = T.pair_calls(calls.union(back), 64, fan_in=2)
+    assert got.filter(f"status = 'paired' AND call_seq + return_seq = 2 * {n} - 1 AND NOT raised").count() == n
+    assert got.count() == n
+
+
+def test_raises_count_across_slices(spark):
+    steps = [(1, 0, "call", "a", "A", None), *[(1, i, "call", "x", None, None) for i in range(1, 50)], (1, 50, "raise", None, None, None),
+            *[(1, 50 + i, "return", "x", None, None) for i in range(1, 50)], (1, 100, "return", "a", None, "B"), (1, 101, "return", "a", None, None)]
+    events = spark.createDataFrame([(f, *r[1:]) for f in (1, 2) for r in steps], EVENTS)
+    got = T.pair_calls(events, 16, fan_in=2).filter("call_key = 'a'")
+    assert rows(got) == {(f, *t) for f in (1, 2) for t in ((0, 100, True, "paired"), (None, 101, None, "ignored"))}
+
+
+def stream_of(spark, folder, batches):
+    """A stream that gives one batch per list of events."""
+    folder.mkdir()
+    for i, batch in enumerate(batches):
+        spark.createDataFrame(batch, EVENTS).coalesce(1).write.mode("append").parquet(str(folder / f"batch{i:02}"))
+    return spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(folder))
+
+
+@pytest.mark.parametrize("cuts", [1, 4])
+def test_stream_agrees_with_the_table(spark, tmp_path, cuts):
     events = [e for s in range(5) for e in generate(s)]
-    spark.createDataFrame(events, EVENTS).coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = jobs.pair_stream(spark.readStream.schema(EVENTS).parquet(str(tmp_path / "in")), expire=False)
-    query = (
-        stream.writeStream.format("parquet").option("path", str(tmp_path / "out"))
-        .option("checkpointLocation", str(tmp_path / "progress")).trigger(availableNow=True).start()
-    )
-    assert query.awaitTermination(120)
+    batches = [[e for e in events if e[1] * cuts // 200 == c] for c in range(cuts)]
+    folder = str(tmp_path / "out")
+    got = jobs.observe(stream_of(spark, tmp_path / "in", batches), folder)
     expected = {r for s in range(5) for r in model(generate(s)) if r[-1] != "open"}
-    assert rows(spark.read.schema(jobs.PAIRED).parquet(str(tmp_path / "out"))) == expected
+    pairs = spark.read.schema(jobs.PAIRED).parquet(folder + "/pairs")
+    assert rows(pairs) == expected
+    want = T.observed_signatures(jobs.samples_of(T.pair_calls(spark.createDataFrame(events, EVENTS), 3)))
+    assert sorted(map(tuple, got.select(want.columns).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_an_event_out_of_place_is_late(spark, tmp_path):
+    first = [(1, 5, "call", "a", "A", None), (1, 9, "call", "b", "A", None)]
+    second = [(1, 7, "return", "a", None, "B"), (1, 10, "return", "b", None, "B"), (1, 6, "call", "c", "A", None), (1, 11, "return", "a", None, "B")]
+    jobs._drain(jobs.pair_stream(stream_of(spark, tmp_path / "in", [first, second]), None), str(tmp_path / "out"), "pairs")
+    assert rows(spark.read.schema(jobs.PAIRED).parquet(str(tmp_path / "out" / "pairs"))) == {
+        (1, None, 7, None, "late"), (1, 6, None, None, "late"), (1, 9, 10, False, "paired"), (1, 5, 11, False, "paired")}
+
+
+def test_frames_of_a_silent_fiber_are_given_up(spark, tmp_path):
+    stream = stream_of(spark, tmp_path / "in", [[(1, 1, "call", "a", "A", None), (1, 2, "call", "b", "A", None), (1, 3, "return", "b", None, None)]])
+    out, progress = str(tmp_path / "out"), str(tmp_path / "progress")
+    query = jobs.pair_stream(stream, 200).writeStream.format("parquet").option("path", out).option("checkpointLocation", progress).start()
+    found, waited = set(), 0
+    while not any(r[-1] == "abandoned" for r in found) and waited < 60:
+        time.sleep(1)
+        waited += 1
+        if (tmp_path / "out" / "_spark_metadata").exists():
+            found = rows(spark.read.schema(jobs.PAIRED).parquet(out))
+    query.stop()
+    assert found == {(1, 2, 3, False, "paired"), (1, 1, None, None, "abandoned")}
 
 
 def test_raise_hides_a_nil_return(spark):
