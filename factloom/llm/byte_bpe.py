@@ -14,11 +14,13 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from itertools import chain
 
 import ahocorasick
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,8 +30,28 @@ from factloom.llm.tables import documents
 
 RANKS_FILE = "byte_bpe_multi_50k.tiktoken"
 OUTPUTS = ("token_ids", "decoded")
-# Pieces whose encoding a worker remembers; it forgets all of them when full.
-MEMO_ENTRIES, MEMO_BYTES = 300_000, 64
+# Pieces whose encoding a worker remembers, in two generations.
+MEMO_ENTRIES, MEMO_BYTES = 500_000, 64
+
+
+class _Memo(dict):
+    """Ids by piece, made on the first look-up. When it is full it becomes the old
+    generation, from which pieces that still come up are taken over."""
+
+    def __init__(self, encode) -> None:
+        self._encode = encode
+        self._old: dict[str, list[int]] = {}
+
+    def __missing__(self, piece: str) -> list[int]:
+        ids = self._old.get(piece)
+        if ids is None:
+            ids = self._encode(piece)
+        if len(piece) <= MEMO_BYTES:
+            if len(self) >= MEMO_ENTRIES // 2:
+                self._old = dict(self)
+                self.clear()
+            self[piece] = ids
+        return ids
 
 
 class Encoder:
@@ -38,11 +60,15 @@ class Encoder:
         self._split = regex.compile(pattern).findall
         self._automaton = ahocorasick.Automaton()
         for word, token in ranks.items():
-            self._automaton.add_word(word.decode("latin-1"), (len(word), token))
+            if len(word) > 1:
+                self._automaton.add_word(word.decode("latin-1"), (len(word), token))
         self._automaton.make_automaton()
+        self._single = [ranks.get(bytes([b])) for b in range(256)]
+        self._reachable: list[bool | None] = [None] * (max(self.words, default=-1) + 1)
         self._parts: dict[int, tuple[int, int] | None] = {}
-        self._pairs: dict[tuple[int, int], bool] = {}
-        self._memo: dict[str, list[int]] = {}
+        self._pairs: dict[int, bool] = {}
+        self._memo = _Memo(lambda piece: self.piece(piece.encode()))
+        self._tokens = pa.array([self.words.get(i, b"") for i in range(max(self.words, default=-1) + 1)], pa.large_binary())
 
     def _survives(self, left: int, right: int, until: float) -> bool:
         """Whether no merge across the border of two tokens comes before ``until``.
@@ -81,58 +107,68 @@ class Encoder:
         return token if len(self.words[token]) > 1 else -1
 
     def reachable(self, token: int) -> bool:
-        return len(self.words[token]) == 1 or self.parts(token) is not None
+        known = self._reachable[token]
+        if known is None:
+            known = self._reachable[token] = len(self.words[token]) == 1 or self.parts(token) is not None
+        return known
 
     def compatible(self, left: int, right: int) -> bool:
-        known = self._pairs.get((left, right))
+        known = self._pairs.get(left << 20 | right)
         if known is None:
             if len(self._pairs) > 4 * MEMO_ENTRIES:
                 self._pairs.clear()
-            known = self._pairs[left, right] = self._survives(left, right, float("inf"))
+            known = self._pairs[left << 20 | right] = self._survives(left, right, float("inf"))
         return known
 
     def piece(self, piece: bytes) -> list[int]:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        size = len(piece)
-        options: list[list[tuple[int, int]]] = [[] for _ in range(size + 1)]
+        # Entries of two bytes or more that begin at each place, the longest last; those of one byte fit anywhere.
+        longer: dict[int, list[tuple[int, int]]] = {}
+        known, pairs = self._reachable, self._pairs
         for last, (length, token) in self._automaton.iter(piece.decode("latin-1")):
-            options[last + 1 - length].append((last + 1, token))
-        alive, path, at = [True] * (size + 1), [], 0
-        choice = len(options[0]) - 1
+            if known[token] or known[token] is None and self.reachable(token):
+                at = last + 1 - length
+                if at in longer:
+                    longer[at].append((last + 1, token))
+                else:
+                    longer[at] = [(last + 1, token)]
+        size, at, before, dead, path = len(piece), 0, -1, set(), []
+        fits = longer.get(0, ())
+        choice = len(fits) - 1
         while at < size:
-            fits = options[at]
-            while choice >= 0:
-                end, token = fits[choice]
-                if alive[end] and self.reachable(token) and (not path or self.compatible(path[-1][2], token)):
-                    break
+            while choice >= -1:
+                end, token = fits[choice] if choice >= 0 else (at + 1, self._single[piece[at]])
+                if end not in dead:
+                    if before < 0:
+                        break
+                    fine = pairs.get(before << 20 | token)
+                    if self.compatible(before, token) if fine is None else fine:
+                        break
                 choice -= 1
-            if choice >= 0:
-                path.append((at, choice, token))
-                at, choice = end, len(options[end]) - 1
+            if choice >= -1:
+                path.append((at, choice, fits, before))
+                at, before = end, token
+                fits = longer.get(at, ())
+                choice = len(fits) - 1
             else:
-                alive[at] = False
-                at, choice, _ = path.pop()
+                dead.add(at)
+                at, choice, fits, before = path.pop()
                 choice -= 1
-        return [token for _, _, token in path]
+        return [*(p[3] for p in path[1:]), before]
 
     def encode(self, text: str) -> list[int]:
-        memo, out = self._memo, []
-        for piece in self._split(text):
-            ids = memo.get(piece)
-            if ids is None:
-                ids = self.piece(piece.encode())
-                if len(piece) <= MEMO_BYTES:
-                    if len(memo) >= MEMO_ENTRIES:
-                        memo.clear()
-                    memo[piece] = ids
-            out += ids
-        return out
+        return list(chain.from_iterable(map(self._memo.__getitem__, self._split(text))))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.words.__getitem__, ids))
 
+    def decode_lists(self, ids: pa.ListArray) -> pa.Array:
+        """The bytes of every list of ids."""
+        lists = pa.LargeListArray.from_arrays(ids.offsets.cast(pa.int64()), self._tokens.take(ids.flatten()))
+        return pc.binary_join(lists, pa.scalar(b"", pa.large_binary())).cast(pa.binary())
+
 
 def read_ranks(path: str) -> bytes:
     with open(path, "rb") as f:
@@ -161,15 +197,10 @@ def round_trip(docs: DataFrame, file: bytes, pattern: str = public_tokenizers.PA
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(shipped.value, pattern)
         for batch in slices(batches, text):
-            flat, ends, decoded = [], [0], []
-            for value in batch.column(text).to_pylist():
-                ids = bpe.encode(value or "")
-                flat.append(np.array(ids, np.int32))
-                ends.append(ends[-1] + len(ids))
-                decoded.append(bpe.decode(ids))
-            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat)))
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in columns), ids, pa.array(decoded, pa.binary())], names=[*columns, *OUTPUTS])
+            found = [np.array(bpe.encode(value) if value else [], np.int32) for value in batch.column(text).to_pylist()]
+            ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), ids, bpe.decode_lists(ids)], names=[*columns, *OUTPUTS])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in columns)
     return docs.mapInArrow(run, f"{schema}, token_ids array<int>, decoded binary")
