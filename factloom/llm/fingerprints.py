@@ -15,6 +15,7 @@ texts have none, and count as alike with each other only.
 from __future__ import annotations
 
 import string
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -87,32 +88,35 @@ def _range_of(id_column: str, splits: list[int]) -> Column:
         reached * _FINE + F.size(F.filter(fine, lambda s: s <= F.col(id_column))))
 
 
-def with_next(rows: DataFrame, id_column: str, columns: list[str], tie: str) -> DataFrame:
+def with_next(rows: DataFrame, id_column: str, columns: list[str], tie: str, add: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
     """Add _next: ``columns`` of the row after each in descending order of the id; after the last comes the first.
 
     Rows are dealt to ranges of ids; only the first row of each range is looked at
-    from outside. Equal ids follow ``tie``, null ids come last.
+    from outside. Equal ids follow ``tie``, null ids come last. ``add`` makes columns
+    that are dear: once for every row, and once more for the first rows alone.
     """
     steps = [(k + 1) / RANGES for k in range(RANGES - 1)]
     found = rows.agg(F.percentile_approx(F.col(id_column), F.array(*map(F.lit, steps)), F.lit(10 * RANGES))).first()[0]
-    rows = rows.withColumn("_range", _range_of(id_column, sorted(set(found or []))))
-    order = Window.partitionBy("_range").orderBy(F.desc_nulls_last(id_column), F.col(tie))
-    mine = rows.withColumn("_next", F.lead(F.struct(*columns)).over(order))
-    first = rows.withColumn("_place", F.row_number().over(order)).filter("_place = 1").select("_range", F.struct(*columns).alias("_first"))
-    # At most RANGES + 1 rows: each range and the one below it, the lowest followed by the highest.
-    ranges = first.select("_range")
+    rows = rows.withColumn("_range", _range_of(id_column, sorted(set(found or [])))).withColumn("_tie", F.xxhash64(tie))
+    order = Window.partitionBy("_range").orderBy(F.desc_nulls_last(id_column), F.col("_tie"), F.col(tie))
+    mine = add(rows).withColumn("_next", F.lead(F.struct(*columns)).over(order))
+    # At most RANGES + 1 rows: id and hash of the first row of each range, then the rows that have them.
+    top = rows.groupBy("_range").agg(F.max(F.struct(F.col(id_column).alias("id"), F.bitwise_not("_tie").alias("tie"))).alias("_top"))
+    at_top = (F.col(id_column).eqNullSafe(F.col("_top.id"))) & (F.bitwise_not("_tie") == F.col("_top.tie"))
+    first = rows.join(F.broadcast(top), "_range").filter(at_top).groupBy("_range").agg(F.min(tie).alias(tie))
+    first = add(first).select("_range", F.struct(*columns).alias("_first"))
+    # Each range and the one below it, the lowest followed by the highest.
     all_ranges = Window.orderBy(F.desc("_range"))
-    pairs = ranges.select(
+    pairs = top.select(
         "_range", F.coalesce(F.lead("_range").over(all_ranges), F.max("_range").over(all_ranges.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("_after"))
     follows = pairs.join(first.withColumnRenamed("_range", "_after"), "_after").select("_range", "_first")
-    return mine.join(follows, "_range").withColumn("_next", F.coalesce("_next", "_first")).drop("_first", "_range")
+    return mine.join(follows, "_range").withColumn("_next", F.coalesce("_next", "_first")).drop("_first", "_range", "_tie")
 
 
 def with_edits(docs: DataFrame, text: str = "text", id_column: str = "doc_id") -> DataFrame:
     """Fingerprints of every text and of its edit, whose second half comes from the next document."""
     rows = docs.select(F.col(id_column).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    rows = fingerprint(rows, "_text", "fingerprint")
-    rows = with_next(rows, "_id", ["_text", "fingerprint"], "_text")
+    rows = with_next(rows, "_id", ["_text", "fingerprint"], "_text", lambda found: fingerprint(found, "_text", "fingerprint"))
     n, half = F.length("_text"), F.floor(F.length("_text") / 2).cast("int")
     edited = F.concat(F.substring(F.col("_text"), F.lit(1), n - half), F.substring(F.col("_next._text"), F.lit(1), half))
     rows = rows.select("_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "fingerprint", F.col("_next.fingerprint").alias("_other"))
