@@ -40,6 +40,7 @@ COUNTERS = 1 << 24
 KEYS = 4  # min-hashes per class
 BLOCK = 256  # members of a group that one task holds
 _PARTS = 256  # pieces in which the counter table travels
+_SLICE = 1 << 20  # bytes of text that are made into sets at a time
 _STEPS = 200  # a token's place in its set is sent in so many steps
 
 
@@ -49,28 +50,34 @@ def _sets(batch: pa.RecordBatch, words: int, text: str) -> tuple[np.ndarray, np.
 
 def _token_counts(words: int, text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(COUNTERS, np.uint32)
-        for batch in slices(batches, text):
-            np.add.at(seen, (_sets(batch, words, text)[1] % np.uint64(COUNTERS)).astype(np.int64), 1)
-        parts = [pack(p) for p in np.split(seen, _PARTS)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(_PARTS), pa.int32()), pa.array(parts, pa.binary())], names=["part", "seen"])
+        seen = np.zeros(COUNTERS, np.uint8)
+        for batch in slices(batches, text, _SLICE):
+            place, n = np.unique((_sets(batch, words, text)[1] % np.uint64(COUNTERS)).astype(np.int32), return_counts=True)
+            seen[place] = np.minimum(255, seen[place] + n)
+        for part in range(_PARTS):
+            at = part * (COUNTERS // _PARTS)
+            block = pack(seen[at: at + COUNTERS // _PARTS])
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([block], pa.binary())], names=["part", "seen"])
 
     return run
 
 
 def _added(table: pa.Table) -> pa.Table:
     total = np.zeros(COUNTERS // _PARTS, np.int64)
-    for block in table.column("seen").to_pylist():
-        total += unpack(block)[0]
-    rank = np.round(1000 * np.log2(1 + total)).astype(np.uint16)
+    for block in table.column("seen"):
+        total += unpack(block.as_py())[0]
+    rank = np.minimum(255, np.round(8 * np.log2(1 + total))).astype(np.uint8)
     return pa.table({"part": table.column("part").slice(0, 1), "seen": pa.array([pack(rank)], pa.binary())})
 
 
 def token_order(docs: DataFrame, words: int, text: str) -> np.ndarray:
-    """How frequent all documents' tokens are, on a log scale, in ``COUNTERS`` counters of two bytes."""
+    """How frequent all documents' tokens are, on a log scale, in ``COUNTERS`` counters of one byte.
+
+    A task counts a token up to 255 times; beyond, all it sees of it is very frequent.
+    """
     rows = docs.mapInArrow(_token_counts(words, text), "part int, seen binary").groupBy("part").applyInArrow(_added, "part int, seen binary").collect()
     found = [unpack(r.seen)[0] for r in sorted(rows)]
-    return np.concatenate(found) if found else np.zeros(COUNTERS, np.uint16)
+    return np.concatenate(found) if found else np.zeros(COUNTERS, np.uint8)
 
 
 _SET_FIELDS = "_id long, _check long, n int, d1 long, d2 long, keys array<long>, prefix binary"
@@ -81,7 +88,7 @@ def _described(words: int, percent: int, text: str, order):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = order.value
-        for batch in slices(batches, text):
+        for batch in slices(batches, text, _SLICE):
             row, token = _sets(batch, words, text)
             n = np.bincount(row, minlength=len(batch))
             ends = np.cumsum(n)
@@ -111,7 +118,7 @@ def _described(words: int, percent: int, text: str, order):
 
 def _token_sets(texts: pa.ChunkedArray, words: int) -> Iterator[np.ndarray]:
     """The set of each text, in order."""
-    for batch in slices(iter(pa.table({"text": texts}).combine_chunks().to_batches())):
+    for batch in slices(iter(pa.table({"text": texts}).combine_chunks().to_batches()), limit=_SLICE):
         row, token = _sets(batch, words, "text")
         yield from np.split(token, np.cumsum(np.bincount(row, minlength=len(batch)))[:-1])
 
