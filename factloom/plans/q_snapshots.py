@@ -214,6 +214,36 @@ def ingest_json_facts(f):
     )
 
 
+_DEEP, _DEEP_TEXT = '{"kind":"nominal","name":"User"}', "User"
+for _ in range(7):
+    _DEEP, _DEEP_TEXT = f'{{"kind":"generic","name":"Array","type_arg":{_DEEP}}}', f"Array[{_DEEP_TEXT}]"
+_FACT = '{"symbol_id":{"kind":"%s","owner":"A","name":"%s"},"return_type":%s}'
+_PROC = f'{{"kind":"proc","parameters":[{_DEEP},{{"kind":"nil"}}],"return_type":{{"kind":"unknown"}}}}'
+# Per document an answer with a nested type, a proc and two bad declarations; or a summary, a failure, an odd shape, no JSON.
+_ANSWERS = f"""SELECT doc_id, CASE doc_id % 5
+  WHEN 0 THEN '{{"ok":true,"result":{{"shape":"declarations","declarations":[{_FACT % ("class", "C", _DEEP)},{_FACT % ("module", "M", _PROC)},'
+    || '{_FACT % ("ivar", "@x", "null")},{{"symbol_id":{{"kind":"constant","owner":1,"name":"X"}}}},{_FACT % ("constant", "X", '{"kind":"nominal","name":""}')}]}}}}'
+  WHEN 1 THEN '{{"ok":true,"result":{{"shape":"summary","snapshot_section_names":["s' || doc_id || '"],"reload_hook_count":2}}}}'
+  WHEN 2 THEN '{{"ok":false,"error":"e"}}' WHEN 3 THEN '{{"ok":true,"result":{{"shape":"odd"}}}}' ELSE '{{' END AS payload FROM documents"""
+
+
+@query(
+    "a14_plugin_results",
+    f"""SELECT doc_id, ordinal, kind, owner, name, return_type, reason FROM documents, (VALUES
+        (0, 0, 'class', '::A', 'C', '{_DEEP_TEXT}', NULL), (0, 1, 'module', '::A', 'M', '({_DEEP_TEXT}, nil) -> Unknown', NULL),
+        (0, 2, NULL, NULL, NULL, NULL, 'unknown kind'), (0, 3, NULL, NULL, NULL, NULL, 'owner is no text'), (0, 4, 'constant', '::A', 'X', NULL, NULL),
+        (1, NULL, 'summary', NULL, NULL, NULL, NULL), (2, NULL, NULL, NULL, NULL, NULL, 'plugin failed'), (3, NULL, NULL, NULL, NULL, NULL, 'unknown shape'),
+        (4, NULL, NULL, NULL, NULL, NULL, 'no JSON')) v(r, ordinal, kind, owner, name, return_type, reason)
+    WHERE doc_id % 5 = r AND kind IS DISTINCT FROM 'summary'
+    UNION ALL SELECT doc_id, NULL, 'summary', NULL, 's' || doc_id, '2', NULL FROM documents WHERE doc_id % 5 = 1""",
+)
+def plugin_results(f):
+    facts, summaries, rejects = ingest.plugin_results(f.sql(_ANSWERS), "doc_id", "payload")
+    told = summaries.select(
+        "doc_id", F.lit("summary").alias("kind"), F.array_join("section_names", ",").alias("name"), F.col("reload_hooks").cast("string").alias("return_type"))
+    return facts.unionByName(told, allowMissingColumns=True).unionByName(rejects, allowMissingColumns=True)
+
+
 _MODELS = """SELECT o_orderkey, '{"tableName":"t' || o_custkey || '","partial":' || CASE WHEN o_orderkey % 2 = 0 THEN 'true' ELSE 'false' END
   || ',"columns":[{"name":"id","type":"bigint","null":false},{"name":"note","type":"' || CASE WHEN o_orderkey % 3 = 0 THEN 'citext' ELSE 'jsonb' END
   || '"}],"associations":[{"name":"owner","macro":"belongs_to","className":"User","optional":' || CASE WHEN o_orderkey % 5 = 0 THEN 'false' ELSE 'null' END || '}]}' AS payload FROM orders"""

@@ -7,11 +7,10 @@ from pyspark.sql import functions as F
 
 from factloom.functions import names as N
 from factloom.functions import typeexpr as X
+from factloom.session import durable
 
 # Symbol kinds a payload may declare, and the largest accepted one.
-SYMBOL_KINDS = (
-    "class", "module", "constant", "instance_method", "singleton_method", "ivar", "cvar", "local_variable",
-)
+SYMBOL_KINDS = ("instance_method", "singleton_method", "class", "module", "constant")
 MAX_PAYLOAD_BYTES = 16 * 1024 * 1024
 
 
@@ -21,43 +20,116 @@ def _string_at(json: Column, path: str) -> Column:
     return F.when(F.schema_of_variant(F.try_variant_get(json, path, "variant")) == "STRING", v)
 
 
-def _decode_type(json: Column, path: str, depth: int) -> Column:
-    """Canonical string of an encoded type, ``depth`` levels of nesting."""
-    kind = _string_at(json, f"{path}.kind")
-    name = F.nullif(_string_at(json, f"{path}.name"), F.lit(""))
-    out = (
-        F.when(kind == "unknown", X.UNKNOWN)
-        .when(kind == "nil", X.NIL)
-        .when(kind.isin("nominal", "type_parameter"), name)
-    )
-    if depth > 0:
-        arg = _decode_type(json, f"{path}.type_arg", depth - 1)
-        out = out.when(kind == "generic", F.concat(name, F.lit("["), arg, F.lit("]")))
-        members = F.try_variant_get(json, f"{path}.members", "array<variant>")
-        parts = F.transform(members, lambda m: _decode_type(m, "$", depth - 1))
-        sound = (F.size(members) >= 2) & ~F.exists(parts, lambda p: p.isNull())
-        out = out.when((kind == "union") & sound, F.array_join(parts, " | "))
-    return out
+def _array_at(json: Column, path: str) -> Column:
+    """A JSON array; empty for a missing or null one, one missing element for anything else."""
+    kind = F.coalesce(F.schema_of_variant(F.try_variant_get(json, path, "variant")), F.lit("VOID"))
+    lone = F.array(F.lit(None).cast("string").cast("variant"))
+    return F.when(kind.startswith("ARRAY"), F.try_variant_get(json, path, "array<variant>")).when(kind == "VOID", F.slice(lone, 1, 0)).otherwise(lone)
+
+
+def _opened(encoded: DataFrame) -> DataFrame:
+    """(parent, slot, v) with a number of its own, kind, name and the types inside."""
+    v = F.col("v")
+    rows = encoded.select(
+        "parent", "slot", "v", _string_at(v, "$.kind").alias("kind"), F.nullif(_string_at(v, "$.name"), F.lit("")).alias("name"))
+    one = lambda path: F.array(F.try_variant_get(v, path, "variant"))
+    inner = (
+        F.when(F.col("kind") == "generic", one("$.type_arg")).when(F.col("kind") == "union", _array_at(v, "$.members"))
+        .when(F.col("kind") == "proc", F.concat(_array_at(v, "$.parameters"), one("$.return_type"))))
+    return rows.select(F.monotonically_increasing_id().alias("node"), "parent", "slot", "kind", "name", inner.alias("inner"))
+
+
+def decode_types(encoded: DataFrame) -> DataFrame:
+    """(id, type) from (id, v): encoded types of any depth as canonical text, null where one does not decode.
+
+    A worklist: the types inside the current ones are laid out as rows, level by
+    level, until none is left; then texts are put together from the innermost level
+    upwards. A level holds only what is nested so deep, so the work is the number of
+    types, not rows times depth.
+    """
+    levels = [durable(_opened(encoded.select(F.col("id").alias("parent"), F.lit(0).alias("slot"), "v")))]
+    while True:
+        inside = levels[-1].filter("inner IS NOT NULL").select(F.col("node").alias("parent"), F.posexplode("inner").alias("slot", "v"))
+        level = durable(_opened(inside))
+        if level.isEmpty():
+            break
+        levels.append(level)
+    texts: DataFrame | None = None
+    for level in reversed(levels):
+        plain = (
+            F.when(F.col("kind") == "unknown", X.UNKNOWN).when(F.col("kind") == "nil", X.NIL)
+            .when(F.col("kind").isin("nominal", "type_parameter"), F.col("name")))
+        size = F.coalesce(F.size("inner"), F.lit(0))
+        found = level.select("parent", "slot", "node", "kind", "name", size.alias("size"), plain.alias("text"))
+        if texts is not None:
+            parts = texts.filter("text IS NOT NULL").groupBy(F.col("parent").alias("node")).agg(
+                F.transform(F.array_sort(F.collect_list(F.struct("slot", "text"))), lambda p: p["text"]).alias("parts"))
+            found = found.join(parts, "node", "left")
+            whole = F.size("parts") == F.col("size")
+            given = F.array_join(F.slice("parts", 1, F.col("size") - 1), ", ")
+            text = (
+                F.when((F.col("kind") == "generic") & whole, F.concat("name", F.lit("["), F.col("parts")[0], F.lit("]")))
+                .when((F.col("kind") == "union") & whole & (F.col("size") >= 2), F.array_join("parts", " | "))
+                .when((F.col("kind") == "proc") & whole, F.concat(F.lit("("), given, F.lit(") -> "), F.element_at("parts", -1)))
+                .otherwise(F.col("text")))
+            found = found.withColumn("text", text)
+        texts = durable(found.select("parent", "slot", "text"))
+    return texts.select(F.col("parent").alias("id"), F.col("text").alias("type"))
+
+
+def _facts(parsed: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Facts and rejects with a reason from (keys, id, v); a return type that does not decode is null."""
+    v = F.col("v")
+    shown = lambda path: F.coalesce(F.schema_of_variant(F.try_variant_get(v, path, "variant")), F.lit("VOID"))
+    read = parsed.select(
+        *keys, "id", _string_at(v, "$.symbol_id.kind").alias("kind"), _string_at(v, "$.symbol_id.owner").alias("owner"),
+        _string_at(v, "$.symbol_id.name").alias("name"),
+        F.when(v.isNull(), "no JSON").when(~shown("$.symbol_id").startswith("OBJECT"), "no symbol")
+        .when(~F.coalesce(_string_at(v, "$.symbol_id.kind").isin(*SYMBOL_KINDS), F.lit(False)), "unknown kind")
+        .when(~F.coalesce(F.length(_string_at(v, "$.symbol_id.name")) > 0, F.lit(False)), "no name")
+        .when(~shown("$.symbol_id.owner").isin("STRING", "VOID"), "owner is no text").alias("reason"))
+    typed = decode_types(parsed.select("id", F.try_variant_get(v, "$.return_type", "variant").alias("v")).filter("v IS NOT NULL"))
+    facts = read.filter("reason IS NULL").join(typed.withColumnRenamed("type", "return_type"), "id", "left")
+    return (
+        facts.select(*keys, "kind", N.qualify_owner("owner").alias("owner"), "name", "return_type"),
+        read.filter("reason IS NOT NULL").select(*keys, "reason"))
 
 
 def json_facts(raw: DataFrame, key: str, col: str) -> tuple[DataFrame, DataFrame]:
-    """Plugin facts: (key, kind, owner, name, return_type), and the rejects."""
-    v = F.try_parse_json(F.when(F.octet_length(col) <= MAX_PAYLOAD_BYTES, F.col(col)))
-    parsed = raw.select(key, col, v.alias("v"))
-    owner_type = F.schema_of_variant(F.try_variant_get("v", "$.symbol_id.owner", "variant"))
-    decoded = parsed.select(
-        key, col,
-        _string_at(F.col("v"), "$.symbol_id.kind").alias("kind"),
-        _string_at(F.col("v"), "$.symbol_id.owner").alias("owner"),
-        _string_at(F.col("v"), "$.symbol_id.name").alias("name"),
-        F.coalesce(owner_type, F.lit("VOID")).alias("_ot"),
-        _decode_type(F.col("v"), "$.return_type", 2).alias("return_type"),
-    )
-    valid = F.coalesce(
-        F.col("kind").isin(*SYMBOL_KINDS) & (F.length("name") > 0) & F.col("_ot").isin("STRING", "VOID"), F.lit(False)
-    )
-    facts = decoded.filter(valid).select(key, "kind", N.qualify_owner("owner").alias("owner"), "name", "return_type")
-    return facts, decoded.filter(~valid).select(key, col)
+    """Plugin facts, one a row: (key, kind, owner, name, return_type), and the rejects (key, payload, reason)."""
+    large = F.coalesce(F.octet_length(col) > MAX_PAYLOAD_BYTES, F.lit(False))
+    parsed = durable(raw.select(key, col, large.alias("large"), F.try_parse_json(F.when(~large, F.col(col))).alias("v")).withColumn(
+        "id", F.monotonically_increasing_id()))
+    facts, rejects = _facts(parsed, [key, col, "large"])
+    reason = F.when(F.col("large"), "too large").otherwise(F.col("reason"))
+    return facts.drop(col, "large"), rejects.select(key, col, reason.alias("reason"))
+
+
+def plugin_results(raw: DataFrame, key: str, col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Answers of plugins: facts (key, ordinal, kind, owner, name, return_type), summaries
+    (key, section_names, reload_hooks) and rejects (key, ordinal, reason).
+
+    An answer is ``{"ok": true, "result": …}`` with an array of declarations or a
+    summary; a declaration is rejected by itself (``ordinal``), an answer as a whole.
+    """
+    large = F.coalesce(F.octet_length(col) > MAX_PAYLOAD_BYTES, F.lit(False))
+    parsed = raw.select(key, large.alias("large"), F.try_parse_json(F.when(~large, F.col(col))).alias("v"))
+    v = F.col("v")
+    answer = durable(parsed.select(
+        key, "large", v.isNotNull().alias("json"), F.try_variant_get(v, "$.ok", "boolean").alias("ok"),
+        _string_at(v, "$.result.shape").alias("shape"), F.try_variant_get(v, "$.result", "variant").alias("v")))
+    good = answer.filter("ok AND shape = 'declarations'")
+    each = durable(good.select(key, F.posexplode(_array_at(v, "$.declarations")).alias("ordinal", "v")).withColumn(
+        "id", F.monotonically_increasing_id()))
+    facts, rejects = _facts(each, [key, "ordinal"])
+    names = F.transform(_array_at(v, "$.snapshot_section_names"), lambda n: n.cast("string"))
+    hooks = F.coalesce(F.try_variant_get(v, "$.reload_hook_count", "bigint"), F.lit(0))
+    summaries = answer.filter("ok AND shape = 'summary'").select(key, names.alias("section_names"), hooks.alias("reload_hooks"))
+    reason = (
+        F.when(F.col("large"), "too large").when(~F.col("json"), "no JSON").when(F.col("ok") == F.lit(False), "plugin failed")
+        .when(F.col("ok").isNull(), "no answer").when(~F.coalesce(F.col("shape").isin("declarations", "summary"), F.lit(False)), "unknown shape"))
+    whole = answer.select(key, F.lit(None).cast("int").alias("ordinal"), reason.alias("reason")).filter("reason IS NOT NULL")
+    return facts, summaries, rejects.unionByName(whole)
 
 
 _MODEL = (
