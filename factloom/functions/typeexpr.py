@@ -43,24 +43,38 @@ def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def union_members(type_: Column | str) -> Column:
-    """Outermost members of a type (one element when it is no union).
+def split_outside(type_: Column | str, separator: str) -> Column:
+    """Pieces of a type between separators that lie in no bracket, at any depth.
 
-    Pieces between bars are joined again while a bracket is open, at any depth.
+    Where a bracket never closes, the rest from its piece on is the last piece.
     """
     t = _c(type_)
-    pieces = F.split(t, r" \| ")
+    pieces = F.split(t, separator.replace("|", r"\|"))
     empty = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("open"), F.lit(0).alias("depth"))
 
     def step(acc: Column, piece: Column) -> Column:
-        opened, closed = (F.length(piece) - F.length(F.translate(piece, c, "")) for c in "[]")
+        opened, closed = (F.length(piece) - F.length(F.translate(piece, c, "")) for c in ("[(", "])"))
         depth = acc["depth"] + opened - closed
         text = F.concat(acc["open"], piece)
         return F.struct(
             F.when(depth == 0, F.concat(acc["out"], F.array(text))).otherwise(acc["out"]).alias("out"),
-            F.when(depth == 0, F.lit("")).otherwise(F.concat(text, F.lit(" | "))).alias("open"), depth.alias("depth"))
+            F.when(depth == 0, F.lit("")).otherwise(F.concat(text, F.lit(separator))).alias("open"), depth.alias("depth"))
+
+    def finish(acc: Column) -> Column:
+        rest = F.substring(acc["open"], F.lit(1), F.length(acc["open"]) - len(separator))
+        return F.when(acc["open"] == "", acc["out"]).otherwise(F.concat(acc["out"], F.array(rest)))
+
+    return F.when((F.instr(t, "[") == 0) & (F.instr(t, "(") == 0), pieces).otherwise(F.aggregate(pieces, empty, step, finish))
+
+
+def union_members(type_: Column | str) -> Column:
+    """Outermost members of a type (one element when it is no union)."""
+    return split_outside(type_, " | ")
 
-    return F.when(F.instr(t, "[") == 0, pieces).otherwise(F.aggregate(pieces, empty, step, lambda acc: acc["out"]))
+
+def type_arguments(type_: Column | str) -> Column:
+    """Arguments of a generic type, null for any other."""
+    return split_outside(generic_arg(type_), ", ")
 
 
 def is_union(type_: Column | str) -> Column:
@@ -139,6 +153,17 @@ def substitute(template: Column | str, bindings: Column, parameters: Sequence[st
     return union_types(F.array(expr))
 
 
+def fill_parameters(template: Column | str, parameters: Column, bindings: Column) -> Column:
+    """Replace the words of a template that are ``parameters`` (array) by their
+    ``bindings`` (map); an unbound one is ``Unknown``. A bound value is not filled again."""
+    words = F.regexp_extract_all(_c(template), F.lit(r"([\w:]+|[^\w:]+)"), 1)
+
+    def filled(word: Column) -> Column:
+        return F.when(F.array_contains(parameters, word), F.coalesce(F.try_element_at(bindings, word), F.lit(UNKNOWN))).otherwise(word)
+
+    return union_types(F.array(F.array_join(F.transform(words, filled), "")))
+
+
 def column_type(db_type: Column | str) -> Column:
     mapping = F.create_map(*[F.lit(x) for pair in COLUMN_TYPES.items() for x in pair])
     return F.coalesce(F.try_element_at(mapping, _c(db_type)), F.lit(UNMAPPED_COLUMN_TYPE))
