@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions import typeexpr as X
-from factloom.functions.skew import pick_first, previous_row, running_max, running_sum
+from factloom.functions.skew import last_value_before, pick_first, previous_row, running_max, running_sum
 from factloom.session import durable
 
 PAIR_SCHEMA = (
@@ -242,6 +242,48 @@ def publish_latest(results: DataFrame, bucket: int = 100_000) -> DataFrame:
     return ranked.filter(shown).drop("_open", "_best")
 
 
+def publish_open(results: DataFrame, buffers: DataFrame, bucket: int = 100_000) -> DataFrame:
+    """Results that may be shown while buffers are opened, edited and closed.
+
+    ``buffers``: uri, seq, kind (open, edit, close), buffer_id, version; an edit counts
+    for the buffer that is open. ``results``: uri, seq, buffer_id, version,
+    generation; one without a version was read from disk.
+
+    A result from disk is shown only while no buffer is open; any other one only if it
+    is of the open buffer, of no version that is still to come, and not older than one
+    shown before; of two results about one version the earlier generation gives way,
+    where one without a generation leaves the last known one standing. A close
+    forgets all of this.
+
+    Both tables run as one line per file, spread over stretches of ``bucket``; what
+    was last opened, closed or edited is carried along it.
+    """
+    moved = buffers.select("uri", "seq", F.lit(0).alias("side"), "kind", "buffer_id", "version")
+    shown = results.select(
+        "uri", "seq", F.lit(1).alias("side"), F.lit("result").alias("kind"), "buffer_id", "version", "generation")
+    line = moved.unionByName(shown, allowMissingColumns=True)
+    at, order = F.floor(F.col("seq") / bucket), [F.col("seq"), F.col("side")]
+    kind = F.col("kind")
+    door = F.when(kind.isin("open", "close"), F.struct(kind.alias("kind"), "buffer_id"))
+    line = last_value_before(line, ["uri"], at, order, door, "_door")
+    line = last_value_before(line, ["uri"], at, order, F.when(kind.isin("open", "edit"), F.col("version")), "_edited")
+    line = running_sum(line, ["uri"], at, order, F.when(kind == "close", 1).otherwise(0), "_life")
+    is_open = F.coalesce(F.col("_door.kind") == "open", F.lit(False))
+    asked = line.filter("side = 1").withColumn("_is_open", is_open)
+    from_disk = asked.filter("version IS NULL AND NOT _is_open")
+    current = asked.filter(F.col("_is_open") & (F.col("buffer_id") == F.col("_door.buffer_id")) & (F.col("version") <= F.col("_edited")))
+    order = [F.col("seq")]
+    newest = running_max(current, ["uri", "_life", "buffer_id"], at, order, F.col("version"), "_newest").filter("version = _newest")
+    before = previous_row(newest, ["uri", "_life"], at, order, ["buffer_id", "version"], "_p_")
+    same = (F.col("_p_buffer_id") == F.col("buffer_id")) & (F.col("_p_version") == F.col("version"))
+    fresh = ~F.coalesce(same, F.lit(False)) & F.col("generation").isNotNull()
+    known = running_sum(before, ["uri", "_life"], at, order, F.when(fresh, 1).otherwise(0), "_run")
+    dated = running_max(known, ["uri", "_life", "_run"], at, order, F.col("generation"), "_best")
+    good = dated.filter(F.col("generation").isNull() | (F.col("generation") == F.col("_best")))
+    columns = ["uri", "seq", "buffer_id", "version", "generation"]
+    return good.select(*columns).unionByName(from_disk.select(*columns))
+
+
 def coalesce_changes(changes: DataFrame, gap_seconds: int) -> DataFrame:
     """uri, first_ts, n, version: one analysis per burst of changes, of its last
     version. A burst ends when nothing follows within the gap.

@@ -111,6 +111,47 @@ def publish_latest(f):
     return T.publish_latest(f.sql(_RESULTS), bucket=1000)
 
 
+# Buffers of forty files: a signup opens one (its number and first version are the
+# event), a purchase edits it, an error closes it; clicks and views are results, some
+# of an older version, a version to come, another buffer, or from disk.
+_LINE = """SELECT uri, seq, kind, CASE kind WHEN 'open' THEN seq WHEN 'result' THEN CASE WHEN seq % 11 = 0 THEN opened - 1 ELSE opened END END AS buffer_id,
+    CASE WHEN kind IN ('open', 'edit') THEN seq WHEN kind = 'result' AND seq % 5 > 0 THEN CASE WHEN seq % 7 = 0 THEN edited + 1 WHEN seq % 3 = 0 THEN opened ELSE edited END END AS version,
+    CASE WHEN kind = 'result' AND seq % 6 > 0 THEN CAST(floor(value) AS BIGINT) % 7 END AS generation
+  FROM (SELECT uri, seq, kind, value, max(CASE WHEN kind = 'open' THEN seq END) OVER (PARTITION BY uri ORDER BY seq) AS opened,
+      max(CASE WHEN kind IN ('open', 'edit') THEN seq END) OVER (PARTITION BY uri ORDER BY seq) AS edited
+    FROM (SELECT 'u' || (user_id % 40) AS uri, event_id AS seq, value, CASE event_type WHEN 'signup' THEN 'open' WHEN 'purchase' THEN 'edit'
+        WHEN 'error' THEN 'close' ELSE 'result' END AS kind FROM events) e) l"""
+CHECK_SQL.update({
+    "o_line": f"SELECT *, row_number() OVER (PARTITION BY uri ORDER BY seq) AS n FROM ({_LINE})",
+    # The state of a file after each step: open buffer and version, and what was shown last.
+    "o_file": """
+        SELECT DISTINCT uri, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS ob, CAST(NULL AS BIGINT) AS ov, CAST(NULL AS BIGINT) AS lb,
+          CAST(NULL AS BIGINT) AS lv, CAST(NULL AS BIGINT) AS lg, false AS shown FROM o_line
+        UNION ALL
+        SELECT uri, n, CASE kind WHEN 'open' THEN buffer_id WHEN 'close' THEN NULL ELSE ob END,
+          CASE WHEN kind IN ('open', 'edit') THEN version ELSE ov END,
+          CASE WHEN kind = 'close' THEN NULL WHEN take THEN buffer_id ELSE lb END, CASE WHEN kind = 'close' THEN NULL WHEN take THEN version ELSE lv END,
+          CASE WHEN kind = 'close' THEN NULL WHEN take THEN coalesce(generation, lg) ELSE lg END, take OR (kind = 'result' AND version IS NULL AND ob IS NULL)
+        FROM (SELECT l.*, ob, ov, lb, lv, lg, kind = 'result' AND coalesce(buffer_id = ob AND version <= ov, false) AND NOT coalesce(buffer_id = lb AND version < lv, false)
+              AND NOT coalesce(buffer_id = lb AND version = lv AND generation < lg, false) AS take
+          FROM o_file f JOIN o_line l ON l.uri = f.uri AND l.n = f.n + 1)""",
+})
+_SHOWN = "SELECT l.uri, l.seq, l.buffer_id, l.version, l.generation FROM o_file f JOIN o_line l ON l.uri = f.uri AND l.n = f.n WHERE shown"
+
+
+@query("s3_publish_open_buffers", _SHOWN)
+def publish_open_buffers(f):
+    line = f.sql(_LINE)
+    return T.publish_open(line.filter("kind = 'result'"), line.filter("kind <> 'result'"), bucket=1000)
+
+
+@query("s3_publish_stream", _SHOWN)
+def publish_stream(f):
+    """The same answer from a stream over the buffers' line."""
+    line = durable(f.sql(_LINE))
+    return jobs.publish_table(f.spark.readStream.schema(line.schema).parquet(line.inputFiles()[0].rsplit("/", 1)[0]))
+
+
 _CHANGES = "SELECT 'u' || user_id AS uri, ts, event_id AS version FROM events"
 
 

@@ -8,7 +8,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from factloom.functions import typeexpr as X
 from factloom.operators import traces as T
@@ -208,25 +207,58 @@ def coalesced_stream(changes: DataFrame, gap: str, late: str) -> DataFrame:
     )
 
 
-def _newest(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    buffer_id, version, generation = state.get if state.exists else (-1, -1, -1)
-    rows = []
-    batch = pd.concat(list(frames)).sort_values("arrival")
-    for arrival, b, v, g in zip(*[batch[c].tolist() for c in ("arrival", "buffer_id", "version", "generation")], strict=True):
-        # A result without a generation is only held back by a higher version.
-        g = None if pd.isna(g) else int(g)
-        same = b == buffer_id and v == version
-        if b > buffer_id or (b == buffer_id and v > version) or (same and (g is None or g >= generation)):
-            generation = g if g is not None else generation if same else -1
-            buffer_id, version = b, v
-            rows.append((key[0], arrival, b, v, g))
-    state.update((buffer_id, version, generation))
-    yield pd.DataFrame(rows, columns=["uri", "arrival", "buffer_id", "version", "generation"]).astype({"generation": "Int64"})
-
-
-def publish_stream(results: DataFrame) -> DataFrame:
-    """Results that may be shown, as they arrive."""
-    return results.groupBy("uri").applyInPandasWithState(
-        _newest, "uri string, arrival bigint, buffer_id bigint, version bigint, generation bigint",
-        "buffer_id bigint, version bigint, generation bigint", "append", GroupStateTimeout.NoTimeout,
-    )
+SHOWN = "uri string, seq bigint, buffer_id bigint, version bigint, generation bigint"
+
+
+class Publisher(StatefulProcessor):
+    """What may be shown of one file, as buffers open, change and close: the open
+    buffer with its version, and the buffer, version and generation shown last."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._state = handle.getValueState(
+            "file", "open_buffer bigint, open_version bigint, buffer_id bigint, version bigint, generation bigint")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        open_buffer, open_version, buffer_id, version, generation = self._state.get() if self._state.exists() else (None,) * 5
+        shown = []
+        batch = pd.concat(list(rows)).sort_values(["seq", "side"], kind="stable")
+        columns = ("seq", "kind", "buffer_id", "version", "generation")
+        for at, kind, *given in zip(*[batch[c].tolist() for c in columns], strict=True):
+            b, v, g = (None if pd.isna(x) else int(x) for x in given)
+            if kind == "open":
+                open_buffer, open_version = b, v
+            elif kind == "edit":
+                open_version = v
+            elif kind == "close":
+                open_buffer = buffer_id = version = generation = None
+            elif v is None:
+                if open_buffer is None:
+                    shown.append((key[0], at, b, v, g))
+            elif open_buffer is not None and b == open_buffer and v <= open_version:
+                same = b == buffer_id
+                older = same and v < version
+                dated = same and v == version and None not in (g, generation) and g < generation
+                if not older and not dated:
+                    buffer_id, version, generation = b, v, generation if g is None else g
+                    shown.append((key[0], at, b, v, g))
+        self._state.update((open_buffer, open_version, buffer_id, version, generation))
+        out = pd.DataFrame(shown, columns=[c.split()[0] for c in SHOWN.split(", ")])
+        yield out.astype({c: "Int64" for c in ("buffer_id", "version", "generation")})
+
+    def close(self) -> None:
+        pass
+
+
+def publish_stream(line: DataFrame) -> DataFrame:
+    """Streaming form of ``publish_open``: (uri, seq, kind, buffer_id, version, generation)
+    in order of time, where ``kind`` is open, edit, close or result."""
+    sided = line.withColumn("side", (F.col("kind") == "result").cast("int"))
+    return sided.groupBy("uri").transformWithStateInPandas(Publisher(), SHOWN, "Append", "None")
+
+
+def publish_table(line: DataFrame) -> DataFrame:
+    """All that a stream of buffers and results may show now."""
+    spark = line.sparkSession
+    folder = scratch_dir(spark)
+    _drain(publish_stream(line), folder, "shown")
+    return spark.read.schema(SHOWN).parquet(f"{folder}/shown")

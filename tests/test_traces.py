@@ -127,3 +127,18 @@ def test_result_without_generation_is_shown(spark):
     rows = [("u", 1, 1, 1, 4), ("u", 2, 1, 1, None), ("u", 3, 1, 1, 3), ("u", 4, 1, 1, 5), ("u", 5, 1, 0, None)]
     got = T.publish_latest(spark.createDataFrame(rows, "uri string, arrival long, buffer_id long, version long, generation long")).collect()
     assert sorted(r.arrival for r in got) == [1, 2, 4]
+
+
+LINE = "uri string, seq long, kind string, buffer_id long, version long, generation long"
+
+
+def test_what_is_shown_of_open_and_closed_buffers(spark):
+    steps = [
+        ("result", 1, None, 3), ("open", 7, 1, None), ("result", 7, 1, 5), ("result", None, None, 9), ("result", 7, 2, 6), ("edit", None, 2, None),
+        ("result", 7, 2, None), ("result", 7, 2, 4), ("result", 7, 2, 5), ("result", 7, 1, 9), ("result", 6, 2, 9), ("close", None, None, None),
+        ("result", 7, 2, 9), ("result", None, None, None), ("open", 8, 1, None), ("result", 8, 1, 1), ("open", 9, 1, None), ("result", 9, 1, None), ("result", 9, 1, 0)]
+    rows = [(u, i, *s) for u in ("a", "b") for i, s in enumerate(steps)]
+    line = spark.createDataFrame(rows, LINE)
+    got = T.publish_open(line.filter("kind = 'result'"), line.filter("kind <> 'result'"), bucket=4)
+    shown = [0, 2, 6, 8, 13, 15, 17]
+    assert sorted((r.uri, r.seq) for r in got.collect()) == [(u, n) for u in ("a", "b") for n in shown]
