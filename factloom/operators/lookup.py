@@ -112,6 +112,52 @@ def nearest(found: DataFrame, keys: Sequence[str] = ("receiver", "name")) -> Dat
     return pick_first(found, list(keys), [F.col("rank")], rest)
 
 
+def receiver_members(requests: DataFrame) -> DataFrame:
+    """receiver_type, name, singleton with one row per class a call may land on:
+    member (place in the union), receiver and ``class_side``.
+
+    ``ClassOf[X]`` as a whole is the class object of X and asks its singleton side, as
+    does a call made on the class itself (``singleton``). Members of a union that are
+    no class (nil, a class object, a query) are left out.
+    """
+    asked = requests.select("receiver_type", "name", "singleton").distinct()
+    seen = asked.withColumn("_c", X.class_receiver("receiver_type"))
+    return seen.select(
+        "receiver_type", "name", "singleton", (F.col("singleton") | F.col("_c.singleton")).alias("class_side"),
+        F.posexplode(X.nominal_members(F.col("_c.type"))).alias("member", "receiver")
+    ).withColumn("receiver", N.qualify_owner("receiver"))
+
+
+def lookup_calls(requests: DataFrame, chain: DataFrame, class_chain: DataFrame, heads: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Lookup for calls on any receiver: requests (receiver_type, name, singleton),
+    one row per distinct symbol that some member finds, on the side it is asked.
+
+    ``conditional`` marks results of unions that some member lacks; a hit through an
+    alias carries the old name and does not count as present.
+    """
+    keys = ["receiver_type", "name", "singleton"]
+    members = receiver_members(requests)
+    sides = [
+        lookup(members.filter(F.col("class_side") == side), links, heads, aliases).withColumn("class_side", F.lit(side))
+        for side, links in ((False, chain), (True, class_chain))
+    ]
+    found = members.join(sides[0].unionByName(sides[1]), ["receiver", "name", "class_side"])
+    sizes = members.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_members"))
+    present = found.filter(F.col("sym_name") == F.col("name")).select(*keys, "member").distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("n_present"))
+    rest = [c for c in found.columns if c not in (*keys, "class_side", "member", "receiver", "sym_kind", "sym_owner", "sym_name")]
+    symbols = found.groupBy(*keys, "sym_kind", "sym_owner", "sym_name").agg(
+        F.min_by(F.struct("member", *rest), F.struct("member", "rank")).alias("first")).select(*keys, "sym_kind", "sym_owner", "sym_name", "first.*")
+    return symbols.join(sizes, keys).join(present, keys, "left").withColumn(
+        "conditional", (F.col("n_members") > 1) & (F.coalesce("n_present", F.lit(0)) < F.col("n_members"))).drop("n_members", "n_present")
+
+
+def call_targets(found: DataFrame) -> DataFrame:
+    """The nearest symbol of each request of :func:`lookup_calls`; conditional if any of its symbols is."""
+    first = F.struct("rank", "member", "sym_kind", "sym_owner", "sym_name")
+    best = found.groupBy("receiver_type", "name", "singleton").agg(F.min(first).alias("b"), F.bool_or("conditional").alias("conditional"))
+    return best.select("receiver_type", "name", "singleton", "b.sym_kind", "b.sym_owner", "b.sym_name", "conditional")
+
+
 def lookup_union(requests: DataFrame, chain: DataFrame, heads: DataFrame, aliases: DataFrame) -> DataFrame:
     """Lookup on union receivers: requests (receiver_type, name), one row per
     distinct symbol, as its first member finds it. ``conditional`` marks results

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,30 +60,31 @@ def resolve_calls(calls: DataFrame, methods: DataFrame, members: DataFrame, rout
     """Every call with its symbol, null when nothing answers.
 
     The distinct (receiver_type, name) pairs are answered first, so that a
-    method called everywhere is joined once and not once per call.
+    method called everywhere is joined once and not once per call. Where calls say
+    whether they are made on the class itself (``singleton``), that is part of the pair.
     """
-    pairs = calls.select("receiver_type", "name").distinct()
+    keys = ["receiver_type", "name", *(c for c in ("singleton",) if c in calls.columns)]
+    pairs = calls.select(*keys).distinct()
     source = methods.select(
-        "receiver_type", "name", F.col("sym_kind").alias("k1"), F.col("sym_owner").alias("o1"), F.col("sym_name").alias("n1"), "conditional"
+        *keys, F.col("sym_kind").alias("k1"), F.col("sym_owner").alias("o1"), F.col("sym_name").alias("n1"), "conditional"
     )
     model = model_symbols(members).select(F.col("model").alias("_m"), F.col("name").alias("_mn"), F.col("sym_kind").alias("k2"))
     nominal = F.when(X.is_nominal("receiver_type"), N.bare_name("receiver_type"))
     answered = (
-        pairs.join(source, ["receiver_type", "name"], "left")
+        pairs.join(source, keys, "left")
         .join(model, (nominal == F.col("_m")) & (F.col("name") == F.col("_mn")), "left")
     )
     by_source = F.col("k1").isNotNull()
     answers = answered.select(
-        F.col("receiver_type").alias("_r"), F.col("name").alias("_n"),
+        *[F.col(k).alias(f"_{k}") for k in keys],
         F.coalesce("k1", "k2").alias("sym_kind"),
         F.when(by_source, F.col("o1")).when(F.col("k2").isNotNull(), F.col("receiver_type")).alias("sym_owner"),
         F.when(by_source, F.col("n1")).when(F.col("k2").isNotNull(), F.col("name")).alias("sym_name"),
         F.when(by_source & F.col("conditional"), "low").when(F.coalesce("k1", "k2").isNotNull(), "high").alias("confidence"),
         F.when(by_source, "source").when(F.col("k2").isNotNull(), "active_record").alias("origin"),
     ).filter("sym_kind IS NOT NULL")
-    routed = calls.join(
-        answers, F.col("receiver_type").eqNullSafe(F.col("_r")) & (F.col("name") == F.col("_n")), "left"
-    ).drop("_r", "_n")
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    routed = calls.join(answers, reduce(Column.__and__, same), "left").drop(*[f"_{k}" for k in keys])
     return route_fallback(routed, routes)
 
 

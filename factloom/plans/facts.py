@@ -110,6 +110,26 @@ FACT_SQL: dict[str, str] = {
                CAST(l_quantity AS BIGINT) % 4 AS n_positional, l_linestatus = 'F' AS keywords,
                l_discount > 0.095 AS splat
         FROM lineitem JOIN part ON l_partkey = p_partkey""",
+    # Calls of every form: on self, on a constant as an enclosing frame sees it, on a
+    # class object, on unions with and without nil or a class object, on a query.
+    "call_sites": f"""
+        SELECT 'o' || l_orderkey AS uri, CAST(l_linenumber AS BIGINT) AS line, l_partkey AS col, 'method_call' AS kind,
+               CASE WHEN l_returnflag = 'R' AND l_linenumber <= 4 THEN replace(p_name, ' ', '_') || '_old'
+                    WHEN l_returnflag = 'A' AND l_quantity > 40 THEN 'mod_' || (l_partkey % 7)
+                    WHEN l_returnflag = 'A' AND l_linenumber = 1 AND l_quantity < 5 THEN 'nation_' || (l_suppkey % 40) || '_path'
+                    WHEN l_returnflag = 'A' AND l_linenumber IN (1, 7) AND l_quantity < 20 THEN 'c_name'
+                    ELSE replace(p_name, ' ', '_') END AS name,
+               CASE WHEN l_linenumber = 1 THEN 'none' WHEN l_linenumber = 2 THEN 'constant' ELSE 'expression' END AS receiver_form,
+               CASE WHEN l_linenumber = 2 THEN CASE WHEN l_suppkey % 3 = 0 THEN 'C' || (l_partkey % 40)
+                                                    WHEN l_suppkey % 3 = 1 THEN '::K' || (l_partkey % {N_CUST}) ELSE 'K' || (l_partkey % {N_CUST}) END END AS receiver,
+               '::K' || (l_partkey % {N_CUST}) AS owner, '::N' || (l_suppkey % 25) AS frame,
+               CASE l_linenumber WHEN 3 THEN 'ClassOf[::K' || (l_partkey % {N_CUST}) || ']'
+                    WHEN 4 THEN '::K' || (l_partkey % {N_CUST}) || ' | ::K' || CAST(floor((l_partkey % {N_CUST}) / 3.0) AS BIGINT) || CASE WHEN l_suppkey % 2 = 0 THEN ' | nil' ELSE '' END
+                    WHEN 5 THEN 'ClassOf[::K' || (l_suppkey % 9) || '] | ::K' || (l_partkey % {N_CUST})
+                    WHEN 6 THEN 'Relation[::K' || (l_partkey % {N_CUST}) || ']'
+                    WHEN 7 THEN 'K' || (l_partkey % {N_CUST}) END AS inferred_type,
+               l_linenumber = 2 OR (l_linenumber = 1 AND l_linestatus = 'F') AS singleton
+        FROM lineitem JOIN part ON l_partkey = p_partkey""",
     # --- routes and models ----------------------------------------------------
     "routes": """
         SELECT CAST(n_nationkey * 2 AS BIGINT) AS ordinal, lower(n_name) AS name, 'POST' AS verb,

@@ -8,10 +8,10 @@ from factloom.functions import names as N
 from factloom.operators import lookup as L
 from factloom.operators import references as R
 from factloom.operators import rules as I
-from factloom.operators.resolve import type_index
+from factloom.operators.resolve import constant_receivers, type_index
 from factloom.plans.facts import CHECK_SQL
 from factloom.plans.q_hierarchy import chain
-from factloom.plans.q_lookup import found, reasons, registry, signature_types, symbols
+from factloom.plans.q_lookup import found, heads, reasons, registry, signature_types, symbols
 from factloom.plans.registry import query
 from factloom.session import durable
 
@@ -80,6 +80,78 @@ def resolve_references(f):
     return references(f).select(*_REF)
 
 
+# Calls of every form: the type and the side each asks, and the members of that type.
+CHECK_SQL.update({
+    "o_sites": """
+        SELECT s.*, CASE receiver_form WHEN 'none' THEN s.owner WHEN 'constant' THEN coalesce(n.name, CASE WHEN receiver NOT LIKE '::%' THEN t.name END, receiver) ELSE inferred_type END AS receiver_type
+        FROM call_sites s LEFT JOIN (SELECT DISTINCT name FROM types) n ON receiver_form = 'constant' AND receiver NOT LIKE '::%' AND n.name = s.frame || '::' || receiver
+        LEFT JOIN (SELECT DISTINCT name FROM types) t ON receiver_form = 'constant' AND t.name = '::' || receiver""",
+    "o_asked": """
+        SELECT receiver_type, name, singleton, singleton OR receiver_type SIMILAR TO 'ClassOf\\[[^|]*\\]' AS class_side,
+          list_filter(string_split(CASE WHEN receiver_type SIMILAR TO 'ClassOf\\[[^|]*\\]' THEN receiver_type[9:-2] ELSE receiver_type END, ' | '),
+            lambda x: x <> 'nil' AND NOT contains(x, '[')) AS ms
+        FROM (SELECT DISTINCT receiver_type, name, singleton FROM o_sites)""",
+    "o_members": "SELECT receiver_type, name, singleton, class_side, '::' || ltrim(unnest(ms), ':') AS receiver, generate_subscripts(ms, 1) AS k FROM o_asked",
+    "o_sided": "SELECT *, false AS class_side FROM chain_i UNION ALL SELECT *, true FROM chain_s",
+    "o_hits": """
+        SELECT m.receiver_type, m.name, m.singleton, m.k, c.pos AS rank, h.kind AS sym_kind, h.owner AS sym_owner, h.name AS sym_name, h.visibility, c.origin
+        FROM o_members m JOIN o_sided c ON c.owner = m.receiver AND c.class_side = m.class_side
+        LEFT JOIN o_alias a ON a.owner = '::' || ltrim(c.name, ':') AND a.new_name = m.name AND a.side = c.decl_side
+        JOIN o_heads h ON h.kind = c.decl_side AND h.owner = '::' || ltrim(c.name, ':') AND h.name = coalesce(a.old_name, m.name)""",
+    "o_targets": """
+        SELECT x.receiver_type, x.name, x.singleton, sym_kind, sym_owner, sym_name, arg_min(rank, k * 1000000 + rank) AS rank, min(k) AS k,
+          arg_min(visibility, k * 1000000 + rank) AS visibility, min(n) > 1 AND coalesce(min(have), 0) < min(n) AS conditional
+        FROM o_hits x JOIN (SELECT receiver_type, name, singleton, count(*) AS n FROM o_members GROUP BY 1, 2, 3) s USING (receiver_type, name, singleton)
+        LEFT JOIN (SELECT receiver_type, name, singleton, count(DISTINCT k) AS have FROM o_hits WHERE sym_name = name GROUP BY 1, 2, 3) p USING (receiver_type, name, singleton)
+        GROUP BY 1, 2, 3, 4, 5, 6""",
+    "o_nearest": """
+        SELECT * FROM (SELECT *, bool_or(conditional) OVER w AS doubt, row_number() OVER (w ORDER BY rank, k, sym_kind, sym_owner, sym_name) AS place FROM o_targets
+          WINDOW w AS (PARTITION BY receiver_type, name, singleton)) WHERE place = 1""",
+})
+
+
+def call_sites(f):
+    """Calls of every form with the type they are made on."""
+
+    def build():
+        sites = f["call_sites"].withColumn("nesting", F.array("frame"))
+        return durable(constant_receivers(sites, type_index(f["types"])))
+
+    return f.derived("call_sites_typed", build)
+
+
+def call_lookup(f):
+    build = lambda: durable(L.lookup_calls(call_sites(f), chain(f), chain(f, singleton=True), heads(f), f["alias_facts"]))
+    return f.derived("call_lookup", build)
+
+
+@query(
+    "c7_lookup_any_receiver",
+    "SELECT receiver_type, name, singleton, sym_kind, sym_owner, sym_name, rank, visibility, conditional FROM o_targets",
+)
+def lookup_any_receiver(f):
+    """Class objects, constants, self and unions beside plain instances."""
+    return call_lookup(f).select("receiver_type", "name", "singleton", "sym_kind", "sym_owner", "sym_name", "rank", "visibility", "conditional")
+
+
+@query(
+    "c10_resolve_any_receiver",
+    f"""SELECT s.uri, s.line, s.col, s.receiver_type, coalesce(n.sym_kind, m.kind, CASE WHEN r.name IS NOT NULL THEN 'route_helper' END) AS sym_kind,
+      CASE WHEN n.name IS NOT NULL THEN n.sym_owner WHEN m.model IS NOT NULL THEN s.receiver_type END AS sym_owner,
+      coalesce(n.sym_name, m.member, r.name) AS sym_name,
+      CASE WHEN n.name IS NOT NULL THEN CASE WHEN doubt THEN 'low' ELSE 'high' END WHEN m.model IS NOT NULL OR r.name IS NOT NULL THEN 'high' END AS confidence,
+      CASE WHEN n.name IS NOT NULL THEN 'source' WHEN m.model IS NOT NULL THEN 'active_record' WHEN r.name IS NOT NULL THEN 'route_helper' END AS origin
+    FROM o_sites s LEFT JOIN o_nearest n ON n.receiver_type = s.receiver_type AND n.name = s.name AND n.singleton = s.singleton
+    LEFT JOIN o_model m ON m.model = ltrim(s.receiver_type, ':') AND m.member = s.name
+    LEFT JOIN (SELECT DISTINCT name FROM routes) r ON s.receiver_form = 'none' AND r.name = {_ROUTE.format('s.name')}
+    WHERE coalesce(n.name, m.model, r.name) IS NOT NULL""",
+)
+def resolve_any_receiver(f):
+    """Unions some member of which lacks the method resolve with low confidence."""
+    found = R.resolve_calls(call_sites(f), L.call_targets(call_lookup(f)), f["model_members"], f["routes"]).filter("sym_kind IS NOT NULL")
+    return found.select("uri", "line", "col", "receiver_type", "sym_kind", "sym_owner", "sym_name", "confidence", "origin")
+
+
 @query(
     "c11_find_references",
     "SELECT uri, line, col, sym_owner, sym_name FROM o_refs WHERE sym_kind = 'instance_method' AND sym_name LIKE 'mod_%'",
