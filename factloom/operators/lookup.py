@@ -264,6 +264,26 @@ def availability(requests: DataFrame, found: DataFrame, reasons: DataFrame) -> D
     )
 
 
+def call_availability(requests: DataFrame, found: DataFrame, reasons: DataFrame, class_reasons: DataFrame) -> DataFrame:
+    """receiver_type, name, singleton, state and reason for calls on any receiver.
+
+    ``found`` comes from :func:`lookup_calls`; each member of a receiver has the
+    reason of its own side, and the first member with one speaks for all.
+    """
+    keys = ["receiver_type", "name", "singleton"]
+    known = reasons.withColumn("class_side", F.lit(False)).unionByName(class_reasons.withColumn("class_side", F.lit(True)))
+    members = receiver_members(requests).join(known.withColumn("_known", F.lit(True)), ["receiver", "class_side"], "left")
+    # A receiver without a chain row has no declarations at all.
+    why = F.coalesce("reason", F.when(F.col("_known").isNull(), REASONS[0]))
+    per = members.withColumn("_why", why).groupBy(*keys).agg(F.min_by("_why", F.when(F.col("_why").isNotNull(), F.col("member"))).alias("why"))
+    hits = found.select(*keys).distinct().withColumn("_hit", F.lit(True))
+    judged = requests.select(*keys).distinct().join(per.withColumn("_any", F.lit(True)), keys, "left").join(hits, keys, "left")
+    state = (
+        F.when(F.col("_hit"), "present").when(F.col("_any").isNull() | F.col("why").isNotNull(), "unknown").otherwise("absent"))
+    reason = F.when(F.col("_any").isNull(), "receiver_not_nominal").when(F.col("_hit").isNull(), F.col("why"))
+    return judged.select(*keys, state.alias("state"), reason.alias("reason"))
+
+
 def foreign_ancestors(runtime: DataFrame, object_ancestors: Column) -> DataFrame:
     """name, status, foreign: what a running process adds to a type's ancestors.
 

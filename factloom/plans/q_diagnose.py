@@ -11,7 +11,7 @@ from factloom.operators import rules as I
 from factloom.operators.resolve import constant_receivers, type_index
 from factloom.plans.facts import CHECK_SQL
 from factloom.plans.q_hierarchy import chain
-from factloom.plans.q_lookup import found, heads, reasons, registry, signature_types, symbols
+from factloom.plans.q_lookup import class_reasons, found, heads, reasons, registry, signature_types, symbols
 from factloom.plans.registry import query
 from factloom.session import durable
 
@@ -134,6 +134,21 @@ def lookup_any_receiver(f):
     return call_lookup(f).select("receiver_type", "name", "singleton", "sym_kind", "sym_owner", "sym_name", "rank", "visibility", "conditional")
 
 
+@query(
+    "c9_availability_any_receiver",
+    """WITH w AS (SELECT m.receiver_type, m.name, m.singleton, m.k, CASE WHEN m.class_side THEN CASE WHEN s.receiver IS NULL THEN 'ancestor_not_identified' ELSE s.reason END
+          ELSE CASE WHEN i.receiver IS NULL THEN 'ancestor_not_identified' ELSE i.reason END END AS why
+        FROM o_members m LEFT JOIN o_reason_s s ON s.receiver = m.receiver LEFT JOIN o_reason_i i ON i.receiver = m.receiver),
+    y AS (SELECT receiver_type, name, singleton, arg_min(why, k) FILTER (why IS NOT NULL) AS why FROM w GROUP BY 1, 2, 3)
+    SELECT q.receiver_type, q.name, q.singleton, CASE WHEN t.name IS NOT NULL THEN 'present' WHEN len(ms) = 0 OR why IS NOT NULL THEN 'unknown' ELSE 'absent' END AS state,
+      CASE WHEN len(ms) = 0 THEN 'receiver_not_nominal' WHEN t.name IS NULL THEN why END AS reason
+    FROM o_asked q LEFT JOIN y USING (receiver_type, name, singleton)
+    LEFT JOIN (SELECT DISTINCT receiver_type, name, singleton FROM o_targets) t ON t.receiver_type = q.receiver_type AND t.name = q.name AND t.singleton = q.singleton""",
+)
+def availability_any_receiver(f):
+    return L.call_availability(call_sites(f), call_lookup(f), reasons(f), class_reasons(f))
+
+
 @query(
     "c10_resolve_any_receiver",
     f"""SELECT s.uri, s.line, s.col, s.receiver_type, coalesce(n.sym_kind, m.kind, CASE WHEN r.name IS NOT NULL THEN 'route_helper' END) AS sym_kind,

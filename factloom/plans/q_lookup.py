@@ -141,6 +141,32 @@ def chain_reasons(f):
     return reasons(f)
 
 
+_SYNTHESISED = "('default', 'class_object', 'singleton_of')"
+CHECK_SQL["o_reason_s"] = f"""
+        SELECT c.owner AS receiver, CASE WHEN bool_or(c.name IS NULL) OR min(un) OR NOT min(ro) THEN 'ancestor_not_identified'
+          WHEN bool_or(m.owner IS NOT NULL) THEN 'responds_at_call_time'
+          WHEN bool_or(s.owner IS NOT NULL AND c.origin NOT IN {_SYNTHESISED}) THEN 'surface_open'
+          WHEN min(ud) OR bool_or(c.name IS NOT NULL AND t.name IS NULL AND c.origin NOT IN {_SYNTHESISED} AND g.q IS NULL) THEN 'ancestor_not_declared_anywhere' END AS reason
+        FROM chain_s c JOIN (SELECT x.owner, bool_or(x.name IS NULL) AS un, bool_or(coalesce(x.name = 'BasicObject', false)) AS ro,
+            bool_or(x.name IS NOT NULL AND y.name IS NULL AND x.origin <> 'default' AND z.q IS NULL) AS ud
+          FROM chain_i x LEFT JOIN (SELECT DISTINCT name FROM types) y ON y.name = x.name LEFT JOIN o_signed z ON z.q = '::' || ltrim(x.name, ':') GROUP BY 1) i ON i.owner = c.owner
+        LEFT JOIN (SELECT DISTINCT kind, owner FROM o_methods WHERE name = 'method_missing') m ON m.owner = '::' || ltrim(c.name, ':') AND m.kind = c.decl_side
+        LEFT JOIN (SELECT DISTINCT owner, side FROM open_surfaces) s ON s.owner = c.name AND s.side = CASE WHEN c.origin = 'extend' THEN 'instance' ELSE 'singleton' END
+        LEFT JOIN (SELECT DISTINCT name FROM types) t ON t.name = c.name LEFT JOIN o_signed g ON g.q = '::' || ltrim(c.name, ':') GROUP BY c.owner"""
+
+
+def class_reasons(f):
+    def build():
+        return durable(L.chain_reasons(chain(f), chain(f, singleton=True), True, symbols(f), f["open_surfaces"], signature_types(f)))
+
+    return f.derived("reasons_s", build)
+
+
+@query("c9_class_chain_reasons", "SELECT receiver, reason FROM o_reason_s")
+def class_chain_reasons(f):
+    return class_reasons(f)
+
+
 def registry(f):
     """What a running process reported about the derived types."""
     seen = f.sql(CHECK_SQL["o_runtime"]).select(
@@ -180,6 +206,21 @@ def chain_closed(f):
     return L.closed_chains(reasons(f), chain(f), names)
 
 
+_CLASS_NAMES = f"SELECT DISTINCT ltrim(name, ':') AS name FROM chain_s WHERE name IS NOT NULL AND origin NOT IN {_SYNTHESISED}"
+
+
+@query(
+    "d9_class_chain_closed",
+    f"""WITH o AS (SELECT n.name, CASE WHEN r.name IS NULL THEN true WHEN NOT present THEN false WHEN NOT local THEN true ELSE extra LIKE 'Gem%' END AS reopened
+      FROM ({_CLASS_NAMES}) n LEFT JOIN o_runtime r ON r.name = n.name)
+    SELECT r.receiver, reason IS NULL AND NOT EXISTS (SELECT 1 FROM chain_s c JOIN o ON o.name = ltrim(c.name, ':')
+      WHERE c.owner = r.receiver AND o.reopened AND c.origin NOT IN {_SYNTHESISED}) AS closed FROM o_reason_s r""",
+)
+def class_chain_closed(f):
+    links = chain(f, singleton=True)
+    return L.closed_chains(class_reasons(f), links, L.reopened(links, registry(f), f["types"], signature_types(f)))
+
+
 @query("d13_pending_questions", f"SELECT name FROM ({_NAMES}) WHERE name NOT IN (SELECT name FROM o_runtime)")
 def pending_questions(f):
     return L.pending_questions(chain(f), registry(f))
