@@ -368,9 +368,8 @@ def visible_names(chain: DataFrame, heads: DataFrame, aliases: DataFrame, symbol
     )
 
 
-def completion_members(receivers: DataFrame, visible: DataFrame, limit: int = 50) -> DataFrame:
-    """Completion list of each receiver type: the order of the nearest owners,
-    conditional names of unions last, at most ``limit``.
+def offered_members(receivers: DataFrame, visible: DataFrame) -> DataFrame:
+    """receiver_type, name, conditional: every name that a member of the type offers.
 
     ``receivers``: receiver_type."""
     members = receivers.select("receiver_type").distinct().select(
@@ -378,8 +377,13 @@ def completion_members(receivers: DataFrame, visible: DataFrame, limit: int = 50
     )
     sizes = members.groupBy("receiver_type").agg(F.count(F.lit(1)).alias("n"))
     names = members.join(visible, "receiver").groupBy("receiver_type", "name").agg(F.count(F.lit(1)).alias("have"))
-    flagged = names.join(sizes, "receiver_type").select("receiver_type", "name", (F.col("have") < F.col("n")).alias("conditional"))
-    return top_k(flagged, ["receiver_type"], [F.col("conditional"), F.col("name")], limit)
+    return names.join(sizes, "receiver_type").select("receiver_type", "name", (F.col("have") < F.col("n")).alias("conditional"))
+
+
+def completion_members(receivers: DataFrame, visible: DataFrame, limit: int = 50) -> DataFrame:
+    """Completion list of each receiver type: the first ``limit`` of the offered
+    names, conditional ones of unions last."""
+    return top_k(offered_members(receivers, visible), ["receiver_type"], [F.col("conditional"), F.col("name")], limit)
 
 
 def union_conditionals(members: DataFrame, total: Column) -> DataFrame:

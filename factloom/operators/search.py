@@ -24,43 +24,69 @@ def _grams(text: Column, size: int) -> Column:
     return F.array_distinct(F.concat(*[of(k) for k in range(1, size + 1)]))
 
 
-def workspace_search(queries: DataFrame, declarations: DataFrame, limit: int = SEARCH_LIMIT) -> DataFrame:
-    """qid, rank, and the site of every match: the simple name contains the
-    query whatever its case; exact matches first, then by name and place.
+def _matching_keys(queries: DataFrame, keys: DataFrame) -> DataFrame:
+    """qid, _q, _key: queries (lower case) and the simple names that contain them.
 
-    ``queries``: qid, text. ``declarations``: kind, owner, name, uri, line, col.
-    Queries meet the dictionary of distinct simple names through their rarest
-    run of three characters, and each simple name brings at most ``limit`` sites.
+    A query meets the dictionary of distinct names through its rarest run of three
+    characters.
     """
-    sited = declarations.withColumn("_key", N.simple_name_key("name"))
-    order = [F.coalesce(F.col(c), F.lit("")) if c == "owner" else F.col(c) for c in _SITE]
-    sites = top_k(sited, ["_key"], order, limit).drop("rank")
-    keys = sited.select("_key").distinct().select("_key", F.explode(_grams(F.col("_key"), 3)).alias("_g"))
+    grams = keys.select("_key", F.explode(_grams(F.col("_key"), 3)).alias("_g"))
     asked = queries.select("qid", F.lower("text").alias("_q")).distinct()
     size = F.least(F.length("_q"), F.lit(3))
     starts = F.sequence(F.lit(1), F.length("_q") - size + 1)
     runs = asked.filter("_q <> ''").select("qid", "_q", F.explode(F.transform(starts, lambda i: F.substr(F.col("_q"), i, size))).alias("_g"))
-    frequency = keys.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
+    frequency = grams.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
     rarest = runs.join(frequency, "_g").groupBy("qid", "_q").agg(F.min_by("_g", F.struct("_n", "_g")).alias("_g"))
-    hits = rarest.join(keys, "_g").filter(F.col("_key").contains(F.col("_q"))).select("qid", "_q", "_key")
-    matches = hits.join(sites, "_key").withColumn("_exact", F.when(F.col("_key") == F.col("_q"), 0).otherwise(1))
+    return rarest.join(grams, "_g").filter(F.col("_key").contains(F.col("_q"))).select("qid", "_q", "_key")
+
+
+def workspace_matches(queries: DataFrame, declarations: DataFrame) -> DataFrame:
+    """qid, exact and the site of every match: the simple name contains the query
+    whatever its case. ``queries``: qid, text; ``declarations``: kind, owner, name,
+    uri, line, col."""
+    sited = declarations.withColumn("_key", N.simple_name_key("name"))
+    hits = _matching_keys(queries, sited.select("_key").distinct())
+    return hits.join(sited, "_key").select("qid", (F.col("_key") == F.col("_q")).alias("exact"), *_SITE)
+
+
+def workspace_search(queries: DataFrame, declarations: DataFrame, limit: int = SEARCH_LIMIT) -> DataFrame:
+    """qid, rank and the site of the first ``limit`` matches: exact ones first, then
+    by name and place. Each simple name brings at most ``limit`` sites."""
+    sited = declarations.withColumn("_key", N.simple_name_key("name"))
+    order = [F.coalesce(F.col(c), F.lit("")) if c == "owner" else F.col(c) for c in _SITE]
+    sites = top_k(sited, ["_key"], order, limit).drop("rank")
+    matches = _matching_keys(queries, sited.select("_key").distinct()).join(sites, "_key").withColumn(
+        "_exact", F.when(F.col("_key") == F.col("_q"), 0).otherwise(1))
     return top_k(matches.drop("_q"), ["qid"], [F.col("_exact"), *order], limit).select("qid", "rank", *_SITE)
 
 
-def prefix_search(queries: DataFrame, symbols: DataFrame, kinds: Sequence[str], limit: int) -> DataFrame:
-    """qid, rank, name, kind, owner of symbols whose simple name starts with the
-    query: exact first, then name, kind, owner."""
-    keyed = symbols.filter(F.col("kind").isin(*kinds)).select("name", "kind", "owner").distinct().withColumn("_key", N.simple_name_key("name"))
-    order = [F.col("name"), F.col("kind"), F.coalesce("owner", F.lit(""))]
-    best = top_k(keyed, ["_key"], order, limit).drop("rank")
+def _prefixed(queries: DataFrame, keyed: DataFrame) -> DataFrame:
+    """qid, _q, _key: queries (lower case) and the simple names that start with them."""
     key = F.col("_key")
     heads = F.transform(F.sequence(F.lit(1), F.length(key)), lambda k: F.substr(key, F.lit(1), k))
     prefixes = keyed.select("_key").distinct().select("_key", F.explode(heads).alias("_q"))
-    hits = queries.select("qid", F.lower("text").alias("_q")).distinct().join(prefixes, "_q").join(best, "_key")
-    exact = F.when(key == F.col("_q"), 0).otherwise(1)
-    return top_k(hits.withColumn("_exact", exact).drop("_q"), ["qid"], [F.col("_exact"), *order], limit).select(
-        "qid", "rank", "name", "kind", "owner"
-    )
+    return queries.select("qid", F.lower("text").alias("_q")).distinct().join(prefixes, "_q")
+
+
+def _keyed(symbols: DataFrame, kinds: Sequence[str]) -> DataFrame:
+    return symbols.filter(F.col("kind").isin(*kinds)).select("name", "kind", "owner").distinct().withColumn("_key", N.simple_name_key("name"))
+
+
+def prefix_matches(queries: DataFrame, symbols: DataFrame, kinds: Sequence[str]) -> DataFrame:
+    """qid, exact, name, kind, owner of every symbol whose simple name starts with the query."""
+    keyed = _keyed(symbols, kinds)
+    return _prefixed(queries, keyed).join(keyed, "_key").select("qid", (F.col("_key") == F.col("_q")).alias("exact"), "name", "kind", "owner")
+
+
+def prefix_search(queries: DataFrame, symbols: DataFrame, kinds: Sequence[str], limit: int) -> DataFrame:
+    """qid, rank, name, kind, owner of the first ``limit`` symbols whose simple name
+    starts with the query: exact first, then name, kind, owner."""
+    keyed = _keyed(symbols, kinds)
+    order = [F.col("name"), F.col("kind"), F.coalesce("owner", F.lit(""))]
+    best = top_k(keyed, ["_key"], order, limit).drop("rank")
+    exact = F.when(F.col("_key") == F.col("_q"), 0).otherwise(1)
+    hits = _prefixed(queries, keyed).join(best, "_key").withColumn("_exact", exact).drop("_q")
+    return top_k(hits, ["qid"], [F.col("_exact"), *order], limit).select("qid", "rank", "name", "kind", "owner")
 
 
 def find_by_simple_name(queries: DataFrame, types: DataFrame) -> DataFrame:

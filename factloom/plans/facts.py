@@ -155,6 +155,8 @@ FACT_SQL: dict[str, str] = {
         SELECT DISTINCT 'instance_method' AS kind, '::Kernel' AS owner, replace(p_name, ' ', '_') || '_missing' AS name
         FROM part WHERE p_name LIKE 'red%'
         UNION ALL SELECT 'instance_method', '::M' || n_nationkey, 'blue_bolt_missing' FROM nation""",
+    # Types that signatures declare: the roots, and one outside library.
+    "signature_types": "SELECT name FROM (VALUES ('Object'), ('Kernel'), ('BasicObject'), ('Class'), ('Module'), ('Ext0')) v(name)",
     # --- traces ---------------------------------------------------------------
     "trace_events": """
         SELECT user_id AS fiber, event_id AS seq, ts,

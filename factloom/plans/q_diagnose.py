@@ -254,7 +254,8 @@ _REQUESTS = """SELECT DISTINCT kind || owner || name AS request_id, kind, owner,
     CASE WHEN line % 4 = 0 THEN 'bad name' WHEN line % 4 = 1 THEN 'old_bolt' ELSE 'renamed_' || name END AS new_name
   FROM (SELECT kind, owner, name, min(line) AS line FROM declarations GROUP BY kind, owner, name) d
   UNION ALL SELECT 'route' || name, 'route_helper', NULL, name, 'other' FROM routes WHERE verb = 'GET'
-  UNION ALL SELECT 'type' || name, 'class', NULL, name, CASE WHEN line % 3 = 0 THEN 'K1' ELSE 'Renamed' END FROM types WHERE name LIKE '::K%'"""
+  UNION ALL SELECT 'type' || name, 'class', NULL, name, CASE WHEN line % 3 = 0 THEN 'K1' ELSE 'Renamed' END
+    FROM (SELECT name, min(line) AS line FROM types WHERE kind = 'class' GROUP BY name) t"""
 
 
 @query(
@@ -266,7 +267,7 @@ _REQUESTS = """SELECT DISTINCT kind || owner || name AS request_id, kind, owner,
     j AS (SELECT q.*, CASE WHEN q.kind = 'route_helper' THEN 'generated by the framework'
         WHEN NOT regexp_matches(new_name, CASE WHEN q.kind = 'class' THEN '^[A-Z][a-zA-Z0-9_]*$' ELSE '^[a-z_][a-zA-Z0-9_]*[?!=]?$' END) THEN 'not a valid ' || q.kind || ' name'
         WHEN g.name IS NOT NULL THEN 'declared by a macro'
-        WHEN q.kind = 'class' AND '::' || new_name IN (SELECT name FROM types) THEN 'type exists: ::' || new_name
+        WHEN q.kind = 'class' AND regexp_replace(q.name, '[^:]+$', '') || new_name IN (SELECT name FROM types) THEN 'type exists: ' || regexp_replace(q.name, '[^:]+$', '') || new_name
         WHEN s.name IS NOT NULL THEN 'already declared: ' || q.owner || '#' || new_name END AS warning
       FROM q LEFT JOIN g ON g.kind = q.kind AND g.owner = q.owner AND g.name = q.name
       LEFT JOIN s ON s.kind = q.kind AND s.owner = q.owner AND s.name = q.new_name),

@@ -141,7 +141,7 @@ def return_type_propagation(f):
 @query(
     "d12_document_outline",
     """WITH d AS (SELECT uri, line, kind, name, owner FROM (SELECT uri, line, kind, name, CAST(NULL AS VARCHAR) AS owner FROM types
-        WHERE name LIKE '::K%' UNION ALL SELECT uri, line, kind, name, owner FROM declarations))
+        UNION ALL SELECT uri, line, kind, name, owner FROM declarations))
     SELECT c.uri, c.line, string_split(c.name, '::')[-1] AS name, CASE c.kind WHEN 'module' THEN 2 WHEN 'class' THEN 5 WHEN 'constant' THEN 14 ELSE 6 END AS kind_code,
       CASE WHEN c.owner IS NULL THEN 0 ELSE 1 END AS depth,
       CASE WHEN c.owner IS NULL THEN '' ELSE p.name || '/' END || c.name AS path
@@ -149,6 +149,6 @@ def return_type_propagation(f):
     WHERE c.owner IS NULL OR p.name IS NOT NULL""",
 )
 def document_outline(f):
-    declarations = f.sql("""SELECT uri, line, kind, name, CAST(NULL AS STRING) AS owner FROM types WHERE name LIKE '::K%'
+    declarations = f.sql("""SELECT uri, line, kind, name, CAST(NULL AS STRING) AS owner FROM types
       UNION ALL SELECT uri, line, kind, name, owner FROM declarations""")
     return G.outline(declarations)

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from factloom.functions import typeexpr as X
 from factloom.operators import lookup as L
-from factloom.operators.hierarchy import OBJECT_TAIL
 from factloom.plans.facts import CHECK_SQL
 from factloom.plans.q_hierarchy import chain
 from factloom.plans.registry import query
@@ -63,9 +62,7 @@ def found(f):
 
 
 def signature_types(f):
-    """Types a signature set declares: the roots, and one outside library."""
-    names = [n for n, _ in OBJECT_TAIL] + ["Class", "Module", "Ext0"]
-    return f["region"].limit(1).select(F.explode(F.array(*[F.lit(n) for n in names])).alias("name"))
+    return f["signature_types"]
 
 
 def symbols(f):
@@ -255,6 +252,17 @@ def completion_members(f):
     return L.completion_members(f.sql(_RECEIVERS), visible(f))
 
 
+@query(
+    "g3_all_members",
+    f"""WITH m AS (SELECT receiver_type, unnest(string_split(receiver_type, ' | ')) AS receiver FROM ({_RECEIVERS})),
+    s AS (SELECT receiver_type, count(*) AS n FROM m GROUP BY 1)
+    SELECT receiver_type, name, count(*) < min(n) AS conditional FROM m JOIN o_visible USING (receiver) JOIN s USING (receiver_type) GROUP BY 1, 2""",
+)
+def all_members(f):
+    """Every name a receiver offers, uncut."""
+    return L.offered_members(f.sql(_RECEIVERS), visible(f))
+
+
 _MEMBERS = """SELECT '::K' || c_custkey AS receiver, n AS name, o AS origin, c_custkey % 7 = 0 AS conditional FROM customer,
   (SELECT 'id' AS n, 'model_column' AS o UNION ALL SELECT 'name', 'model_column' UNION ALL SELECT 'orders', 'model_association' UNION ALL SELECT 'orders', 'model_column'
    UNION ALL SELECT 'save', 'model_api' UNION ALL SELECT 'id', 'model_api' UNION ALL SELECT 'to_s', 'signature' UNION ALL SELECT 'name', 'signature') v"""

@@ -40,6 +40,24 @@ def prefix_search(f):
     return S.prefix_search(_q(f), f.sql(_SYMBOLS), ("class", "module", "instance_method"), 20)
 
 
+@query(
+    "g1_all_matches",
+    f"""WITH q AS ({_QUERIES}), s AS (SELECT *, lower(string_split(name, '::')[-1]) AS k FROM ({_SYMBOLS}))
+    SELECT q.text AS qid, k = lower(q.text) AS exact, name, uri, line, col, kind, owner FROM q JOIN s ON contains(k, lower(q.text))""",
+)
+def workspace_matches(f):
+    return S.workspace_matches(_q(f), f.sql(_SYMBOLS))
+
+
+@query(
+    "g2_all_matches",
+    f"""WITH q AS ({_QUERIES}), s AS (SELECT DISTINCT name, kind, owner, lower(string_split(name, '::')[-1]) AS k FROM ({_SYMBOLS}) WHERE kind IN ('class', 'module', 'instance_method'))
+    SELECT q.text AS qid, k = lower(q.text) AS exact, name, kind, owner FROM q JOIN s ON starts_with(k, lower(q.text))""",
+)
+def prefix_matches(f):
+    return S.prefix_matches(_q(f), f.sql(_SYMBOLS), ("class", "module", "instance_method"))
+
+
 _ITEMS = """SELECT 'k' || l_suppkey AS qid, replace(p_name, ' ', '_') AS label, 'method' AS kind, 1 AS grp FROM lineitem JOIN part ON l_partkey = p_partkey
   UNION ALL SELECT 'k' || l_suppkey, 'v' || (l_partkey % 7), 'variable', 0 FROM lineitem
   UNION ALL SELECT 'k' || l_suppkey, 'K' || (l_partkey % 11), 'class', 2 FROM lineitem

@@ -172,6 +172,20 @@ def retain_entries(f):
     return per.select("store", "n", (F.col("_k") >= F.least("n", F.lit(S.KEEP_ENTRIES))).alias("filled"))
 
 
+@query(
+    "a12_retain_entries_rows",
+    """SELECT l_suppkey % 3 AS store, l_orderkey * 10 + l_linenumber AS entry,
+      rank() OVER (PARTITION BY l_suppkey % 3 ORDER BY l_shipdate DESC, l_orderkey * 10 + l_linenumber DESC) <= 500 AS keep FROM lineitem""",
+)
+def retain_entries_rows(f):
+    """A limit below the size of every store, entry by entry."""
+    entries = f["lineitem"].select(
+        (F.col("l_suppkey") % 3).alias("store"), F.col("l_shipdate").alias("mtime"),
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("entry"),
+    )
+    return S.retain_entries(entries, 500).select("store", "entry", "keep")
+
+
 _SCOPES = """SELECT 'sc' || o_orderkey AS scope, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE 'w' || o_custkey END AS workspace,
   CAST(floor(o_totalprice * 10) AS BIGINT) AS mtime, o_orderkey % 100 = 1 AS is_current FROM orders"""
 

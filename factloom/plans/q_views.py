@@ -132,13 +132,13 @@ def inventory_except(f):
 
 @query(
     "h2_names_except",
-    """SELECT DISTINCT owner, name FROM declarations d WHERE kind = 'instance_method' AND owner LIKE '::K%'
+    """SELECT DISTINCT owner, name FROM declarations d WHERE kind = 'instance_method'
       AND NOT EXISTS (SELECT 1 FROM declarations b WHERE b.kind = 'instance_method' AND b.owner = '::K0' AND b.name = d.name)""",
 )
 def names_except(f):
     methods = f["declarations"].filter("kind = 'instance_method'")
     base = methods.filter("owner = '::K0'").select("name").distinct()
-    return methods.filter("owner LIKE '::K%'").select("owner", "name").distinct().join(base, "name", "left_anti").select("owner", "name")
+    return methods.select("owner", "name").distinct().join(base, "name", "left_anti").select("owner", "name")
 
 
 # Recorded verdicts: one per document for the first site, some of them wrong.
