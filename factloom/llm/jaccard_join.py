@@ -199,8 +199,14 @@ def _prefix_rows(buckets: int):
     return run
 
 
-def _queries(percent: int):
-    """Query classes and the groups of others that share one of their prefix tokens."""
+def _queries(percent: int, alone: bool):
+    """Query classes and the groups of others that share one of their prefix tokens.
+
+    Per token the members of a group count as one, by the range of their sizes and the
+    most that any of them has left; so a token of one large group costs a row for each
+    outsider. The member of the smaller group asks. Two groups of one member meet only
+    if ``alone``.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         tokens, fields = [], []
@@ -212,27 +218,31 @@ def _queries(percent: int):
         cls, group, size, n, step = (np.concatenate(c) for c in zip(*fields, strict=True))
         # All that a pair shares lies from its first shared token on, in both sets.
         left = n - -(-step.astype(np.int64) * n // _STEPS)
-        order = np.lexsort((cls, n, token))
+        order = np.lexsort((cls, group, token))
         token, cls, group, size, n, left = (x[order] for x in (token, cls, group, size, n, left))
-        edges = np.flatnonzero(np.diff(token)) + 1
-        starts, ends = np.concatenate([[0], edges]), np.concatenate([edges, [len(token)]])
+        head = np.ones(len(token), bool)
+        head[1:] = (token[1:] != token[:-1]) | (group[1:] != group[:-1])
+        at = np.flatnonzero(head)
+        if not len(at):
+            return pa.table({"cls": pa.array([], pa.int64()), "group": pa.array([], pa.int64())})
+        least, most, rest = np.minimum.reduceat(n, at), np.maximum.reduceat(n, at), np.maximum.reduceat(left, at)
+        groups, sizes = group[at], size[at]
         wanted = [np.zeros((0, 2), np.int64)]
-        low, high = (np.minimum.reduceat(group, starts), np.maximum.reduceat(group, starts)) if len(token) else (group, group)
-        for lo, hi in zip(starts[low < high].tolist(), ends[low < high].tolist(), strict=True):
-            # Of each run the members in the order of their set size; partners are near in size.
-            reach = np.searchsorted(n[lo:hi], -(-percent * n[lo:hi] // 100)) + lo
-            for at in range(lo + 1, hi):
-                partners = np.arange(reach[at - lo], at)
-                need = percent * (n[partners] + n[at])
-                enough = (100 + percent) * np.minimum(left[partners], left[at]) >= need
-                partners = partners[(group[partners] != group[at]) & enough]
-                if not len(partners):
+        edges = np.flatnonzero(np.diff(token)) + 1
+        bounds = np.concatenate([[0], edges, [len(token)]])
+        firsts = np.searchsorted(at, bounds)
+        for lo, hi, low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist(), firsts[:-1].tolist(), firsts[1:].tolist(), strict=True):
+            if high - low < 2:
+                continue
+            for g in range(low, high):
+                if sizes[g] < 2 and not alone:
                     continue
-                # The member of the smaller group asks.
-                ask = (size[partners] < size[at]) | ((size[partners] == size[at]) & (group[partners] < group[at]))
-                wanted.append(np.stack([cls[partners[ask]], np.full(int(ask.sum()), group[at])], axis=1))
-                others = np.unique(group[partners[~ask]])
-                wanted.append(np.stack([np.full(len(others), cls[at]), others], axis=1))
+                asks = (size[lo:hi] < sizes[g]) | ((size[lo:hi] == sizes[g]) & (group[lo:hi] < groups[g]))
+                near = (100 * most[g] >= percent * n[lo:hi]) & (percent * least[g] <= 100 * n[lo:hi])
+                enough = (100 + percent) * np.minimum(left[lo:hi], rest[g]) >= percent * (n[lo:hi] + least[g])
+                found = cls[lo:hi][asks & near & enough]
+                if len(found):
+                    wanted.append(np.stack([found, np.full(len(found), groups[g])], axis=1))
             if len(wanted) > 10_000:
                 wanted = [np.unique(np.concatenate(wanted), axis=0)]
         pairs = np.unique(np.concatenate(wanted), axis=0)
@@ -273,27 +283,27 @@ def linked(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "text
     dealt = dealt.union(dealt.select("lead", F.col("lead").alias("cls"), "part").distinct())
     edges = durable(with_texts(dealt).groupBy("lead", "part").applyInArrow(_held_against_leader(words, percent), "a long, b long"))
 
-    grouped = components(edges)
-    group_sizes = grouped.groupBy(F.col("component").alias("group")).agg(F.count("*").alias("size"))
-    grouped = durable(grouped.select(F.col("node").alias("cls"), F.col("component").alias("group")).join(group_sizes, "group"))
-    classes_in = classes.select("cls", "n", "prefix").join(grouped, "cls", "left").select(
-        "cls", "n", "prefix", F.coalesce("group", "cls").alias("group"), F.coalesce("size", F.lit(1)).alias("size"))
+    # Classes that a leader has missed ask the groups first; only those that no group
+    # takes are then held against each other.
     buckets = bucket_count(rows, "text")
-    asked = durable(
-        classes_in.select("cls", "group", "size", "n", "prefix")
-        .mapInArrow(_prefix_rows(buckets), "bucket int, classes binary, tokens binary")
-        .groupBy("bucket").applyInArrow(_queries(percent), "cls long, group long").distinct())
-    classes_in = classes.select("cls").join(grouped, "cls", "left").select(
-        "cls", F.coalesce("group", "cls").alias("group"), F.coalesce("size", F.lit(1)).alias("size"))
-
-    block = F.pmod(F.hash("cls"), F.ceil(F.col("size") / BLOCK).cast("int")).alias("block")
-    members = classes_in.join(asked.select("group").distinct(), "group")
-    blocks = members.select("group", block).distinct()
-    matrix = members.select("group", "cls", block, F.lit(False).alias("query")).union(
-        asked.join(blocks, "group").select("group", "cls", "block", F.lit(True)))
-    across = with_texts(matrix).groupBy("group", "block").applyInArrow(_opened(words, percent), "a long, b long")
+    for alone in (False, True):
+        grouped = components(edges)
+        group_sizes = grouped.groupBy(F.col("component").alias("group")).agg(F.count("*").alias("size"))
+        grouped = durable(grouped.select(F.col("node").alias("cls"), F.col("component").alias("group")).join(group_sizes, "group"))
+        of_group = [F.coalesce("group", "cls").alias("group"), F.coalesce("size", F.lit(1)).alias("size")]
+        classes_in = classes.select("cls", "n", "prefix").join(grouped, "cls", "left").select("cls", *of_group, "n", "prefix")
+        asked = durable(
+            classes_in.mapInArrow(_prefix_rows(buckets), "bucket int, classes binary, tokens binary")
+            .groupBy("bucket").applyInArrow(_queries(percent, alone), "cls long, group long").distinct())
+        block = F.pmod(F.hash("cls"), F.ceil(F.col("size") / BLOCK).cast("int")).alias("block")
+        members = classes.select("cls").join(grouped, "cls", "left").select("cls", *of_group).join(asked.select("group").distinct(), "group")
+        blocks = members.select("group", block).distinct()
+        matrix = members.select("group", "cls", block, F.lit(False).alias("query")).union(
+            asked.join(blocks, "group").select("group", "cls", "block", F.lit(True)))
+        across = durable(with_texts(matrix).groupBy("group", "block").applyInArrow(_opened(words, percent), "a long, b long"))
+        edges = edges.union(across)
     # A group is named by one of its members.
-    everything = components(edges.union(across))
+    everything = components(edges)
     named = classes.join(everything.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     lowest = named.groupBy("component").agg(F.min("low").alias("component_id"))
     found = named.select(*same_set, "component").join(lowest, "component").select(*same_set, "component_id", F.col("component").alias("_class"))
