@@ -134,6 +134,23 @@ def route_table(routes: DataFrame) -> DataFrame:
     )
 
 
+def route_helpers(facts: DataFrame) -> DataFrame:
+    """One row per helper: name, path_helper, url_helper, required_parts, optional_parts,
+    place and targets.
+
+    ``facts`` (decoded routes): ordinal, name, verb, required_parts, optional_parts,
+    controller, action, path, line. Parts and place are those of the first fact of a
+    name, the place null unless it has a path and a line; the targets are distinct,
+    GET first and then in input order.
+    """
+    placed = F.when((F.length("path") > 0) & F.col("line").isNotNull(), F.struct("path", "line"))
+    empty = F.array().cast("array<string>")
+    first = F.struct(F.coalesce("required_parts", empty).alias("required_parts"), F.coalesce("optional_parts", empty).alias("optional_parts"), placed.alias("place"))
+    heads = facts.filter(F.length("name") > 0).groupBy("name").agg(F.min_by(first, "ordinal").alias("f"))
+    tables = route_table(facts.withColumn("part", F.lit(None).cast("string"))).drop("part")
+    return tables.join(heads, "name").select("name", "path_helper", "url_helper", "f.*", "targets")
+
+
 def route_definitions(table: DataFrame, methods: DataFrame, sources: DataFrame) -> DataFrame:
     """name, uri, line: where a helper is defined and the actions it leads to.
 

@@ -14,6 +14,7 @@ from factloom.plans.q_hierarchy import chain
 from factloom.plans.q_lookup import class_reasons, found, heads, reasons, registry, signature_types, symbols
 from factloom.plans.registry import query
 from factloom.session import durable
+from factloom.sources import ingest
 
 _ROUTE = "regexp_extract({0}, '^(.+)_(?:path|url)$', 1)"
 CHECK_SQL.update({
@@ -241,6 +242,31 @@ def route_table_orders(f):
     return route_table_text(R.route_table(facts)).select("name", "part", "targets")
 
 
+# Route payloads as an agent sends them: parts, and places of which some are unusable.
+_ROUTE_JSON = """SELECT o_orderkey AS ordinal, '{"name":"' || CASE WHEN o_orderkey % 50 = 0 THEN '' ELSE 'r' || o_custkey END || '","verb":"' || CASE WHEN o_orderkey % 3 = 0 THEN 'GET' ELSE 'POST' END
+  || '","requiredParts":["p' || o_orderkey || '","id"],' || CASE WHEN o_orderkey % 2 = 0 THEN '"optionalParts":["format"],' ELSE '' END
+  || '"defaults":{"controller":"c' || (o_orderkey % 2) || '","action":"a' || (o_orderkey % 5) || '"},"sourceLocation":{"path":"' || CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE 'config/routes.rb' END || '"'
+  || CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE ',"line":' || (o_orderkey % 900) END || '}}' AS payload FROM orders"""
+
+
+@query(
+    "e5_route_helpers",
+    """WITH r AS (SELECT 'r' || o_custkey AS name, o_orderkey AS ordinal, CASE WHEN o_orderkey % 3 = 0 THEN 'GET' ELSE 'POST' END AS verb, 'c' || (o_orderkey % 2) AS controller,
+        'a' || (o_orderkey % 5) AS action FROM orders WHERE o_orderkey % 50 > 0),
+    h AS (SELECT name, min(ordinal) AS k FROM r GROUP BY name),
+    d AS (SELECT name, controller, action, verb, min(ordinal) AS ordinal FROM r GROUP BY 1, 2, 3, 4),
+    t AS (SELECT name, string_agg(controller || '#' || action || ' ' || verb, ',' ORDER BY CASE verb WHEN 'GET' THEN 0 ELSE 1 END, ordinal) AS targets FROM d GROUP BY 1)
+    SELECT name, name || '_path' AS path_helper, name || '_url' AS url_helper, 'p' || k || ',id' AS required_parts, CASE WHEN k % 2 = 0 THEN 'format' ELSE '' END AS optional_parts,
+      CASE WHEN k % 7 > 0 AND k % 5 > 0 THEN 'config/routes.rb:' || (k % 900) END AS place, targets FROM h JOIN t USING (name)""",
+)
+def route_helpers(f):
+    """From payloads to helpers, with the place a definition jumps to."""
+    routes, _ = ingest.route_facts(f.sql(_ROUTE_JSON))
+    table = route_table_text(R.route_helpers(routes))
+    place = F.concat("place.path", F.lit(":"), F.col("place.line").cast("string"))
+    return table.withColumns({"required_parts": F.array_join("required_parts", ","), "optional_parts": F.array_join("optional_parts", ","), "place": place})
+
+
 def route_table_text(table):
     return table.withColumn(
         "targets",
