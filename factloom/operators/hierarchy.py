@@ -14,6 +14,7 @@ A chain is then ``supers JOIN blocks``, ordered by key, first occurrence kept.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -63,7 +64,7 @@ class Hierarchy:
     ends: DataFrame  # node -> what follows it: 'object' or 'unidentified'
     mixins: DataFrame  # owner, slot, target (null when unidentified), origin
     extends: DataFrame  # the same for the singleton side
-    class_methods: DataFrame  # what reached concerns add to the singleton side
+    class_methods: Callable[[], DataFrame]  # what reached concerns add to the singleton side, made when asked for
 
 
 def latest_superclass(links: DataFrame) -> DataFrame:
@@ -125,12 +126,15 @@ def build(facts: DataFrame, types: DataFrame, index: TypeIndex) -> Hierarchy:
     mixed = links.filter(F.col("relation").isin("prepend", "include", "extend"))
     slotted = _slots(mixed).select("owner", "slot", F.col("linked").alias("target"), F.col("relation").alias("origin"))
     slotted = durable(slotted)
-    class_methods = (
-        concern_targets(links)
-        .withColumn("target", F.concat("concern", F.lit("::ClassMethods")))
-        .join(kinds.select(F.col("name").alias("target")), "target", "left_semi")
-        .select("owner", (F.col("ord") + 1_000_000).cast("int").alias("slot"), "target", F.lit("extend").alias("origin"))
-    )
+
+    def class_methods() -> DataFrame:
+        return (
+            concern_targets(links)
+            .withColumn("target", F.concat("concern", F.lit("::ClassMethods")))
+            .join(kinds.select(F.col("name").alias("target")), "target", "left_semi")
+            .select("owner", (F.col("ord") + 1_000_000).cast("int").alias("slot"), "target", F.lit("extend").alias("origin"))
+        )
+
     return Hierarchy(
         types=kinds,
         superclass=superclass,
@@ -206,9 +210,6 @@ def superclass_closure(superclass: DataFrame) -> DataFrame:
     reach = 1
     while True:
         hop = jumps.select(F.col("node").alias("n"), F.col("to").alias("m"))
-        two = hop.join(jumps.select(F.col("node").alias("m"), "to"), "m").select(F.col("n").alias("node"), "to")
-        seen = pairs.select("node", F.col("anc").alias("to"))
-        jumps2 = durable(two.join(seen, ["node", "to"], "left_anti"))
         extended = hop.join(
             pairs.filter(F.col("dist") > 0).select(F.col("node").alias("m"), "dist", "anc"), "m"
         ).select(F.col("n").alias("node"), (F.col("dist") + reach).alias("dist"), "anc")
@@ -217,7 +218,8 @@ def superclass_closure(superclass: DataFrame) -> DataFrame:
             .groupBy("node", "anc").agg(F.min("dist").alias("dist"))
         )
         reach *= 2
-        jumps = jumps2
+        # A chain reaches as far as it can once nobody is that far from its start.
+        jumps = pairs.filter(F.col("dist") == reach).select("node", F.col("anc").alias("to"))
         if jumps.isEmpty():
             return pairs
 
@@ -389,7 +391,7 @@ def linearize(h: Hierarchy, roots: DataFrame | None = None, singleton: bool = Fa
             F.col("node").alias("root"), F.coalesce("dist", F.lit(0)).alias("dist"), F.coalesce("anc", "node").alias("anc")
         )
     )
-    start = h.extends.unionByName(h.class_methods) if singleton else h.mixins
+    start = h.extends.unionByName(h.class_methods()) if singleton else h.mixins
     blocks = expand_blocks(h, start, closure, instance_path=not singleton)
 
     own = lines.select(
