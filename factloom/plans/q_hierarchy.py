@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from factloom.operators import graph as G
 from factloom.operators import hierarchy as H
 from factloom.operators.resolve import type_index
+from factloom.plans.facts import CHECK_SQL
 from factloom.plans.registry import query
 from factloom.session import durable
 
@@ -118,9 +119,7 @@ _TREE_LITERALS = """SELECT 'p' || p_partkey AS symbol_id, CASE p_partkey % 3 WHE
 _TREE_METHODS = "SELECT 'p' || p_partkey AS symbol_id, CAST(1 + p_size % 2 AS BIGINT) AS n_sites FROM part"
 
 
-@query(
-    "d11_return_type_propagation",
-    f"""WITH RECURSIVE e AS ({_TREE_EDGES}), l AS ({_TREE_LITERALS}), m AS ({_TREE_METHODS}),
+CHECK_SQL["o_returns"] = f"""WITH RECURSIVE e AS ({_TREE_EDGES}), l AS ({_TREE_LITERALS}), m AS ({_TREE_METHODS}),
     w AS (SELECT symbol_id AS root, symbol_id AS cur, 0 AS depth, [symbol_id] AS path, CAST(NULL AS VARCHAR) AS why FROM m
       UNION ALL SELECT root, callee, depth + 1, list_append(path, callee),
         CASE WHEN list_contains(path, callee) THEN 'recursive_widened' WHEN depth + 1 >= 12 THEN 'timeout'
@@ -132,10 +131,18 @@ _TREE_METHODS = "SELECT 'p' || p_partkey AS symbol_id, CAST(1 + p_size % 2 AS BI
     SELECT m.symbol_id, coalesce(return_type, 'Unknown') AS return_type,
       CASE WHEN coalesce(to_, false) THEN 'timeout' WHEN coalesce(rec, false) THEN 'recursive_widened' ELSE 'complete' END AS status,
       CASE WHEN bad > 0 OR n_sites > 1 THEN 'low' ELSE 'high' END AS confidence
-    FROM m JOIN s ON s.root = symbol_id LEFT JOIN u ON u.root = symbol_id""",
-)
+    FROM m JOIN s ON s.root = symbol_id LEFT JOIN u ON u.root = symbol_id"""
+
+
+def returns(f):
+    """What methods return, by propagation over the call trees."""
+    build = lambda: durable(G.propagate_return_types(f.sql(_TREE_METHODS), f.sql(_TREE_EDGES), f.sql(_TREE_LITERALS)))
+    return f.derived("returns", build)
+
+
+@query("d11_return_type_propagation", "SELECT symbol_id, return_type, status, confidence FROM o_returns")
 def return_type_propagation(f):
-    return G.propagate_return_types(f.sql(_TREE_METHODS), f.sql(_TREE_EDGES), f.sql(_TREE_LITERALS))
+    return returns(f)
 
 
 @query(
