@@ -17,7 +17,7 @@ def nested(depth):
 
 TYPES = [
     (USER, "User"), ({"kind": "unknown"}, "Unknown"), ({"kind": "type_parameter", "name": "T"}, "T"),
-    (nested(7), "Array[" * 7 + "User" + "]" * 7), (nested(40), "Array[" * 40 + "User" + "]" * 40),
+    (nested(7), "Array[" * 7 + "User" + "]" * 7), (nested(12), "Array[" * 12 + "User" + "]" * 12),
     ({"kind": "union", "members": [generic("Hash", {"kind": "union", "members": [USER, NIL]}), NIL]}, "Hash[User | nil] | nil"),
     ({"kind": "proc", "parameters": [USER, nested(2)], "return_type": {"kind": "proc", "return_type": NIL}}, "(User, Array[Array[User]]) -> () -> nil"),
     ({"kind": "proc", "parameters": None, "return_type": NIL}, "() -> nil"),
