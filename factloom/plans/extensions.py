@@ -5,7 +5,8 @@ Both are DataFrames in and DataFrames out; nothing runs per row in Python.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame
 
@@ -45,3 +46,23 @@ def plugin_findings(facts) -> DataFrame | None:
 def clear() -> None:
     _RULES.clear()
     _DIAGNOSTICS.clear()
+
+
+@contextmanager
+def plugin(rules: DataFrame | None = None, **diagnostics: Callable[[object], DataFrame]) -> Iterator[None]:
+    """Registered inside, and only there: what one plugin adds to a session."""
+    before = list(_RULES), dict(_DIAGNOSTICS)
+    if rules is not None:
+        register_rules(rules)
+    for name, build in diagnostics.items():
+        register_diagnostic(name, build)
+    try:
+        yield
+    finally:
+        clear()
+        _RULES.extend(before[0])
+        _DIAGNOSTICS.update(before[1])
+
+
+def diagnostic_names() -> tuple[str, ...]:
+    return tuple(sorted(_DIAGNOSTICS))

@@ -9,6 +9,7 @@ from factloom.operators import lookup as L
 from factloom.operators import references as R
 from factloom.operators import rules as I
 from factloom.operators.resolve import constant_receivers, type_index
+from factloom.plans import extensions
 from factloom.plans.facts import CHECK_SQL
 from factloom.plans.q_hierarchy import chain
 from factloom.plans.q_lookup import class_reasons, found, heads, reasons, registry, signature_types, symbols
@@ -471,12 +472,14 @@ def diagnostics_context(f):
 
 
 def findings(f, mode="standard"):
+    """The findings of all rules and of the diagnostics that plugins have registered."""
     def build():
         syntax = I.syntax_errors(f.sql(_SYNTAX))
         rules = [unknown_method(f), unresolved_constant(f), unknown_route_helper(f), argument_count(f), argument_rows(f)]
-        return durable(I.combine(syntax, rules, mode))
+        added = extensions.plugin_findings(f)
+        return durable(I.combine(syntax, [*rules, *([added] if added is not None else [])], mode))
 
-    return f.derived(f"findings_{mode}", build)
+    return f.derived("_".join(("findings", mode, *extensions.diagnostic_names())), build)
 
 
 CHECK_SQL["o_findings"] = f"""
@@ -506,3 +509,21 @@ def findings_compare(f):
 )
 def finding_budget(f):
     return I.within_budget(findings(f), 2).select(*I.FINDING, "rank")
+
+
+def many_parameters(f):
+    """A diagnostic as a plugin brings it: methods that take three values or more."""
+    long = f["declarations"].filter("n_required + n_optional >= 3")
+    return long.select(
+        "uri", "line", "col", F.lit("plugin-many-parameters").alias("code"), F.concat("owner", F.lit("#"), "name").alias("message"),
+        F.lit("information").alias("severity"), F.lit("low").alias("confidence"))
+
+
+@query(
+    "e8_plugin_findings",
+    f"""SELECT {_F} FROM o_findings UNION ALL SELECT uri, line, col, 'plugin-many-parameters', owner || '#' || name, 'information', 'low' FROM declarations
+    WHERE n_required + n_optional >= 3 AND uri NOT IN (SELECT uri FROM o_i1)""",
+)
+def findings_with_plugin(f):
+    with extensions.plugin(many_parameters=many_parameters):
+        return findings(f).select(*I.FINDING)
