@@ -165,8 +165,11 @@ def observed_updates(samples: DataFrame) -> DataFrame:
 def _drain(stream: DataFrame, folder: str, name: str, mode: str = "append") -> None:
     """Append what a stream emits to a table by exactly-once files, until its source is dry.
 
-    Updates go there with their batch, a batch that is run again replacing itself.
+    Updates go there with their batch, a batch that is run again replacing itself. An
+    empty file goes first, so that the table is there when nothing is emitted.
     """
+    first = f"{folder}/{name}" if mode == "append" else f"{folder}/{name}/batch=-1"
+    stream.sparkSession.createDataFrame([], stream.schema).write.mode("append").parquet(first)
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/progress-{name}").trigger(availableNow=True)
     if mode == "append":
         writer = writer.format("parquet").option("path", f"{folder}/{name}")

@@ -89,6 +89,10 @@ def test_stream_agrees_with_the_table(spark, tmp_path, cuts):
     assert sorted(map(tuple, got.select(want.columns).collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_a_stream_of_nothing_observes_nothing(spark, tmp_path):
+    assert jobs.observe(stream_of(spark, tmp_path / "in", [[]]), str(tmp_path / "out")).count() == 0
+
+
 def test_an_event_out_of_place_is_late(spark, tmp_path):
     first = [(1, 5, "call", "a", "A", None), (1, 9, "call", "b", "A", None)]
     second = [(1, 7, "return", "a", None, "B"), (1, 10, "return", "b", None, "B"), (1, 6, "call", "c", "A", None), (1, 11, "return", "a", None, "B")]
