@@ -24,7 +24,10 @@ CREDENTIAL_KEY = (
     r"(?i)(password|passwd|secret|api[_-]?key|token|access[_-]?key|credential)"
     r"(\s*[:=]\s*\"?)([^\s\"',}]+)"
 )
-GENERIC_TOKEN = r"\b[A-Za-z0-9\-_]{20,}\b"
+# Token characters are ASCII, and so are the word boundaries around them: a run may
+# start or end right beside an accented letter.
+_EDGE = "(?:(?<![0-9A-Za-z_])(?=[0-9A-Za-z_])|(?<=[0-9A-Za-z_])(?![0-9A-Za-z_]))"
+GENERIC_TOKEN = rf"{_EDGE}[A-Za-z0-9\-_]{{20,}}{_EDGE}"
 # User directories in paths, and names that belong to nobody.
 HOME_PATH = r"[/\\](?:Users|home)[/\\]([A-Za-z0-9._-]*[A-Za-z0-9][A-Za-z0-9._-]*)"
 SYNTHETIC_USERS = ("example", "exampleuser", "dev", "rhc", "runner", "runneradmin")

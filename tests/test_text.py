@@ -36,6 +36,25 @@ def test_generic_tokens_are_opt_in(spark):
     assert df.select(T.redact_generic_tokens("t")).first()[0] == "sha [REDACTED]"
 
 
+@pytest.mark.parametrize(
+    ("given", "expected", "hits"),
+    [
+        ("x erschlichereinbelichß y", "x [REDACTED]ß y", 1),
+        ("éaitionaitiontiontion que", "é[REDACTED] que", 1),
+        ("éabcdefghijklmnopqrs y", "éabcdefghijklmnopqrs y", 0),
+        ("--abcdefghijklmnopqrst-- y", "--[REDACTED]-- y", 1),
+        ("é--abcdefghijklmnopqrst-é", "é--[REDACTED]-é", 1),
+        ("a-23456789012345678- y", "a-23456789012345678- y", 0),
+        ("_0123456789012345678_ y", "[REDACTED] y", 1),
+    ],
+)
+def test_generic_tokens_end_beside_accented_letters(spark, given, expected, hits):
+    df = spark.createDataFrame([(1, given)], "doc_id int, t string")
+    assert df.select(T.redact_generic_tokens("t")).first()[0] == expected
+    found = {r.pattern: r.hits for r in A.audit(df, "doc_id", "t").collect()}
+    assert found.get("generic_token", 0) == hits
+
+
 @pytest.mark.parametrize(
     ("given", "expected"),
     [
