@@ -50,6 +50,7 @@ class Counter:
         for piece, score in pieces:
             self._automaton.add_word(piece, (len(piece), score))
         self._automaton.make_automaton()
+        self._pieces_in = self._automaton.iter if len(self._automaton) else lambda word: ()
         inner = any(META in piece.lstrip(META) for piece, _ in pieces)
         # White space that is in no piece stands alone; it ends a word too.
         alone = "".join(c for c in "\t\n\r" if not any(c in piece for piece, _ in pieces)) if byte_fallback else ""
@@ -57,24 +58,40 @@ class Counter:
         self._memo: dict[str, tuple[int, float]] = {}
 
     def word(self, word: str) -> tuple[int, float]:
+        # The automaton lists pieces by their end and those of one end from the longest
+        # on, so starts come in order and every end is settled before a later one asks.
         size = len(word)
-        ending: list[list[tuple[int, float]]] = [[] for _ in range(size + 1)]
-        for last, (length, score) in self._automaton.iter(word) if len(self._automaton) else ():
-            ending[last + 1].append((last + 1 - length, score))
         best, count, unknown = [0.0] * (size + 1), [0] * (size + 1), [False] * (size + 1)
-        for end in range(1, size + 1):
-            top = None
-            for start, score in sorted(ending[end]):
-                if top is None or best[start] + score > top:
-                    top, n, odd = best[start] + score, count[start] + 1, False
-            if not any(start == end - 1 for start, _ in ending[end]):
-                score = best[end - 1] + self._unknown
-                if top is None or score > top:
-                    fresh = len(word[end - 1].encode()) if self._fallback else int(not unknown[end - 1])
-                    top, n, odd = score, count[end - 1] + fresh, True
-            best[end], count[end], unknown[end] = top, n, odd
+        end, top, n, single = 1, None, 0, False
+        for last, (length, score) in self._pieces_in(word):
+            while end <= last:
+                if single:
+                    best[end], count[end] = top, n
+                else:
+                    self._step(word, end, top, n, best, count, unknown)
+                end, top, single = end + 1, None, False
+            start = end - length
+            score += best[start]
+            if top is None or score > top:
+                top, n = score, count[start] + 1
+            if length == 1:
+                single = True
+        while end <= size:
+            if single:
+                best[end], count[end] = top, n
+            else:
+                self._step(word, end, top, n, best, count, unknown)
+            end, top, single = end + 1, None, False
         return count[size], best[size]
 
+    def _step(self, word: str, end: int, top: float | None, n: int, best: list[float], count: list[int], unknown: list[bool]) -> None:
+        """Settle an end whose last character no single piece covers."""
+        score = best[end - 1] + self._unknown
+        if top is None or score > top:
+            fresh = len(word[end - 1].encode()) if self._fallback else int(not unknown[end - 1])
+            top, n, unknown[end] = score, count[end - 1] + fresh, True
+        best[end], count[end] = top, n
+
     def text(self, text: str) -> tuple[int, float]:
         if not text:
             return 0, 0.0

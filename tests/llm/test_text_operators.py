@@ -199,6 +199,40 @@ def test_token_count_ties():
     assert token_counts.Counter([("▁", -1.0)], True).text("éé")[0] == 5
 
 
+
+def _slow_count(pieces, fallback, word):
+    scores, low = dict(pieces), min((s for _, s in pieces), default=0.0) - token_counts.UNKNOWN_PENALTY
+    best = [(0.0, 0, False)]
+    for end in range(1, len(word) + 1):
+        top = None
+        for start in range(end):
+            if word[start:end] in scores and (top is None or best[start][0] + scores[word[start:end]] > top[0]):
+                top = best[start][0] + scores[word[start:end]], best[start][1] + 1, False
+        score, n, odd = best[end - 1]
+        if word[end - 1] not in scores and (top is None or score + low > top[0]):
+            top = score + low, n + (len(word[end - 1].encode()) if fallback else int(not odd)), True
+        best.append(top)
+    return best[-1][1], best[-1][0]
+
+
+def test_token_counts_in_one_pass():
+    """Pieces are taken as the automaton lists them: equal to every split, ties included,
+    and without a list and a sort for each place of a word."""
+    import sys
+
+    rng = random.Random(8)
+    for _ in range(300):
+        pieces = {"".join(rng.choices("abc", k=rng.randint(1, 4))): -float(rng.randint(1, 6)) for _ in range(rng.randint(1, 9))}
+        word, fallback = "".join(rng.choices("abcdé", k=rng.randint(1, 12))), rng.random() < 0.5
+        pieces = list(pieces.items())
+        assert token_counts.Counter(pieces, fallback).word(word) == _slow_count(pieces, fallback, word)
+    counter, calls = token_counts.Counter([("a", -1.0), ("aa", -1.5), ("aaa", -2.0)], True), [0]
+    sys.setprofile(lambda frame, event, arg: calls.__setitem__(0, calls[0] + (event in ("call", "c_call"))))
+    counter.word("a" * 1000)
+    sys.setprofile(None)
+    assert calls[0] < 100
+
+
 def test_quality_rules(docs, none):
     found = {r.doc_id: r for r in quality_rules.quality_rules(docs).collect()}
     assert found[0].n_words == 0 and found[0].base_failed and not found[0].kept
