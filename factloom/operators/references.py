@@ -68,12 +68,11 @@ def resolve_calls(calls: DataFrame, methods: DataFrame, members: DataFrame, rout
     source = methods.select(
         *keys, F.col("sym_kind").alias("k1"), F.col("sym_owner").alias("o1"), F.col("sym_name").alias("n1"), "conditional"
     )
-    model = model_symbols(members).select(F.col("model").alias("_m"), F.col("name").alias("_mn"), F.col("sym_kind").alias("k2"))
+    # A type is taken apart once, not once for every name it is asked for.
     nominal = F.when(X.is_nominal("receiver_type"), N.bare_name("receiver_type"))
-    answered = (
-        pairs.join(source, keys, "left")
-        .join(model, (nominal == F.col("_m")) & (F.col("name") == F.col("_mn")), "left")
-    )
+    types = calls.select("receiver_type").distinct().select("receiver_type", nominal.alias("model"))
+    model = types.join(model_symbols(members), "model").select("receiver_type", "name", F.col("sym_kind").alias("k2"))
+    answered = pairs.join(source, keys, "left").join(model, ["receiver_type", "name"], "left")
     by_source = F.col("k1").isNotNull()
     answers = answered.select(
         *[F.col(k).alias(f"_{k}") for k in keys],
