@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -56,17 +57,20 @@ def resolve_references(
     return local.unionByName(variable).unionByName(constant).unionByName(call)
 
 
-def resolve_calls(calls: DataFrame, methods: DataFrame, members: DataFrame, routes: DataFrame) -> DataFrame:
+def resolve_calls(
+    calls: DataFrame, methods: DataFrame, members: DataFrame, routes: DataFrame, carried: Sequence[str] = ()
+) -> DataFrame:
     """Every call with its symbol, null when nothing answers.
 
     The distinct (receiver_type, name) pairs are answered first, so that a
     method called everywhere is joined once and not once per call. Where calls say
     whether they are made on the class itself (``singleton``), that is part of the pair.
+    Columns of ``methods`` named in ``carried`` come along.
     """
     keys = ["receiver_type", "name", *(c for c in ("singleton",) if c in calls.columns)]
     pairs = calls.select(*keys).distinct()
     source = methods.select(
-        *keys, F.col("sym_kind").alias("k1"), F.col("sym_owner").alias("o1"), F.col("sym_name").alias("n1"), "conditional"
+        *keys, F.col("sym_kind").alias("k1"), F.col("sym_owner").alias("o1"), F.col("sym_name").alias("n1"), "conditional", *carried
     )
     # A type is taken apart once, not once for every name it is asked for.
     nominal = F.when(X.is_nominal("receiver_type"), N.bare_name("receiver_type"))
@@ -80,7 +84,7 @@ def resolve_calls(calls: DataFrame, methods: DataFrame, members: DataFrame, rout
         F.when(by_source, F.col("o1")).when(F.col("k2").isNotNull(), F.col("receiver_type")).alias("sym_owner"),
         F.when(by_source, F.col("n1")).when(F.col("k2").isNotNull(), F.col("name")).alias("sym_name"),
         F.when(by_source & F.col("conditional"), "low").when(F.coalesce("k1", "k2").isNotNull(), "high").alias("confidence"),
-        F.when(by_source, "source").when(F.col("k2").isNotNull(), "active_record").alias("origin"),
+        F.when(by_source, "source").when(F.col("k2").isNotNull(), "active_record").alias("origin"), *carried,
     ).filter("sym_kind IS NOT NULL")
     same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
     routed = calls.join(answers, reduce(Column.__and__, same), "left").drop(*[f"_{k}" for k in keys])
