@@ -58,23 +58,25 @@ def resolve_references(
 
 
 def resolve_calls(
-    calls: DataFrame, methods: DataFrame, members: DataFrame, routes: DataFrame, carried: Sequence[str] = ()
+    calls: DataFrame, methods: DataFrame, members: DataFrame, routes: DataFrame, carried: Sequence[str] = (),
+    pairs: DataFrame | None = None,
 ) -> DataFrame:
     """Every call with its symbol, null when nothing answers.
 
     The distinct (receiver_type, name) pairs are answered first, so that a
     method called everywhere is joined once and not once per call. Where calls say
     whether they are made on the class itself (``singleton``), that is part of the pair.
-    Columns of ``methods`` named in ``carried`` come along.
+    Columns of ``methods`` named in ``carried`` come along. ``pairs``: the distinct
+    pairs, where a caller has them.
     """
     keys = ["receiver_type", "name", *(c for c in ("singleton",) if c in calls.columns)]
-    pairs = calls.select(*keys).distinct()
+    pairs = pairs.select(*keys) if pairs is not None else calls.select(*keys).distinct()
     source = methods.select(
         *keys, F.col("sym_kind").alias("k1"), F.col("sym_owner").alias("o1"), F.col("sym_name").alias("n1"), "conditional", *carried
     )
     # A type is taken apart once, not once for every name it is asked for.
     nominal = F.when(X.is_nominal("receiver_type"), N.bare_name("receiver_type"))
-    types = calls.select("receiver_type").distinct().select("receiver_type", nominal.alias("model"))
+    types = pairs.select("receiver_type").distinct().select("receiver_type", nominal.alias("model"))
     model = types.join(model_symbols(members), "model").select("receiver_type", "name", F.col("sym_kind").alias("k2"))
     answered = pairs.join(source, keys, "left").join(model, ["receiver_type", "name"], "left")
     by_source = F.col("k1").isNotNull()

@@ -196,3 +196,20 @@ def test_types_without_nested_brackets_are_split_at_once(spark):
     got = {r.t: r.m for r in got}
     assert got["ClassOf[A] | ::B"] == ["ClassOf[A]", "::B"] and got["A[B | C] | D"] == ["A[B | C]", "D"] and got["A[B[C]] | nil"] == ["A[B[C]]", "nil"]
     assert got["A[B"] == ["A[B"] and len(got[" | ".join(["A[B]"] * 9000)]) == 9000
+
+
+def test_nearest_target_comes_from_the_classes(spark):
+    # ::S finds what it declares at once; in the union it counts where the first member finds it.
+    instance, klass, heads, aliases = tables(spark)
+    chain = [("::L", 0, "::L", "self", "instance_method"), ("::L", 1, "::M", "include", "instance_method"), ("::L", 2, "::S", "superclass", "instance_method"),
+             ("::S", 0, "::S", "self", "instance_method"), ("::R", 0, "::Q", "prepend", "instance_method"), ("::R", 1, "::R", "self", "instance_method")]
+    declared = [("instance_method", o, "far", "public", "u", 1, 1, 1) for o in ("::S", "::R")]
+    instance = instance.unionByName(spark.createDataFrame(chain, CHAIN))
+    heads = heads.unionByName(spark.createDataFrame(declared, HEADS))
+    asked = spark.createDataFrame([*ASKED, ("::L | ::S | ::R", "far", False), ("::S", "far", False), ("::L | ::B", "far", False)], REQUESTS)
+    want = {tuple(r) for r in L.call_targets(L.lookup_calls(asked, instance, klass, heads, aliases)).collect()}
+    lists = L.receiver_lists(asked)
+    hits = L.hits(L.receiver_members(lists), L.both_sides(instance, klass), heads, aliases)
+    got = [tuple(r) for r in L.nearest_targets(lists, hits).collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert ("::L | ::S | ::R", "far", False, "instance_method", "::R", "far", False) in got
